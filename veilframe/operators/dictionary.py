@@ -19,6 +19,8 @@ from veilframe.operators.joins import attach
 from veilframe.operators.segments import cleaned, distinct_segments, priority_of
 from veilframe.shared import content_bytes, names, written
 
+_TAIL = 3
+
 
 def token_dictionary(
     df: DataFrame, key: str | Sequence[str], col: str, detectors: list[Detector], tokens: TokenRule
@@ -59,6 +61,22 @@ def _fold(line: Column, ordered: Column) -> Column:
     return F.aggregate(ordered, line, lambda text, e: F.replace(text, e["segment"], e["token"]))
 
 
+def _indexed(dictionary: DataFrame, keys: list[str]) -> DataFrame:
+    """``(key…, _by_tail)``: the entries of a key grouped by their last
+    characters.  A line needs to be compared only with the entries whose tail
+    it contains; heads are often all the same (``/var/log``, ``10.0.``)."""
+    tail = F.right("segment", F.lit(_TAIL)).alias("tail")
+    by_tail = dictionary.groupBy(*keys, tail).agg(F.collect_list(_entry()).alias("entries"))
+    return by_tail.groupBy(*keys).agg(F.collect_list(F.struct("tail", "entries")).alias("_by_tail"))
+
+
+def _contained(line: Column, by_tail: Column) -> Column:
+    """The entries a line contains, in rewriting order."""
+    groups = F.filter(by_tail, lambda g: F.contains(line, g["tail"]))
+    near = F.flatten(F.transform(groups, lambda g: g["entries"]))
+    return F.array_sort(F.filter(near, lambda e: F.contains(line, e["segment"])))
+
+
 def rewrite_by_entries(
     df: DataFrame,
     key: str | Sequence[str],
@@ -74,8 +92,8 @@ def rewrite_by_entries(
     """Rewrite ``col`` into ``out`` by the ``entries`` of each row's key.
 
     ``dictionary`` must be written to shared storage; it is read several times.
-    Keys with up to ``max_inline_entries`` entries carry them as one array next
-    to each line.  Larger ones are never put into one row: their lines look up
+    Keys with up to ``max_inline_entries`` entries carry them as one indexed
+    array next to each line (``_indexed``).  Larger ones are never put into one row: their lines look up
     the entries they contain by an equi-join (``_rewrite_wide``).
 
     ``carry`` holds further columns, one row per key, that ride on the same
@@ -93,18 +111,15 @@ def rewrite_by_entries(
         flagged = attach(dictionary, sizes, keys, broadcast_limit=broadcast_limit)
         narrow = flagged.where(F.col("_n") <= max_inline_entries)
         wide = written(flagged.where(F.col("_n") > max_inline_entries).drop("_n"), "wide")
-    arrays = narrow.groupBy(*keys).agg(F.array_sort(F.collect_list(_entry())).alias("_entries"))
 
-    per_key, size = arrays, content_bytes(narrow)
+    per_key, size = _indexed(narrow, keys), content_bytes(narrow)
     if carry is not None:
-        per_key = attach(carry, arrays, keys, broadcast_limit=broadcast_limit, right_bytes=size)
+        per_key = attach(carry, per_key, keys, broadcast_limit=broadcast_limit, right_bytes=size)
         size += content_bytes(carry)
 
     lined = attach(df, per_key, keys, broadcast_limit=broadcast_limit, right_bytes=size)
-    contained = F.filter("_entries", lambda e: F.contains(F.col(col), e["segment"]))
-    result = lined.withColumn(
-        out, F.when(use, F.coalesce(_fold(F.col(col), contained), F.col(col)))
-    ).drop("_entries")
+    folded = _fold(F.col(col), _contained(F.col(col), F.col("_by_tail")))
+    result = lined.withColumn(out, F.when(use, F.coalesce(folded, F.col(col)))).drop("_by_tail")
     if wide is None:
         return result
 
@@ -200,7 +215,7 @@ def rewrite_with_dictionary(
     tokens: TokenRule,
     out: str | None = None,
     *,
-    max_inline_entries: int = 2000,
+    max_inline_entries: int = 20_000,
     broadcast_limit: int = 32 * 1024 * 1024,
 ) -> DataFrame:
     """Collect the segments of every key, then replace them in its lines."""

@@ -12,20 +12,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.shared import content_bytes
+from veilframe.shared import content_bytes, written
 
-# Only the most frequent keys are salted: any key outside the first 256 holds
-# less than 1/256 of the rows.  The list is what bounds the driver's share.
-HOT_KEYS = 256
-SALTS = 64
 
 
-def hot_hashes(df: DataFrame, key: list[str]) -> list[int]:
-    """Hashes of the most frequent keys.  Two keys sharing a hash are salted
-    together, which costs a little and changes nothing."""
-    counts = df.select(F.xxhash64(*key).alias("h")).groupBy("h").count()
-    top = counts.orderBy(F.desc("count"), "h").limit(HOT_KEYS).collect()
-    return [r["h"] for r in top if r["count"] > 1]
+def hot_keys(df: DataFrame, key: list[str]) -> DataFrame:
+    """``(_hot, _n_salts)``: hashes of the keys that would fill more than one
+    shuffle partition, and over how many each is to be spread.
+
+    A key is listed when it holds more than 1/P of the rows, P being the number
+    of shuffle partitions; so there are fewer than P of them, whatever the
+    data.  Keys sharing a hash are spread together, which changes no result.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.select(F.xxhash64(*key).alias("_hot")).groupBy("_hot").agg(F.count("*").alias("_n"))
+    counts = written(counts, "key-counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    share = F.ceil(F.col("_n") * F.lit(parts) / F.lit(max(total, 1))).cast("int")
+    return counts.where(F.col("_n") * parts > total).select("_hot", share.alias("_n_salts"))
 
 
 def _hashable(df: DataFrame) -> list[str]:
@@ -34,20 +38,27 @@ def _hashable(df: DataFrame) -> list[str]:
 
 def salted_join(left: DataFrame, right: DataFrame, key: list[str], how: str) -> DataFrame:
     """Null-safe equi-join in which the left side's hot keys are spread over
-    ``SALTS`` partitions and the matching right rows are repeated for each."""
-    hot = hot_hashes(left, key)
+    many partitions and the matching right rows are repeated for each."""
+    hot = F.broadcast(hot_keys(left, key))
+    is_hot = F.xxhash64(*key) == F.col("_hot")
+    n_salts = F.coalesce("_n_salts", F.lit(1))
     # Spread by content and input partition: stable when a task is rerun, and
     # copies of one row still part, since no input partition holds them all.
-    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *_hashable(left)), F.lit(SALTS))
-    is_hot = F.xxhash64(*key).isin(hot) if hot else F.lit(False)
-    salted_left = left.withColumn("_salt", F.when(is_hot, spread.cast("int")).otherwise(F.lit(0)))
-    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    salted_right = right.withColumn(
-        "_r_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0))))
+    spread = F.xxhash64(F.spark_partition_id(), *_hashable(left))
+    salted_left = (
+        left.withColumn("_spread", spread)
+        .join(hot, is_hot, "left")
+        .withColumn("_salt", F.pmod("_spread", n_salts).cast("int"))
+        .drop("_spread", "_hot", "_n_salts")
+    )
+    salted_right = (
+        right.join(hot, is_hot, "left")
+        .withColumn("_r_salt", F.explode(F.sequence(F.lit(0), n_salts - 1)))
+        .drop("_hot", "_n_salts")
     )
-    joined = _prefixed(salted_right, key)
     condition = _same_key(key) & (F.col("_salt") == F.col("_r_salt"))
-    return _without_key(salted_left.join(joined, condition, how), key).drop("_salt", "_r_salt")
+    joined = salted_left.join(_prefixed(salted_right, key), condition, how)
+    return _without_key(joined, key).drop("_salt", "_r_salt")
 
 
 def attach(

@@ -26,18 +26,11 @@ def scan_text(spark: SparkSession, path: str, glob: str | None = None) -> DataFr
     with ``_`` or ``.`` are not read, and compressed files are unpacked by
     their extension.
     """
-    root = _qualified(spark, path)
     reader = spark.read.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    # Reported paths are URI-encoded, where a plus sign stands for itself.
-    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
-    location = F.regexp_replace(F.url_decode(encoded), "^file:/+", "file:/")
     return reader.text(path).select(
-        F.when(location == root, F.substring_index(location, "/", -1))
-        .when(F.startswith(location, F.lit(root + "/")), F.substr(location, F.lit(len(root) + 2)))
-        .otherwise(location)
-        .alias("rel_path"),
+        _relative(spark, path, F.col("_metadata.file_path")).alias("rel_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("line_id"),
         F.col("_metadata.file_size").alias("file_size"),
@@ -45,6 +38,20 @@ def scan_text(spark: SparkSession, path: str, glob: str | None = None) -> DataFr
     )
 
 
+def _relative(spark: SparkSession, path: str, reported: Column) -> Column:
+    """A reported file path below ``path``; the file name if ``path`` is a file."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    folder = fs.makeQualified(hadoop_path).toUri().getRawPath().rstrip("/") + "/"
+    if fs.exists(hadoop_path) and fs.getFileStatus(hadoop_path).isFile():
+        folder = folder[:-1].rpartition("/")[0] + "/"
+    at = F.instr(reported, folder)
+    below = F.when(at > 0, F.substr(reported, at + F.lit(len(folder)))).otherwise(reported)
+    # Paths are reported URI-encoded, where a plus sign stands for itself.
+    decoded = F.url_decode(F.replace(below, F.lit("+"), F.lit("%2B")))
+    return F.when(F.contains(below, F.lit("%")), decoded).otherwise(below)
+
+
 def profile_files(lines: DataFrame) -> DataFrame:
     """Profile of a scanned corpus: ``(rel_path, n_bytes, n_lines, size_label)``."""
     profile = lines.groupBy("rel_path").agg(
