@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.shared import fresh_path
+from veilframe.shared import fresh_path, spread_out
 from veilframe.sources.sinks import write_mirrored
 from veilframe.sources.text import scan_text
 
@@ -26,11 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread_out(table(spark, sf_dir, "documents"))
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_out(table(spark, sf_dir, "pages"))
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(LOG_LINES_SQL.format(events="{events}"), events=table(spark, sf_dir, "events"))
+    events = spread_out(table(spark, sf_dir, "events"))
+    return spark.sql(LOG_LINES_SQL, events=events)
 
 
 def log_folder(spark: SparkSession, lines: DataFrame, col: str = "line") -> str:

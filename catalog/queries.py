@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.inputs import documents, log_folder, log_lines, scan_logs, table
+from catalog.inputs import documents, log_folder, log_lines, pages, scan_logs, table
 from veilframe.detectors import (
     CREDENTIALS,
     FILE_DIR,
@@ -128,12 +128,12 @@ def a6_replace_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a7_split_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = split_rows(documents(spark, sf_dir), "doc_id", "text", NUM_PARTS, MIN_SPLIT)
+    parts = split_rows(table(spark, sf_dir, "documents"), "doc_id", "text", NUM_PARTS, MIN_SPLIT)
     return parts.drop(ROW_ID)
 
 
 def a8_merge_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = split_rows(documents(spark, sf_dir), "doc_id", "text", NUM_PARTS, MIN_SPLIT)
+    parts = split_rows(table(spark, sf_dir, "documents"), "doc_id", "text", NUM_PARTS, MIN_SPLIT)
     return merge_rows(parts, "doc_id")
 
 
@@ -152,11 +152,11 @@ def _on_lines(kind: str, profile: list[Detector]) -> Query:
 
 
 def b5_detect_paths_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect(table(spark, sf_dir, "pages"), "page_id", "url", pick(STRICT, FILE_DIR))
+    return detect(pages(spark, sf_dir), "page_id", "url", pick(STRICT, FILE_DIR))
 
 
 def b5_detect_paths_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect(table(spark, sf_dir, "pages"), "page_id", "html", pick(STRICT, FILE_DIR))
+    return detect(pages(spark, sf_dir), "page_id", "html", pick(STRICT, FILE_DIR))
 
 
 def b6_detect_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,8 +201,7 @@ def c2_clean_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c2_clean_segments_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return cleaned(distinct_segments(pages, "page_id", "html", LOOSE))
+    return cleaned(distinct_segments(pages(spark, sf_dir), "page_id", "html", LOOSE))
 
 
 def c3_longest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,7 +250,7 @@ def d2_scrub_addresses_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d2_scrub_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scrub(table(spark, sf_dir, "pages"), "html", STRICT, TOKENS)
+    return scrub(pages(spark, sf_dir), "html", STRICT, TOKENS)
 
 
 def d3_dictionary_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 # The kind labels as they appear in tokens.
 FILE_DIR = "FILE-DIR"
@@ -72,9 +72,10 @@ def credentials_pattern(keywords: Sequence[str] = CREDENTIAL_KEYWORDS) -> str:
 class Detector:
     """A kind of sensitive segment.
 
-    ``phase`` and ``rank`` give the rewriting order.  ``needs`` (a literal) and
-    ``precheck`` (a cheap pattern) must be found in any text that holds a
-    match; they let a row skip the full pattern and never change a result.
+    ``phase`` and ``rank`` give the rewriting order.  A text that holds a match
+    holds the literal ``needs``, and besides the literal ``sign`` or a match of
+    the cheap pattern ``precheck``; whichever are given let a row skip the full
+    pattern and never change a result.
     """
 
     kind: str
@@ -82,6 +83,7 @@ class Detector:
     phase: int = 1
     rank: int = 0
     needs: str | None = None
+    sign: str | None = None
     precheck: str | None = None
 
     def __post_init__(self) -> None:
@@ -96,7 +98,8 @@ class Detector:
         return self.phase * 100 + self.rank
 
 
-_V6_PRECHECK = r"::|(?:[0-9a-fA-F]{1,4}:){7}|[fF][eE]80:[0-9a-fA-F:]*%"
+# An IPv6 address holds "::", or eight groups, or a zone after fe80.
+_V6_PRECHECK = r"(?::[0-9a-fA-F]{1,4}){7}|[fF][eE]80:[0-9a-fA-F:]*%"
 _V4_PRECHECK = r"[0-9]\.[0-9]"
 
 
@@ -107,7 +110,7 @@ def strict_profile(keywords: Sequence[str] = CREDENTIAL_KEYWORDS) -> list[Detect
         Detector(CREDENTIALS, credentials_pattern(keywords), 1, 1),
         Detector(MAC_ADDR, STRICT_MAC, 1, 2, needs=":"),
         Detector(IPV4, STRICT_IPV4, 2, 0, needs=".", precheck=_V4_PRECHECK),
-        Detector(IPV6, "(?i)" + LOOSE_IPV6, 2, 1, needs=":", precheck=_V6_PRECHECK),
+        Detector(IPV6, "(?i)" + LOOSE_IPV6, 2, 1, needs=":", sign="::", precheck=_V6_PRECHECK),
     ]
 
 
@@ -119,7 +122,7 @@ def loose_profile(keywords: Sequence[str] = CREDENTIAL_KEYWORDS) -> list[Detecto
         Detector(CREDENTIALS, credentials_pattern(keywords), 1, 1),
         Detector(MAC_ADDR, "(?i)" + LOOSE_MAC, 1, 2, needs=":"),
         Detector(IPV4, "(?i)" + LOOSE_IPV4, 2, 0, needs=".", precheck=_V4_PRECHECK),
-        Detector(IPV6, "(?i)" + LOOSE_IPV6, 2, 1, needs=":", precheck=_V6_PRECHECK),
+        Detector(IPV6, "(?i)" + LOOSE_IPV6, 2, 1, needs=":", sign="::", precheck=_V6_PRECHECK),
     ]
 
 
@@ -131,9 +134,7 @@ def addresses_first(detectors: Sequence[Detector]) -> list[Detector]:
     becomes one, which is what already masked ``ip addr`` logs show.
     """
     last = max(d.phase for d in detectors)
-    return in_order(
-        [Detector(d.kind, d.regex, last + 1 - d.phase, d.rank, d.needs, d.precheck) for d in detectors]
-    )
+    return in_order([replace(d, phase=last + 1 - d.phase) for d in detectors])
 
 
 def with_detector(detectors: Sequence[Detector], extra: Detector) -> list[Detector]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -19,11 +20,14 @@ def may_match(text: Column, detector: Detector) -> Column | None:
     The literal test runs on the UTF-8 bytes; it saves decoding the row and,
     for IPv6, a pattern ten times dearer than the others.
     """
-    checks = []
-    if detector.needs:
-        checks.append(F.contains(text, F.lit(detector.needs)))
+    signs = []
+    if detector.sign:
+        signs.append(F.contains(text, F.lit(detector.sign)))
     if detector.precheck:
-        checks.append(text.rlike(detector.precheck))
+        signs.append(text.rlike(detector.precheck))
+    checks = [reduce(lambda a, b: a | b, signs)] if signs else []
+    if detector.needs:
+        checks.insert(0, F.contains(text, F.lit(detector.needs)))
     return reduce(lambda a, b: a & b, checks) if checks else None
 
 
@@ -46,13 +50,26 @@ def matches(text: Column, detector: Detector) -> Column:
     return found if gate is None else F.when(gate, found).otherwise(F.array().cast("array<string>"))
 
 
-def tokenise(text: Column, detector: Detector, tokens: TokenRule) -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once, however often ``body`` refers to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def free_of_marks(text: Column) -> Column:
+    """Can matches in this text be marked by the two mark characters?"""
+    return ~(F.contains(text, F.lit(_OPEN)) | F.contains(text, F.lit(_CLOSE)))
+
+
+def tokenise(
+    text: Column, detector: Detector, tokens: TokenRule, markable: Column | None = None
+) -> Column:
     """The text with every match replaced by its token.
 
     Matches are marked in one pass, the text is cut at the marks, and the
     marked head of each piece becomes a token.  Text that already holds one of
-    the two mark characters takes the cut-and-zip form instead.  Use on a
-    column that is already computed (see ``scrub``): ``text`` occurs several times.
+    the two mark characters takes the cut-and-zip form instead; ``markable``
+    says which, when that is known.  Use on a column that is already computed
+    (see ``scrub``): ``text`` occurs several times.
     """
     kind = detector.kind
 
@@ -65,18 +82,21 @@ def tokenise(text: Column, detector: Detector, tokens: TokenRule) -> Column:
             ),
         ).otherwise(p)
 
+    def unmarked(marked: Column) -> Column:
+        pieces = F.transform(F.split(marked, _OPEN, -1), piece)
+        return F.when(F.contains(marked, F.lit(_OPEN)), F.array_join(pieces, "")).otherwise(marked)
+
     def glue(gap: Column, match: Column) -> Column:
         return F.concat(gap, F.coalesce(tokens.token(kind, match), F.lit("")))
 
-    marked = F.split(F.regexp_replace(text, detector.regex, f"{_OPEN}$0{_CLOSE}"), _OPEN, -1)
-    by_marks = F.array_join(F.transform(marked, piece), "")
+    by_marks = _let(F.regexp_replace(text, detector.regex, f"{_OPEN}$0{_CLOSE}"), unmarked)
     gaps = F.split(text, detector.regex, -1)
     found = F.regexp_extract_all(text, F.lit(detector.regex), F.lit(0))
     by_zip = F.array_join(F.zip_with(gaps, found, glue), "")
-    holds_marks = F.contains(text, F.lit(_OPEN)) | F.contains(text, F.lit(_CLOSE))
-    return F.when(
-        has_match(text, detector), F.when(holds_marks, by_zip).otherwise(by_marks)
-    ).otherwise(text)
+    plain = free_of_marks(text) if markable is None else markable
+    rewritten = F.when(plain, by_marks).otherwise(by_zip)
+    gate = may_match(text, detector)
+    return rewritten if gate is None else F.when(gate, rewritten).otherwise(text)
 
 
 def mask(text: Column, detector: Detector) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.detectors import Detector, in_order
-from veilframe.functions.matching import mask, tokenise
+from veilframe.functions.matching import free_of_marks, mask, tokenise
 from veilframe.functions.tokens import TokenRule
 
 
@@ -22,9 +22,11 @@ def scrub(
     target = out or col
     if target != col:
         df = df.withColumn(target, F.col(col))
+    # Tokens hold no mark characters, so one look at the original text will do.
+    df = df.withColumn("_markable", free_of_marks(F.col(target)))
     for d in in_order(detectors):
-        df = df.withColumn(target, tokenise(F.col(target), d, tokens))
-    return df
+        df = df.withColumn(target, tokenise(F.col(target), d, tokens, F.col("_markable")))
+    return df.drop("_markable")
 
 
 def mask_kinds(

@@ -41,6 +41,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """Rows of a scan that has fewer tasks than the cluster has cores (a few
+    unsplittable files, say) over all cores; any other scan as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def names(key: str | Sequence[str]) -> list[str]:
     """A key given as one name or several, as a list."""
     return [key] if isinstance(key, str) else list(key)
