@@ -1,0 +1,77 @@
+"""Known tokens, and the properties of tokens."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from brute import token
+from veilframe.detectors import strict_profile
+from veilframe.functions.sql import register_functions
+from veilframe.functions.tokens import TokenRule
+
+# Tokens known for salt 1234.
+VECTORS = [
+    ("MAC-ADDR", "00:00:00:00:00:00", "{{MAC-ADDR-8029b}}"),
+    ("MAC-ADDR", "ff:ff:ff:ff:ff:ff", "{{MAC-ADDR-6de52}}"),
+    ("IPV4", "127.0.0.1", "{{IPV4-e56ea}}"),
+    ("IPV4", "172.17.0.1", "{{IPV4-7f870}}"),
+    ("IPV4", "172.17.255.255", "{{IPV4-8f989}}"),
+    ("FILE-DIR", "/8", "{{FILE-DIR-4ff67}}"),
+    ("FILE-DIR", "/16", "{{FILE-DIR-55b9c}}"),
+    ("FILE-DIR", "/24", "{{FILE-DIR-840b1}}"),
+    ("FILE-DIR", "/32", "{{FILE-DIR-3fae0}}"),
+]
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    return spark.createDataFrame(VECTORS, "kind string, segment string, token string")
+
+
+def test_known_tokens(vectors):
+    got = TokenRule().token_by(F.col("kind"), F.col("segment"))
+    assert vectors.where(got != F.col("token")).collect() == []
+
+
+def test_fixed_kind_gives_the_same_token(vectors):
+    for kind in {v[0] for v in VECTORS}:
+        got = TokenRule().token(kind, F.col("segment"))
+        assert vectors.where((F.col("kind") == kind) & (got != F.col("token"))).collect() == []
+
+
+def test_sql_function_gives_the_same_token(spark, vectors):
+    register_functions(spark, strict_profile(), TokenRule(), prefix="known")
+    vectors.createOrReplaceTempView("vectors")
+    wrong = spark.sql("SELECT * FROM vectors WHERE known_token(kind, segment) <> token")
+    assert wrong.collect() == []
+
+
+def test_plain_python_agrees():
+    assert all(token(kind, segment) == expected for kind, segment, expected in VECTORS)
+
+
+@pytest.mark.parametrize("digest, width", [("md5", 32), ("sha256", 5), ("sha256", 64)])
+def test_width_and_digest(spark, vectors, digest, width):
+    rule = TokenRule(salt="it's \\ salted", width=width, digest=digest)
+    register_functions(spark, strict_profile(), rule, prefix="other")
+    row = vectors.select(
+        rule.token_by(F.col("kind"), F.col("segment")).alias("by"),
+        F.when(F.col("kind") == "IPV4", rule.token("IPV4", F.col("segment"))).alias("fixed"),
+        F.expr("other_token(kind, segment)").alias("sql"),
+    )
+    assert row.where((F.col("by") != F.col("sql")) | (F.col("by") != F.col("fixed"))).collect() == []
+    tails = [r["by"][:-2].rpartition("-")[2] for r in row.collect()]
+    assert all(len(t) == width for t in tails)
+    assert len(set(tails)) == len(VECTORS)
+
+
+def test_salt_changes_tokens(vectors):
+    other = TokenRule(salt="5678").token_by(F.col("kind"), F.col("segment"))
+    assert vectors.where(other == F.col("token")).collect() == []
+
+
+@pytest.mark.parametrize("kwargs", [{"width": 0}, {"width": 33}, {"digest": "crc32"}])
+def test_rule_validation(kwargs):
+    with pytest.raises(ValueError):
+        TokenRule(**kwargs)
