@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilframe.detectors import Detector
+from veilframe.detectors import Detector, in_order
 from veilframe.functions.tokens import TokenRule
 
 _OPEN, _CLOSE = "\x01", "\x02"
@@ -51,26 +51,17 @@ def matches(text: Column, detector: Detector) -> Column:
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value computed once, however often ``body`` refers to it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def free_of_marks(text: Column) -> Column:
-    """Can matches in this text be marked by the two mark characters?"""
-    return ~(F.contains(text, F.lit(_OPEN)) | F.contains(text, F.lit(_CLOSE)))
+    """``body`` of a value, with the value computed once.
 
+    Chained rewrites refer to their input several times.  Bound this way, a
+    chain stays as long as it has links when the optimizer inlines it, into a
+    filter pushed below the projection for example; spelled out, it would
+    double or treble with every link.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-def tokenise(
-    text: Column, detector: Detector, tokens: TokenRule, markable: Column | None = None
-) -> Column:
-    """The text with every match replaced by its token.
 
-    Matches are marked in one pass, the text is cut at the marks, and the
-    marked head of each piece becomes a token.  Text that already holds one of
-    the two mark characters takes the cut-and-zip form instead; ``markable``
-    says which, when that is known.  Use on a column that is already computed
-    (see ``scrub``): ``text`` occurs several times.
-    """
+def _tokenised(text: Column, detector: Detector, tokens: TokenRule) -> Column:
     kind = detector.kind
 
     def piece(p: Column) -> Column:
@@ -93,19 +84,43 @@ def tokenise(
     gaps = F.split(text, detector.regex, -1)
     found = F.regexp_extract_all(text, F.lit(detector.regex), F.lit(0))
     by_zip = F.array_join(F.zip_with(gaps, found, glue), "")
-    plain = free_of_marks(text) if markable is None else markable
-    rewritten = F.when(plain, by_marks).otherwise(by_zip)
+    holds_marks = F.contains(text, F.lit(_OPEN)) | F.contains(text, F.lit(_CLOSE))
+    rewritten = F.when(holds_marks, by_zip).otherwise(by_marks)
     gate = may_match(text, detector)
     return rewritten if gate is None else F.when(gate, rewritten).otherwise(text)
 
 
-def mask(text: Column, detector: Detector) -> Column:
-    """The text with every match replaced by ``{{KIND}}``."""
+def tokenised(text: Column, detectors: list[Detector], tokens: TokenRule) -> Column:
+    """The text with every match replaced by its token, kind after kind in
+    rewriting order, each kind working on the output of the one before.
+
+    For each kind the matches are marked in one pass, the text is cut at the
+    marks, and the marked head of each piece becomes a token.  Text that
+    already holds a mark character takes the cut-and-zip form instead.
+    """
+    for d in in_order(detectors):
+        text = _let(text, _bound(_tokenised, d, tokens))
+    return text
+
+
+def _masked(text: Column, detector: Detector) -> Column:
     masked = F.regexp_replace(text, detector.regex, "{{" + detector.kind + "}}")
     gate = may_match(text, detector)
     return masked if gate is None else F.when(gate, masked).otherwise(text)
 
 
+def masked(text: Column, detectors: list[Detector]) -> Column:
+    """The text with every match replaced by ``{{KIND}}``, in rewriting order."""
+    for d in in_order(detectors):
+        text = _let(text, _bound(_masked, d))
+    return text
+
+
+def _bound(rewrite: Callable[..., Column], *args) -> Callable[[Column], Column]:
+    # Spark counts lambda parameters, defaults included: hence a closure.
+    return lambda text: rewrite(text, *args)
+
+
 def clean_segment(segment: Column) -> Column:
     """Trailing single quotes off, then surrounding whitespace off."""
     unquoted = F.regexp_replace(segment, r"'+$", "")

@@ -5,13 +5,13 @@ Parts are cut at newlines only, as a match never crosses one.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.detectors import Detector, in_order
-from veilframe.functions.matching import tokenise
+from veilframe.detectors import Detector
+from veilframe.functions.matching import tokenised
 from veilframe.functions.tokens import TokenRule
 from veilframe.shared import names
 
@@ -89,11 +89,6 @@ def merge_rows(
     )
 
 
-def _tokeniser(detector: Detector, tokens: TokenRule) -> Callable[[Column], Column]:
-    # Spark counts lambda parameters, defaults included: hence a closure.
-    return lambda part: tokenise(part, detector, tokens)
-
-
 def scrub_in_parts(
     df: DataFrame,
     col: str,
@@ -108,7 +103,6 @@ def scrub_in_parts(
     A cell is at most 2 GB, which one task scrubs in reasonable time; moving
     its parts to other tasks would mean shuffling every cell.
     """
-    df = df.withColumn("_parts", parts_of(F.col(col), num_parts, min_split_bytes))
-    for d in in_order(detectors):
-        df = df.withColumn("_parts", F.transform("_parts", _tokeniser(d, tokens)))
-    return df.withColumn(out, joined_parts(F.col("_parts"))).drop("_parts")
+    parts = parts_of(F.col(col), num_parts, min_split_bytes)
+    scrubbed = F.transform(parts, lambda part: tokenised(part, detectors, tokens))
+    return df.withColumn("_parts", scrubbed).withColumn(out, joined_parts(F.col("_parts"))).drop("_parts")

@@ -5,37 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.detectors import Detector, in_order
-from veilframe.functions.matching import free_of_marks, mask, tokenise
+from veilframe.detectors import Detector
+from veilframe.functions.matching import masked, tokenised
 from veilframe.functions.tokens import TokenRule
 
 
 def scrub(
     df: DataFrame, col: str, detectors: list[Detector], tokens: TokenRule, out: str | None = None
 ) -> DataFrame:
-    """Replace every match by its token, kind after kind in rewriting order,
-    each kind working on the output of the one before.
-
-    One projection per kind: Catalyst keeps them apart, as each refers to its
-    input several times, so no match is computed twice.
-    """
-    target = out or col
-    if target != col:
-        df = df.withColumn(target, F.col(col))
-    # Tokens hold no mark characters, so one look at the original text will do.
-    df = df.withColumn("_markable", free_of_marks(F.col(target)))
-    for d in in_order(detectors):
-        df = df.withColumn(target, tokenise(F.col(target), d, tokens, F.col("_markable")))
-    return df.drop("_markable")
+    """Replace every match in ``col`` by its token (into ``out`` when given)."""
+    return df.withColumn(out or col, tokenised(F.col(col), detectors, tokens))
 
 
 def mask_kinds(
     df: DataFrame, col: str, detectors: list[Detector], out: str | None = None
 ) -> DataFrame:
     """Replace every match by the fixed label of its kind; nothing to link by."""
-    target = out or col
-    if target != col:
-        df = df.withColumn(target, F.col(col))
-    for d in in_order(detectors):
-        df = df.withColumn(target, mask(F.col(target), d))
-    return df
+    return df.withColumn(out or col, masked(F.col(col), detectors))

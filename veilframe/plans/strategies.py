@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.functions.matching import tokenised
 from veilframe.operators.dictionary import entries, rewrite_by_entries, rewrite_with_dictionary
 from veilframe.operators.joins import attach
 from veilframe.operators.parts import scrub_in_parts
@@ -102,12 +103,12 @@ def hybrid_with_route(
         carry=routes,
         when=F.col("_route") == DICTIONARY,
     )
-    # Null for rows of other routes, which costs nothing to scrub.
-    inline = F.when(F.col("_route") == INLINE, F.col(col))
-    scrubbed = scrub(routed.withColumn("_inline", inline), "_inline", o.strict, o.tokens)
-    return scrubbed.withColumn(out, F.coalesce("_by_dictionary", "_inline", col)).drop(
-        "_by_dictionary", "_inline"
+    by_route = (
+        F.when(F.col("_route") == INLINE, tokenised(F.col(col), o.strict, o.tokens))
+        .when(F.col("_route") == DICTIONARY, F.col("_by_dictionary"))
+        .otherwise(F.col(col))
     )
+    return routed.withColumn(out, by_route).drop("_by_dictionary")
 
 
 def _segments_below(
