@@ -42,7 +42,7 @@ from veilframe.operators.segments import (
 )
 from veilframe.options import STRATEGIES, Options
 from veilframe.plans.strategies import pseudonymize
-from veilframe.plans.summary import run_summary, timed
+from veilframe.plans.summary import observed, run_summary, timed
 from veilframe.shared import fresh_path
 from veilframe.sources.sinks import read_mirrored, replace_in_place, write_mirrored
 from veilframe.sources.text import opt_out, profile_files, profile_texts, quarantine
@@ -114,9 +114,9 @@ def a5_write_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "masked")
     named = masked.withColumnRenamed("file", "rel_path")
     write_mirrored(named, path, "line", ("line_no",), fmt="parquet")
-    schema = "line_no bigint, line string, rel_path string"
+    schema = "line_no bigint, value string, rel_path string"
     back = spark.read.schema(schema).parquet(path)
-    return back.select(F.col("rel_path").alias("file"), "line_no", "line")
+    return back.select(F.col("rel_path").alias("file"), "line_no", F.col("value").alias("line"))
 
 
 def a6_replace_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,7 +350,7 @@ def g2_run_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
         log_lines(spark, sf_dir), "file", "line", Options(strategy="IN_PLACE")
     )
     path = fresh_path(spark, "timed")
-    timing = timed(masked, "line", lambda df: df.write.parquet(path))
+    timing = timed(lambda seen: observed(masked, "line", seen).write.parquet(path))
     back = spark.read.schema(masked.schema).parquet(path)
     return back.agg(
         F.count("*").alias("rows_written"),

@@ -1,0 +1,184 @@
+"""Detection, distinct segments, cleaning, ranks, counts, routes, joins."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+import brute
+from veilframe.detectors import Detector, loose_profile, strict_profile
+from veilframe.functions.tokens import TokenRule
+from veilframe.operators.detection import detect, sensitive_rows
+from veilframe.operators.dictionary import token_collisions, token_dictionary
+from veilframe.operators.joins import attach, hot_keys
+from veilframe.operators.ranking import rank_within
+from veilframe.operators.routing import coin_route, density_routes, size_route
+from veilframe.operators.segments import (
+    by_precedence,
+    cleaned,
+    counts_by_kind,
+    distinct_segments,
+    longest_first,
+)
+
+LOOSE, STRICT = loose_profile(), strict_profile()
+
+
+def plain_rows(df):
+    return [(r["file"], r["line"]) for r in df.collect()]
+
+
+def test_detect_equals_plain_python(lines):
+    got = detect(lines, ["file", "line_no"], "line", LOOSE).collect()
+    expected = [
+        (r["file"], r["line_no"], d.kind, i, s)
+        for r in lines.collect()
+        for d in LOOSE
+        for i, s in enumerate(brute.matches(d, r["line"] or ""))
+    ]
+    assert sorted(map(tuple, got), key=repr) == sorted(expected, key=repr)
+
+
+def test_prechecks_never_hide_a_match(spark):
+    """Texts near the edge of every precheck, with and without them."""
+    texts = [
+        "1:2:3:4:5:6:7:8", "a:b:c:d:e:f:0:1:2", "fe80:%a", "FE80::1%Z", "fe80:1:2%x", "::", ":1", "1::",
+        "1.2.3.4", "1.2", "::ffff:1.2.3.4", "1:2::1.2.3.4", "/", "/a", "a:b", "02:00:00:00:00:01",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    bare = [Detector(d.kind, d.regex, d.phase, d.rank) for d in LOOSE + STRICT]
+    for guarded, plain in zip(LOOSE + STRICT, bare, strict=True):
+        a = detect(df, "t", "t", [guarded])
+        assert sorted(a.collect()) == sorted(detect(df, "t", "t", [plain]).collect()), plain.kind
+
+
+def test_one_scan_for_all_kinds(lines):
+    plan = detect(lines, "file", "line", LOOSE)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1 and "Exchange" not in plan
+
+
+def test_sensitive_rows(lines):
+    assert {r["file"] for r in sensitive_rows(lines, "line", STRICT).collect()} == {"a", None}
+
+
+def test_distinct_segments_equal_plain_python(lines):
+    got = {(r["file"], r["kind"], r["segment"]) for r in distinct_segments(lines, "file", "line", LOOSE).collect()}
+    found = brute.segments(plain_rows(lines), LOOSE)
+    assert got == {(f, k, s) for f, pairs in found.items() for k, s in pairs}
+
+
+def test_counts_keep_files_without_segments(lines):
+    segments = distinct_segments(lines, "file", "line", LOOSE, keep_empty=True)
+    got = {r["file"]: r.asDict() for r in counts_by_kind(segments, "file", LOOSE).collect()}
+    found = brute.segments(plain_rows(lines), LOOSE)
+    assert {f: r["total_segments"] for f, r in got.items()} == {f: len(s) for f, s in found.items()}
+    assert got["a"]["n_ipv4"] == 4 and got["a"]["n_file_dir"] == 2 and got["b"]["total_segments"] == 0
+
+
+def test_cleaning(spark):
+    cases = [
+        ("user=bob'", "user=bob"),
+        ("user=bob''", "user=bob"),
+        ("user=b'ob", "user=b'ob"),
+        ("pwd: '''", "pwd:"),
+        ("'''", None),
+        ("  x\t", "x"),
+        ("'x", "'x"),
+    ]
+    df = spark.createDataFrame([("K", raw) for raw, _ in cases], "kind string, segment string")
+    assert {r["segment"] for r in cleaned(df).collect()} == {c for _, c in cases if c}
+
+
+def test_longest_first(spark):
+    rows = [("f", "K", s) for s in ("aa", "b", "ccc", "bb", "c")] + [("f", "L", "a"), (None, "K", "zz")]
+    df = spark.createDataFrame(rows, "file string, kind string, segment string")
+    got = {(r["file"], r["kind"], r["segment"]): r["rank"] for r in longest_first(df, "file").collect()}
+    assert [got["f", "K", s] for s in ("ccc", "aa", "bb", "b", "c")] == [1, 2, 3, 4, 5]
+    assert got["f", "L", "a"] == 1 and got[None, "K", "zz"] == 1
+
+
+def test_precedence_puts_paths_before_addresses(spark):
+    rows = [("f", k, s) for k, s in (("IPV4", "10.0.0.12"), ("IPV4", "10.0.0.1"), ("FILE-DIR", "/a"), ("IPV6", "::"))]
+    df = spark.createDataFrame(rows, "file string, kind string, segment string")
+    got = by_precedence(df, "file", LOOSE).orderBy("rank").collect()
+    assert [r["segment"] for r in got] == ["/a", "10.0.0.12", "10.0.0.1", "::"]
+
+
+def test_rank_within_a_group_over_many_slices(spark):
+    """One group holds all but a few rows and spans all range partitions."""
+    df = spark.range(5000).select(
+        F.when(F.col("id") % 100 == 0, F.lit("small")).otherwise(F.lit("hot")).alias("g"),
+        ((F.col("id") * 7919) % 5000).alias("v"),
+    ).repartition(8)
+    got = rank_within(df, ["g"], [F.desc("v")], "nth").collect()
+    for g in ("small", "hot"):
+        ordered = [r["v"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["nth"])]
+        assert ordered == sorted(ordered, reverse=True)
+        assert sorted(r["nth"] for r in got if r["g"] == g) == list(range(1, len(ordered) + 1))
+
+
+def test_routes(lines):
+    def routes(threshold):
+        got = density_routes(lines, "file", "line", LOOSE, threshold).collect()
+        return {r["file"]: r["route"] for r in got}
+
+    total = len(brute.segments(plain_rows(lines), LOOSE)["a"])
+    assert routes(total) == {"a": "inline", "b": "ignored", None: "dictionary"}
+    assert routes(total + 1) == {"a": "dictionary", "b": "ignored", None: "dictionary"}
+    assert routes(1) == {"a": "inline", "b": "ignored", None: "inline"}
+
+
+def test_coin_is_repeatable_and_fair(spark):
+    files = spark.range(2000).select(F.concat(F.lit("f"), "id").alias("file"))
+    flip = files.select("file", coin_route("file", "1234").alias("r"))
+    assert sorted(flip.collect()) == sorted(flip.repartition(3).collect())
+    assert 850 < flip.where(F.col("r") == "split_merge").count() < 1150
+
+
+def test_size_route(spark):
+    df = spark.createDataFrame([("é" * 5,), ("x" * 9,), (None,)], "t string")
+    got = [r[0] for r in df.select(size_route(F.col("t"), 9)).collect()]
+    assert got == ["split", "whole", "whole"]
+
+
+def test_dictionary_and_collisions(spark):
+    df = spark.createDataFrame([("a", f"10.0.{i // 250}.{i % 250}") for i in range(600)], "file string, line string")
+    dictionary = token_dictionary(df, "file", "line", STRICT, TokenRule(width=1))
+    assert dictionary.count() == 600
+    per_token = token_collisions(dictionary)
+    assert per_token.count() == 16
+    assert per_token.agg(F.sum("n_segments")).first()[0] == 600
+    assert token_collisions(token_dictionary(df, "file", "line", STRICT, TokenRule(width=32))).count() == 0
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_salted_join_equals_broadcast_join(spark, rows_of, how):
+    left = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"),
+        F.lit("the same line everywhere").alias("v"),
+    ).unionByName(spark.createDataFrame([(None, "no key")], "k string, v string"))
+    right = spark.createDataFrame([("hot", 1), ("k3", 2), ("k7", 3), (None, 4)], "k string, w int")
+    small = attach(left, right, ["k"], how, broadcast_limit=1 << 20)
+    salted = attach(left, right, ["k"], how, broadcast_limit=0)
+    assert rows_of(small) == rows_of(salted)
+
+
+def test_hot_keys_are_few_and_spread_by_share(spark):
+    df = spark.range(8000).select(F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id")).alias("k"))
+    (hot,) = hot_keys(df, ["k"]).collect()
+    assert hot["_n_salts"] == 4  # half of the rows over half of the 8 partitions
+
+
+def test_copies_of_one_row_are_spread(spark):
+    """A third of the rows are one row copied: no join partition holds them all."""
+    left = spark.range(9000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("copied")).otherwise(F.col("id").cast("string")).alias("k")
+    ).repartition(16)
+    right = spark.createDataFrame([("copied", 1)], "k string, w int")
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        joined = attach(left, right, ["k"], broadcast_limit=0).where("k = 'copied'")
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", True)
+    assert sum(sizes) == 3000 and len(sizes) >= 2

@@ -6,9 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilframe.operators.joins import attach
 from veilframe.options import Options
 from veilframe.plans.strategies import pseudonymize
-from veilframe.plans.summary import Timing, run_summary, timed
+from veilframe.plans.summary import Timing, observed, run_summary, timed
 from veilframe.sources.sinks import PATH_COLUMN, replace_in_place, write_mirrored
 from veilframe.sources.text import LINE_ORDER, opt_out, quarantine, scan_text
 
@@ -50,14 +51,16 @@ def run_folder(
     )
     if output_path is not None:
         masked = pseudonymize(kept, PATH_COLUMN, "value", options)
-        timing = timed(masked, "value", lambda df: write_mirrored(df, output_path, fmt=fmt))
+        timing = timed(
+            lambda seen: write_mirrored(
+                masked, output_path, fmt=fmt, at_write=lambda rows: observed(rows, "value", seen)
+            )
+        )
         return FolderRun(summary, bad, timing)
 
     summary = spark.createDataFrame(summary.collect(), summary.schema)  # one row
 
     def masked_and_opted_out(_: DataFrame) -> DataFrame:
-        from veilframe.operators.joins import attach
-
         masked = pseudonymize(kept, PATH_COLUMN, "value", options)
         untouched = attach(
             readable,

@@ -65,15 +65,20 @@ class Timing:
     text_bytes: int
 
 
-def timed(df: DataFrame, col: str, action: Callable[[DataFrame], None]) -> Timing:
-    """Run an action and measure it; counts come from the same job."""
-    seen = Observation()
-    observed = df.observe(
+def observed(df: DataFrame, col: str, seen: Observation) -> DataFrame:
+    """The frame, with its rows and text bytes counted as they pass."""
+    return df.observe(
         seen,
         F.count(F.lit(1)).alias("rows"),
         F.coalesce(F.sum(F.octet_length(F.col(col)).cast("bigint")), F.lit(0)).alias("text_bytes"),
     )
+
+
+def timed(action: Callable[[Observation], None]) -> Timing:
+    """Run an action and measure it.  It must put its ``observed`` right at the
+    write: what lies below a range partitioning runs twice, for the sample."""
+    seen = Observation()
     start = time.monotonic()
-    action(observed)
+    action(seen)
     seconds = time.monotonic() - start
     return Timing(seconds, seen.get["rows"], seen.get["text_bytes"])

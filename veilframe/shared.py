@@ -17,16 +17,16 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; in local mode without
-    that setting, a fresh temporary folder."""
-    folder = spark.conf.get(_SETTING, None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_SETTING} to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="veilframe-")
-    spark.conf.set(_SETTING, folder)
-    return folder
+    """The folder named by ``spark.checkpoint.dir``, or else the one set on the
+    context; in local mode without either, a fresh temporary folder."""
+    context = spark.sparkContext
+    folder = spark.conf.get(_SETTING, None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"set {_SETTING} to a folder all executors can reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="veilframe-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

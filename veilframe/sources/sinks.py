@@ -19,22 +19,24 @@ def write_mirrored(
     col: str = "value",
     order: Sequence[str] = LINE_ORDER,
     fmt: str = "text",
+    at_write: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> None:
     """One directory per input file (``rel_path=…``) below ``out``.
 
     ``text`` output is range-partitioned on file and line order, so the lines
     of a file, read by part-file name, are in order and one large file spreads
     over many tasks.  ``parquet`` output keeps the order columns instead and
-    needs no shuffle.
+    needs no shuffle.  ``at_write`` is applied to the rows as they are written.
     """
     if fmt == "parquet":
-        rows = df.select(PATH_COLUMN, *order, col)
-        rows.write.partitionBy(PATH_COLUMN).parquet(out)
+        rows = df.select(PATH_COLUMN, *order, F.col(col).alias("value"))
+        at_write(rows).write.partitionBy(PATH_COLUMN).parquet(out)
         return
     if fmt != "text":
         raise ValueError(f"format must be text or parquet, got {fmt!r}")
     in_order = df.repartitionByRange(PATH_COLUMN, *order).sortWithinPartitions(PATH_COLUMN, *order)
-    in_order.select(PATH_COLUMN, F.col(col).alias("value")).write.partitionBy(PATH_COLUMN).text(out)
+    rows = in_order.select(PATH_COLUMN, F.col(col).alias("value"))
+    at_write(rows).write.partitionBy(PATH_COLUMN).text(out)
 
 
 def read_mirrored(spark: SparkSession, path: str) -> DataFrame:
