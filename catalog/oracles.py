@@ -261,6 +261,11 @@ def _build() -> dict[str, str]:
             f"{_IN_LINES} SELECT file, kind, segment, row_number() OVER (PARTITION BY file, kind "
             f"ORDER BY length(segment) DESC, segment) AS rank FROM ({clean_log_segments})"
         ),
+        "c3_longest_first_documents": (
+            "SELECT source, kind, segment, row_number() OVER (PARTITION BY source, kind "
+            "ORDER BY length(segment) DESC, segment) AS rank "
+            f"FROM ({_cleaned(_distinct('documents', 'source', 'text', LOOSE), 'source')})"
+        ),
         "c4_segment_counts": _IN_LINES + _counts("log_lines", "file", "line", LOOSE),
         "c4_segment_counts_documents": _counts("documents", "doc_id", "text", STRICT),
         "c5_precedence": (

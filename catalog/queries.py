@@ -208,6 +208,11 @@ def c3_longest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longest_first(cleaned(_log_segments(spark, sf_dir)), "file")
 
 
+def c3_longest_first_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = distinct_segments(documents(spark, sf_dir), "source", "text", LOOSE)
+    return longest_first(cleaned(segments), "source")
+
+
 def c4_segment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts_by_kind(_log_segments(spark, sf_dir, keep_empty=True), "file", LOOSE)
 
@@ -405,6 +410,7 @@ QUERIES: dict[str, Query] = {
         c2_clean_segments,
         c2_clean_segments_pages,
         c3_longest_first,
+        c3_longest_first_documents,
         c4_segment_counts,
         c4_segment_counts_documents,
         c5_precedence,

@@ -121,7 +121,9 @@ def _bound(rewrite: Callable[..., Column], *args) -> Callable[[Column], Column]:
     return lambda text: rewrite(text, *args)
 
 
+_BLANKS = " \t\r\n\f\x0b"
+
+
 def clean_segment(segment: Column) -> Column:
     """Trailing single quotes off, then surrounding whitespace off."""
-    unquoted = F.regexp_replace(segment, r"'+$", "")
-    return F.regexp_replace(unquoted, r"^[ \t\r\n\f\x0b]+|[ \t\r\n\f\x0b]+$", "")
+    return F.btrim(F.rtrim(segment, F.lit("'")), F.lit(_BLANKS))

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from veilframe.detectors import Detector
 from veilframe.functions.tokens import TokenRule
 from veilframe.operators.joins import attach
-from veilframe.operators.segments import cleaned, distinct_segments, priority_of
-from veilframe.shared import content_bytes, names, written
+from veilframe.operators.segments import distinct_segments, priority_of
+from veilframe.shared import content_bytes, names, row_bytes, written
 
 _TAIL = 3
 
@@ -44,7 +44,7 @@ def token_collisions(dictionary: DataFrame) -> DataFrame:
 
 def entries(segments: DataFrame, detectors: list[Detector], tokens: TokenRule) -> DataFrame:
     """Cleaned segments with token and sort fields, ready to be collected."""
-    return cleaned(segments).select(
+    return segments.select(
         *[c for c in segments.columns if c not in ("kind", "segment")],
         priority_of(F.col("kind"), detectors).cast("int").alias("priority"),
         (-F.length("segment")).cast("int").alias("neg_length"),
@@ -102,17 +102,21 @@ def rewrite_by_entries(
     """
     keys = names(key)
     use = F.lit(True) if when is None else when
-    sizes = dictionary.groupBy(*keys).agg(F.count("*").alias("_n"))
-    widest = sizes.agg(F.max("_n")).first()[0] or 0
+    sizes = dictionary.groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.sum(row_bytes(dictionary)).alias("_bytes")
+    )
+    widest, size = sizes.agg(F.coalesce(F.max("_n"), F.lit(0)), F.coalesce(F.sum("_bytes"), F.lit(0))).first()
 
     narrow = dictionary
     wide = None
     if widest > max_inline_entries:
+        sizes = sizes.drop("_bytes")
         flagged = attach(dictionary, sizes, keys, broadcast_limit=broadcast_limit)
         narrow = flagged.where(F.col("_n") <= max_inline_entries)
         wide = written(flagged.where(F.col("_n") > max_inline_entries).drop("_n"), "wide")
+        size = content_bytes(narrow)
 
-    per_key, size = _indexed(narrow, keys), content_bytes(narrow)
+    per_key = _indexed(narrow, keys)
     if carry is not None:
         per_key = attach(carry, per_key, keys, broadcast_limit=broadcast_limit, right_bytes=size)
         size += content_bytes(carry)
@@ -215,11 +219,11 @@ def rewrite_with_dictionary(
     tokens: TokenRule,
     out: str | None = None,
     *,
-    max_inline_entries: int = 20_000,
+    max_inline_entries: int = 5_000,
     broadcast_limit: int = 32 * 1024 * 1024,
 ) -> DataFrame:
     """Collect the segments of every key, then replace them in its lines."""
-    segments = distinct_segments(df, key, col, detectors)
+    segments = distinct_segments(df, key, col, detectors, clean=True)
     target = out or col
     result = rewrite_by_entries(
         df,

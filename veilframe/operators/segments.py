@@ -20,18 +20,23 @@ def distinct_segments(
     detectors: list[Detector],
     *,
     keep_empty: bool = False,
+    clean: bool = False,
 ) -> DataFrame:
     """``(key…, kind, segment)``, each once.
 
     Repeats are dropped within the row first, then by partial aggregation
     before the shuffle.  ``keep_empty`` adds one row with null kind and segment
-    per key that has rows without a match, so that no key gets lost.
+    per key that has rows without a match, so that no key gets lost.  ``clean``
+    gives the ``cleaned`` segments at once, with one shuffle instead of two.
     """
     keys = names(key)
 
     def tagged(d: Detector) -> Column:
+        found = matches(F.col(col), d)
+        if clean:
+            found = F.filter(F.transform(found, clean_segment), lambda m: m != "")
         return F.transform(
-            F.array_distinct(matches(F.col(col), d)),
+            F.array_distinct(found),
             lambda m: F.struct(F.lit(d.kind).alias("kind"), m.alias("segment")),
         )
 

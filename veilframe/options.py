@@ -40,7 +40,7 @@ class Options:
     strict: list[Detector] = field(default_factory=strict_profile)
     loose: list[Detector] = field(default_factory=loose_profile)
     # Files with more dictionary entries than this take the substring join.
-    max_inline_entries: int = 20_000
+    max_inline_entries: int = 5_000
     # A joined side is broadcast only when its measured content is at most this.
     broadcast_limit_bytes: int = 32 * 1024 * 1024
 

@@ -10,6 +10,7 @@ from veilframe.operators.joins import attach
 from veilframe.options import Options
 from veilframe.plans.strategies import pseudonymize
 from veilframe.plans.summary import Timing, observed, run_summary, timed
+from veilframe.shared import spread_out
 from veilframe.sources.sinks import PATH_COLUMN, replace_in_place, write_mirrored
 from veilframe.sources.text import LINE_ORDER, opt_out, quarantine, scan_text
 
@@ -38,7 +39,7 @@ def run_folder(
     their lines, and unreadable lines stop the run, so that nothing gets lost.
     """
     options = options or Options()
-    lines = scan_text(spark, input_path)
+    lines = spread_out(scan_text(spark, input_path))
     summary = run_summary(lines, PATH_COLUMN, "value", LINE_ORDER, options)
     readable, bad = quarantine(lines)
     kept, skipped = opt_out(

@@ -13,7 +13,7 @@ from veilframe.operators.joins import attach
 from veilframe.operators.parts import scrub_in_parts
 from veilframe.operators.rewriting import mask_kinds, scrub
 from veilframe.operators.routing import DICTIONARY, INLINE, routes_from
-from veilframe.operators.segments import distinct_segments
+from veilframe.operators.segments import cleaned, distinct_segments
 from veilframe.options import (
     HYBRID,
     HYBRID_SPLIT,
@@ -96,7 +96,7 @@ def hybrid_with_route(
         df,
         keys,
         col,
-        written(entries(sparse, o.loose, o.tokens), "entries"),
+        written(entries(cleaned(sparse), o.loose, o.tokens), "entries"),
         "_by_dictionary",
         max_inline_entries=o.max_inline_entries,
         broadcast_limit=o.broadcast_limit_bytes,

@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
@@ -53,7 +53,21 @@ def names(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """Size of a row's content: strings by their bytes, nested values by their
+    JSON text, anything else as eight bytes, and a few for the row itself."""
+    size = F.lit(16)
+    for name, kind in df.dtypes:
+        column = F.col(f"`{name}`")
+        if kind == "string":
+            size = size + F.coalesce(F.octet_length(column), F.lit(0))
+        elif "<" in kind:
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+        else:
+            size = size + F.lit(8)
+    return size.cast("bigint")
+
+
 def content_bytes(df: DataFrame) -> int:
-    """Size of a frame's content: the length of its rows as JSON."""
-    row = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    return df.agg(F.coalesce(F.sum(row + F.lit(16)), F.lit(0)).alias("n")).first()["n"]
+    """Size of a frame's content, measured."""
+    return df.agg(F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("n")).first()["n"]
