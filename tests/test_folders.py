@@ -218,6 +218,15 @@ def test_run_summary(spark, corpus):
     assert (row["files_seen"], row["status"]) == (0, "IGNORED")
 
 
+def test_summary_of_unreadable_lines(spark, folder):
+    """A first line decides about its file even when it cannot be read."""
+    files = {"bad.log": b"\xff\n", "late.log": b"\xff\n-DONT-OBFUSCATE-ME-\n/x\n"}
+    lines = scan_text(spark, write_files(os.path.join(folder, "u"), files))
+    (row,) = run_summary(lines, "rel_path", "value", LINE_ORDER, Options()).collect()
+    assert (row["files_seen"], row["opted_out"], row["quarantined_lines"]) == (2, 0, 2)
+    assert (row["untouched"], row["rewritten"], row["n_file_dir"]) == (1, 1, 1)
+
+
 def test_timing(spark):
     df = spark.range(1000).selectExpr("'é' AS t")
     seen = timed(lambda o: observed(df, "t", o).write.format("noop").mode("overwrite").save())

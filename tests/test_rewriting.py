@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +151,41 @@ def test_one_character_segments_by_join(spark):
         assert {r["line"] for r in got.collect()} >= {t["5"]}
 
 
+PIECES = [
+    *"0123456789abf./:{}'=- \x01\x02",
+    *("10.0.0.", "1.2.3.4", "::", "fe80:", "02:00:11:", "/a", "/var/log", "user", "password: ", "token=", "%e"),
+]
+
+
+def random_rows(seed, n):
+    """Lines made of pieces of segments, so that many nearly match."""
+    rng = random.Random(seed)
+    return [
+        (rng.choice(["a", "a", "a", "b", "c"]), "".join(rng.choices(PIECES, k=rng.randint(0, 14))))
+        for _ in range(n)
+    ]
+
+
+@pytest.mark.parametrize("profile", [strict_profile, loose_profile])
+def test_random_lines_scrub(spark, profile):
+    lines = [t for _, t in random_rows(1, 4000)]
+    got = texts(scrub(corpus(spark, lines), "line", profile(), TOKENS))
+    assert got == [brute.scrub(t, profile()) for t in lines]
+
+
+@pytest.mark.parametrize("inline, broadcast", [LIMITS[0], LIMITS[2], LIMITS[3]])
+def test_random_lines_dictionary(spark, inline, broadcast):
+    rows = random_rows(2, 600)
+    df = spark.createDataFrame(rows, "file string, line string")
+    got = rewrite_with_dictionary(
+        df, "file", "line", loose_profile(), TOKENS, "out",
+        max_inline_entries=inline, broadcast_limit=broadcast,
+    )
+    expected = brute.dictionary_rewrite(rows, loose_profile())
+    want = sorted((f, t, e) for (f, t), e in zip(rows, expected, strict=True))
+    assert sorted((r["file"], r["line"], r["out"]) for r in got.collect()) == want
+
+
 def test_same_segment_same_token_across_files(spark):
     df = spark.createDataFrame([("a", "10.0.0.1"), ("b", "x 10.0.0.1")], "file string, line string")
     got = {r["line"] for r in pseudonymize(df, "file", "line", Options(strategy="LOW_LEVEL")).collect()}

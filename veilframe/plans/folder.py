@@ -36,22 +36,23 @@ def run_folder(
 
     Opted-out files are left out of a new output folder.  Without
     ``output_path`` the folder is rewritten in place: opted-out files then keep
-    their lines, and unreadable lines stop the run, so that nothing gets lost.
+    their lines, and unreadable lines of other files stop the run, so that
+    nothing gets lost.
     """
     options = options or Options()
     lines = spread_out(scan_text(spark, input_path))
     summary = run_summary(lines, PATH_COLUMN, "value", LINE_ORDER, options)
-    readable, bad = quarantine(lines)
     kept, skipped = opt_out(
-        readable,
+        lines,
         PATH_COLUMN,
         "value",
         LINE_ORDER,
         options.ignore_hint,
         broadcast_limit=options.broadcast_limit_bytes,
     )
+    readable, bad = quarantine(kept)
     if output_path is not None:
-        masked = pseudonymize(kept, PATH_COLUMN, "value", options)
+        masked = pseudonymize(readable, PATH_COLUMN, "value", options)
         timing = timed(
             lambda seen: write_mirrored(
                 masked, output_path, fmt=fmt, at_write=lambda rows: observed(rows, "value", seen)
@@ -62,9 +63,9 @@ def run_folder(
     summary = spark.createDataFrame(summary.collect(), summary.schema)  # one row
 
     def masked_and_opted_out(_: DataFrame) -> DataFrame:
-        masked = pseudonymize(kept, PATH_COLUMN, "value", options)
+        masked = pseudonymize(readable, PATH_COLUMN, "value", options)
         untouched = attach(
-            readable,
+            lines,
             skipped,
             [PATH_COLUMN],
             "left_semi",

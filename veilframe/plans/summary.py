@@ -28,12 +28,14 @@ def run_summary(
     summary: it raises.
     """
     keys = names(key)
-    readable, bad = quarantine(df, col)
     kept, skipped = opt_out(
-        readable, keys, col, order, options.ignore_hint, broadcast_limit=options.broadcast_limit_bytes
+        df, keys, col, order, options.ignore_hint, broadcast_limit=options.broadcast_limit_bytes
     )
+    _, bad = quarantine(kept, col)
     counts = [count_column(d.kind) for d in options.loose]
-    routes = density_routes(kept, keys, col, options.loose, options.threshold)
+    # Unreadable lines count as lines without text, so their files are seen.
+    readable = kept.withColumn(col, F.when(F.is_valid_utf8(F.col(col)), F.col(col)))
+    routes = density_routes(readable, keys, col, options.loose, options.threshold)
     zero = F.lit(0).cast("bigint")
     untouched = (F.col("route") == IGNORED).cast("bigint")
     measures = ["files_seen", "opted_out", "untouched", "rewritten", "quarantined_lines", *counts]
