@@ -33,24 +33,35 @@ def register_functions(
     nested = "text"
     for d in in_order(detectors):
         name = f"{prefix}_scrub_{d.kind.lower().replace('-', '_')}"
-        pattern = _literal(d.regex)
-        fixed = tokens.inner(d.kind)
-        hit_tail = f"left({_hash(f'concat({_literal(fixed)}, hit)', tokens)}, {tokens.width})"
-        hit_token = f"concat({_literal('{{' + d.kind + '-')}, {hit_tail}, '}}}}')"
-        glued = f"concat(gap, coalesce({hit_token}, ''))"
-        _create(
-            spark,
-            name,
-            "text STRING",
-            f"CASE WHEN text RLIKE {pattern} THEN array_join(zip_with("
-            f"split(text, {pattern}, -1), regexp_extract_all(text, {pattern}, 0), "
-            f"(gap, hit) -> {glued}), '') ELSE text END",
-        )
+        # Bound once by transform, so that nested calls do not multiply.
+        rewritten = f"CASE WHEN {_found('t', d)} THEN {_glued('t', d, tokens)} ELSE t END"
+        body = f"element_at(transform(array(text), t -> {rewritten}), 1)"
+        _create(spark, name, "text STRING", body)
         created.append(name)
         nested = f"{name}({nested})"
     _create(spark, f"{prefix}_scrub", "text STRING", nested)
     return [*created, f"{prefix}_scrub"]
 
 
+def _found(text: str, d: Detector) -> str:
+    """Does the detector find something, cheap checks first?"""
+    signs = [f"contains({text}, {_literal(d.sign)})"] if d.sign else []
+    signs += [f"{text} RLIKE {_literal(d.precheck)}"] if d.precheck else []
+    checks = [f"contains({text}, {_literal(d.needs)})"] if d.needs else []
+    checks += [f"({' OR '.join(signs)})"] if signs else []
+    return " AND ".join([*checks, f"{text} RLIKE {_literal(d.regex)}"])
+
+
+def _glued(text: str, d: Detector, tokens: TokenRule) -> str:
+    """The text between matches, joined by the tokens of the matches."""
+    pattern = _literal(d.regex)
+    salted = f"concat({_literal(tokens.inner(d.kind))}, hit)"
+    token = f"concat({_literal('{{' + d.kind + '-')}, left({_hash(salted, tokens)}, {tokens.width}), '}}}}')"
+    return (
+        f"array_join(zip_with(split({text}, {pattern}, -1), regexp_extract_all({text}, {pattern}, 0), "
+        f"(gap, hit) -> concat(gap, coalesce({token}, ''))), '')"
+    )
+
+
 def _create(spark: SparkSession, name: str, params: str, body: str) -> None:
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS STRING RETURN {body}")
