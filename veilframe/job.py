@@ -1,6 +1,7 @@
-"""Masking a folder as a Spark job: ``spark-submit … -m veilframe.job -i logs -o masked``.
+"""Masking a folder as a Spark job: ``spark-submit veilframe/job.py -i logs -o masked``.
 
-Cluster size, parallelism and logging are Spark's own settings.
+The repository must be on PYTHONPATH.  Cluster size, parallelism and logging are
+Spark's own settings.
 """
 
 from __future__ import annotations
