@@ -1,16 +1,15 @@
 """Byte-level BPE by forced boundaries.
 
 A pair of neighbouring bytes that occurs inside no vocabulary token can never
-be merged over, so a cut between them is certain.  A piece of pre-tokenized
-text is cut at all such pairs, each fragment is merged on its own, and the ids
-are concatenated.  Fragments are short whatever the text, so that merging
-stays cheap even for a very long run of letters.
+be merged over, so a cut between them is certain.  A text is cut at such
+places, its fragments are merged each on its own, equal ones once, and the ids
+are concatenated.  All fragments of a slice of texts are merged side by side:
+each round applies every fragment's lowest ranked pair.
 """
 
 from __future__ import annotations
 
 import json
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.llm.text import map_texts
+from veilframe.llm.text import map_texts, raw
 
 # Fixed value: the pattern that splits text before byte-level merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MAX_CACHED = 200_000
-MAX_CACHED_CHARS = 64
+_UNMERGED = np.iinfo(np.int64).max
+# Bytes that end no Unicode blank: ASCII signs, letters and digits.
+_SOLID = np.zeros(256, bool)
+_SOLID[0x21:0x7F] = True
 
 
 def byte_letters() -> dict[str, int]:
@@ -36,84 +37,165 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(rest)}
 
 
+def tables(spec: dict) -> dict:
+    """What encoding and decoding look up, from a vocabulary file's content:
+    merges by pair of ids, ids of bytes, bytes of ids, special tokens, and
+    which bytes are neighbours inside some token."""
+    model, letters = spec["model"], byte_letters()
+    pre, decoder = spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+    options = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    usual = pre.get("type") == decoder.get("type") == "ByteLevel" and pre.get("use_regex", True)
+    if model.get("type") != "BPE" or not usual or pre.get("add_prefix_space") or spec.get("normalizer") or any(map(model.get, options)):
+        raise ValueError("not a plain byte-level BPE vocabulary")
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    tokens = {t: i for t, i in model["vocab"].items() if t not in special}
+    as_bytes = {t: bytes(map(letters.__getitem__, t)) for t in tokens}
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    keys, first = np.unique(np.array([(tokens[a] << 32) | tokens[b] for a, b in merges], np.int64), return_index=True)
+    inside = np.zeros((256, 256), bool)
+    for token in as_bytes.values():
+        held = np.frombuffer(token, np.uint8)
+        inside[held[:-1], held[1:]] = True
+    pieces = {i: as_bytes[t] for t, i in tokens.items()} | {i: s.encode() for s, i in special.items()}
+    by_letter = {b: tokens[c] for c, b in letters.items()}
+    return {
+        "keys": keys,
+        "ranks": first.astype(np.int64),
+        "made": np.array([tokens[a + b] for a, b in merges], np.int64),
+        "byte_ids": np.array([by_letter[b] for b in range(256)], np.int64),
+        "inside": inside,
+        "pieces": pa.array([pieces.get(i, b"") for i in range(max(pieces) + 1)], pa.large_binary()),
+        "special": special,
+    }
+
+
 class Codec:
-    """Vocabulary, merge ranks, special tokens and the table of byte pairs."""
-
-    def __init__(self, spec: dict):
-        model, letters = spec["model"], byte_letters()
-        pre, decoder = spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
-        plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
-        if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or decoder.get("type") != "ByteLevel" or spec.get("normalizer") or pre.get("add_prefix_space") or not pre.get("use_regex", True) or not plain:
-            raise ValueError("not a plain byte-level BPE vocabulary")
-        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        as_bytes = {t: bytes(letters[c] for c in t) for t in model["vocab"] if t not in special}
-        self.ids = {b: model["vocab"][t] for t, b in as_bytes.items()}
-        self.special = special
-        merges = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.ranks = {(as_bytes[a], as_bytes[b]): n for n, (a, b) in enumerate(merges)}
-        self.inside = np.zeros((256, 256), bool)
-        for token in self.ids:
-            raw = np.frombuffer(token, np.uint8)
-            self.inside[raw[:-1], raw[1:]] = True
-        pieces = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in special.items()}
-        self.pieces = pa.array([pieces.get(i, b"") for i in range(max(pieces) + 1)], pa.large_binary())
+    """Encodes and decodes arrays of texts with the tables of a vocabulary."""
+
+    def __init__(self, held: dict):
+        self.keys, self.ranks, self.made = held["keys"], held["ranks"], held["made"]
+        self.byte_ids, self.inside, self.pieces = held["byte_ids"], held["inside"], held["pieces"]
+        self.special = held["special"]
         self.split = regex.compile(SPLIT)
-        ordered = sorted(special, key=len, reverse=True)
-        self.special_split = regex.compile("(" + "|".join(map(regex.escape, ordered)) + ")") if special else None
-        self.cache: dict[str, list[int]] = {}
-
-    def merged(self, fragment: bytes) -> list[int]:
-        """Ids of one fragment: the lowest ranked pair is merged until none is left."""
-        parts = [fragment[i : i + 1] for i in range(len(fragment))]
-        while len(parts) > 1:
-            ranked = [self.ranks.get(pair, len(self.ranks)) for pair in zip(parts, parts[1:], strict=False)]
-            best = min(ranked)
-            if best == len(self.ranks):
-                break
-            merged, i = [], 0
-            while i < len(parts):
-                if i < len(ranked) and ranked[i] == best:
-                    merged.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    merged.append(parts[i])
-                    i += 1
-            parts = merged
-        return [self.ids[p] for p in parts]
-
-    def fragments(self, piece: bytes) -> list[bytes]:
-        """The piece cut between bytes that are neighbours in no token."""
-        raw = np.frombuffer(piece, np.uint8)
-        cuts = [0, *(np.flatnonzero(~self.inside[raw[:-1], raw[1:]]) + 1).tolist(), len(piece)]
-        return [piece[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    def piece(self, piece: str) -> list[int]:
-        ids = self.cache.get(piece)
-        if ids is None:
-            ids = [i for f in self.fragments(piece.encode()) for i in self.merged(f)]
-            if len(piece) <= MAX_CACHED_CHARS:
-                if len(self.cache) >= MAX_CACHED:
-                    self.cache.clear()
-                self.cache[piece] = ids
-        return ids
-
-    def plain(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.piece, self.split.findall(text))))
-
-    def encode(self, text: str) -> list[int]:
-        if self.special_split is None or not any(s in text for s in self.special):
-            return self.plain(text)
-        ids: list[int] = []
-        for part in self.special_split.split(text):
-            ids += [self.special[part]] if part in self.special else self.plain(part)
-        return ids
+        ordered = sorted(self.special, key=len, reverse=True)
+        self.special_split = regex.compile("(" + "|".join(map(regex.escape, ordered)) + ")") if ordered else None
+        self.whole_texts = any(regex.search(r"\s", t) for t in ordered)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each pair of ids; ``_UNMERGED`` if there is none."""
+        if not len(self.keys):
+            return np.full(len(left), _UNMERGED)
+        key = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], _UNMERGED)
+
+    def merged(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all fragments, one after another, and how many each has;
+        fragments begin at ``starts`` and none is empty."""
+        ids = self.byte_ids[data]
+        owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(data))))
+        rank = np.full(len(ids), _UNMERGED)
+        rank[:-1] = np.where(owner[:-1] == owner[1:], self.rank(ids[:-1], ids[1:]), _UNMERGED)
+        done_ids, done_owners = [], []
+        while len(ids):
+            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            size = np.diff(np.append(first, len(ids)))
+            low = np.minimum.reduceat(rank, first)
+            ended = np.repeat(low == _UNMERGED, size)
+            if ended.any():
+                done_ids.append(ids[ended])
+                done_owners.append(owner[ended])
+                ids, owner, rank = ids[~ended], owner[~ended], rank[~ended]
+                if not len(ids):
+                    break
+                low, size = low[low != _UNMERGED], size[low != _UNMERGED]
+            hit = rank == np.repeat(low, size)
+            # Of overlapping pairs (aaa) every second one, from the left.
+            place = np.arange(len(hit))
+            run = np.maximum.accumulate(np.where(hit & ~np.append(False, hit[:-1]), place, 0))
+            at = np.flatnonzero(hit & ((place - run) % 2 == 0))
+            ids[at] = self.made[rank[at]]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, owner, rank = ids[keep], owner[keep], rank[keep]
+            at = at - np.arange(len(at))
+            near = np.zeros(len(ids) + 1, bool)
+            near[at] = near[at - 1] = True  # for 0, the spare place at the end
+            rank[-1] = _UNMERGED
+            touched = np.flatnonzero(near[:-2])
+            same = owner[touched] == owner[touched + 1]
+            rank[touched] = np.where(same, self.rank(ids[touched], ids[touched + 1]), _UNMERGED)
+        if not done_ids:
+            return np.zeros(0, np.int64), np.zeros(len(starts), np.int64)
+        ids, owner = np.concatenate(done_ids), np.concatenate(done_owners)
+        order = np.argsort(owner, kind="stable")
+        return ids[order], np.bincount(owner, minlength=len(starts))
+
+    def solid(self, data: np.ndarray) -> np.ndarray:
+        """Bytes that surely end no blank: ASCII signs, and the second byte of
+        two-byte letters (blanks among those begin with C2)."""
+        solid = _SOLID[data]
+        solid[1:] |= (data[:-1] >= 0xC3) & (data[:-1] < 0xE0)
+        return solid
+
+    def units(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Starts of units that pre-tokenization never looks beyond: the texts,
+        cut where a blank follows what is surely none."""
+        cut = np.zeros(len(data) + 1, bool)
+        cut[offsets[:-1]] = True
+        if not self.whole_texts:
+            cut[1:-1] |= self.solid(data)[:-1] & (data[1:] == 0x20)
+        return np.flatnonzero(cut[:-1])
+
+    def pretokens(self, text: str) -> list[str]:
+        """Pieces of a text that may hold special tokens."""
+        if self.special_split is None:
+            return self.split.findall(text)
+        parts = self.special_split.split(text)
+        return [x for p in parts for x in ([p] if p in self.special else self.split.findall(p))]
+
+    def encode_units(self, units: pa.Array) -> pa.Array:
+        """Lists of ids of distinct, non-empty units."""
+        any_special = any(pc.any(pc.match_substring(units, t)).as_py() for t in self.special)
+        data, ends = raw(units)
+        # Units that begin and end as if cut out of a text are searched as one.
+        alone = any_special | (data[ends[:-1]] != 0x20) | ~self.solid(data)[ends[1:] - 1]
+        order = np.argsort(alone, kind="stable")
+        units = units.take(pa.array(order))
+        data, ends = raw(units)
+        n_joined = int((~alone).sum())
+        pieces = self.split.findall(data[: ends[n_joined]].tobytes().decode())
+        cut_up = self.pretokens if any_special else self.split.findall
+        for unit in units.slice(n_joined).to_pylist():
+            pieces += cut_up(unit)
+        # The pieces, one after another, are the units again.
+        piece_ends = np.append(0, np.cumsum(pc.binary_length(pa.array(pieces, pa.large_string())).to_numpy()))
+        cut = np.ones(len(data), bool)
+        cut[1:] = ~self.inside[data[:-1], data[1:]]
+        cut[piece_ends[:-1]] = True
+        upto = np.append(0, np.cumsum(cut))  # fragments before each byte
+        fragments, codes = _distinct(data, np.flatnonzero(cut))
+        ids, n_ids = _taken(_lists(*self.merged(*_bytes_and_starts(fragments))), codes)
+        before = np.append(0, np.cumsum(n_ids))
+        if any_special:
+            keep = np.ones(len(ids), bool)
+            for piece, a, b in zip(pieces, before[upto[piece_ends[:-1]]], before[upto[piece_ends[1:]]], strict=True):
+                if piece in self.special:
+                    keep[a + 1 : b] = False
+                    ids[a] = self.special[piece]
+            ids, before = ids[keep], np.append(0, np.cumsum(keep))[before]
+        return _lists(ids, np.diff(before[upto[ends]])).take(pa.array(np.argsort(order)))
 
     def encode_all(self, texts: pa.Array) -> pa.Array:
-        found = [self.encode(t) if t else [] for t in texts.to_pylist()]
-        offsets = np.zeros(len(found) + 1, np.int32)
-        np.cumsum([len(f) for f in found], out=offsets[1:])
-        values = np.fromiter(chain.from_iterable(found), np.int32, int(offsets[-1]))
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+        """Lists of ids, one per text."""
+        data, offsets = raw(texts)
+        if not len(data):
+            return pa.array([[]] * len(texts), pa.list_(pa.int32()))
+        starts = self.units(data, offsets)
+        units, codes = _distinct(data, starts)
+        ids, n_ids = _taken(self.encode_units(units.cast(pa.large_string())), codes)
+        bounds = np.append(0, np.cumsum(n_ids))[np.searchsorted(starts, offsets)]
+        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
 
     def decode_all(self, ids: pa.Array) -> pa.Array:
         """Texts of lists of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -136,11 +218,35 @@ class Codec:
             return pa.array([b.decode("utf-8", "replace") for b in joined.to_pylist()], pa.string())
 
 
+def _distinct(data: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Distinct stretches of the bytes (as binary), and which one each is."""
+    ends = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
+    parts = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, ends, pa.py_buffer(np.ascontiguousarray(data))])
+    coded = parts.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy()
+
+
+def _bytes_and_starts(parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, ends = raw(parts)
+    return data, ends[:-1]
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int64)), pa.array(values))
+
+
+def _taken(lists: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and sizes of the lists with these numbers, one after another."""
+    found = lists.take(pa.array(codes))
+    sizes = found.value_lengths().to_numpy(zero_copy_only=False)
+    return found.flatten().to_numpy(zero_copy_only=False).copy(), sizes
+
+
 def load(path: str) -> dict:
-    """A vocabulary file, read by the driver and sent to the tasks: its size is
-    fixed by the tokenizer, not by the data."""
+    """Tables of a vocabulary file, made by the driver and sent to the tasks:
+    their size is fixed by the tokenizer, not by the data."""
     with open(path, encoding="utf-8") as file:
-        return json.load(file)
+        return tables(json.load(file))
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text", rows: list[str] | None = None) -> DataFrame:
@@ -155,7 +261,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", rows: list[str] | N
         return [codecs[0].encode_all(texts)]
 
     columns = [F.col(f"`{c}`") for c in (df.columns if rows is None else rows)]
-    return map_texts(df, F.col(f"`{text_col}`"), columns, [T.StructField("ids", T.ArrayType(T.IntegerType()))], work)
+    return map_texts(df, F.col(f"`{text_col}`"), columns, [T.StructField("ids", T.ArrayType(T.IntegerType()))], work, 8 << 20)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

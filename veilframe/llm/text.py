@@ -61,7 +61,10 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
+    if not pa.types.is_large_binary(texts.type):
+        texts = texts.cast(pa.large_string())
     _, offsets, data = texts.buffers()
     offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     if data is None or len(texts) == 0:
