@@ -290,3 +290,12 @@ def predict(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         "score",
         "spans",
     )
+
+
+def in_one_language(
+    df: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> DataFrame:
+    """The rows whose text has a language with at least the share ``least`` of
+    its letters; null texts and texts without a letter go."""
+    found = label(df, train(df, id_col, text_col, lang_col), df.columns, text_col)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

@@ -26,12 +26,12 @@ from veilframe.shared import written
 class Settings:
     """``sample_rows`` bounds the labelled target texts learned from; the raw
     model is learned from all documents.  ``k`` is the number of documents to
-    sample; by default as many as have a weight in favour of the target.
-    ``temperature`` scales the noise against the weights."""
+    sample; by default as many as lie above the weight that best parts the
+    good from the bad rows of the labelled sample.  ``temperature`` scales the noise against the weights."""
 
     sample_rows: int = 20_000
     buckets: int = 1 << 16
-    prior: float = 5.0
+    prior: float = 30.0
     temperature: float = 0.25
     k: int | None = None
     seed: int = 42
@@ -86,6 +86,21 @@ def log_ratio(target: np.ndarray, everything: np.ndarray, prior: float) -> np.nd
     return np.log(ratio / (raw_p * ratio).sum(axis=1, keepdims=True))
 
 
+def cut(weights: np.ndarray, good: np.ndarray) -> float:
+    """The weight that best parts good rows (from there on) from bad ones: most
+    of both on their side, in the middle of the gap; 0 if one kind is missing."""
+    if good.all() or not good.any():
+        return 0.0
+    order = np.argsort(weights, kind="stable")
+    weights, good = weights[order], good[order]
+    below = np.append(0, np.cumsum(~good)) / (~good).sum() - np.append(0, np.cumsum(good)) / good.sum()
+    below[1:-1][weights[1:] == weights[:-1]] = -1  # equal weights stay together
+    edges = np.concatenate([[weights[0] - 2], weights, [weights[-1] + 2]])
+    best = np.flatnonzero(below == below.max())
+    widest = best[np.argmax(edges[best + 1] - edges[best])]
+    return float((edges[widest] + edges[widest + 1]) / 2)
+
+
 def train(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """The table of log ratios."""
     good = labelled_sample(labels.where("quality = 1"), "quality", s.sample_rows, F.lit(True), id_col)
@@ -142,10 +157,16 @@ def kth_largest(values: DataFrame, k: int, bins: int = 1024) -> float | None:
     return sorted((r[0] for r in inside.collect()), reverse=True)[k - 1]
 
 
-def threshold(weights: DataFrame, s: Settings) -> float | None:
+def threshold(weights: DataFrame, labels: DataFrame, s: Settings, id_col: str) -> float | None:
     """From which perturbed weight on documents are sampled; ``weights`` is
-    written and has ``perturbed`` and ``log_weight``."""
-    k = weights.where("log_weight >= 0").count() if s.k is None else s.k
+    written and has ``id``, ``log_weight`` and ``perturbed``."""
+    k = s.k
+    if k is None:
+        sample = labelled_sample(labels, "quality", s.sample_rows, F.lit(True), id_col)
+        seen = weights.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("log_weight").alias("w"), F.max("label").alias("label"))
+        seen = seen.toArrow()
+        least = cut(seen["w"].to_numpy(), seen["label"].to_numpy() == 1)
+        k = weights.where(F.col("log_weight") >= least).count()
     return kth_largest(weights.select("perturbed"), k) if k else None
 
 
@@ -157,7 +178,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, rows: list[str], id_col: str, t
         return with_weight(docs, table, columns, text_col).withColumn("perturbed", F.col("log_weight") + noise)
 
     narrow = written(weighted([id_col]).select(F.col(f"row.`{id_col}`").alias("id"), "log_weight", "perturbed"), "weights")
-    least = threshold(narrow, s)
+    least = threshold(narrow, labels, s, id_col)
     if rows == [id_col]:
         whole = narrow.select(F.struct(F.col("id").alias(id_col)).alias("row"), "log_weight", "perturbed")
     else:
