@@ -261,7 +261,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", rows: list[str] | N
         return [codecs[0].encode_all(texts)]
 
     columns = [F.col(f"`{c}`") for c in (df.columns if rows is None else rows)]
-    return map_texts(df, F.col(f"`{text_col}`"), columns, [T.StructField("ids", T.ArrayType(T.IntegerType()))], work, 8 << 20)
+    return map_texts(df, F.col(f"`{text_col}`"), columns, [T.StructField("ids", T.ArrayType(T.IntegerType()))], work, 4 << 20)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
