@@ -33,6 +33,8 @@ HEADLINE = (
     "s2_sam_documents",
     "a8_merge_parts",
     "g1_run_summary",
+    "a5_run_folder",
+    "d3_dictionary_rewrite_documents_wide",
 )
 
 

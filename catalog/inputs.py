@@ -47,6 +47,12 @@ def log_folder(spark: SparkSession, lines: DataFrame, col: str = "line") -> str:
 
 
 def scan_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Such a folder as scanned: ``rel_path`` names the part, ``file`` the log."""
-    directory = F.regexp_extract("rel_path", r"rel_path=([^/]*)/", 1)
-    return scan_text(spark, path).withColumn("file", F.url_decode(directory))
+    """Such a folder as scanned: each directory is the log it mirrors."""
+    return scan_text(spark, path).withColumn("file", F.col("rel_path"))
+
+
+def quoted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log lines of which every other one ends in quotes."""
+    return log_lines(spark, sf_dir).withColumn(
+        "line", F.when(F.col("line_no") % 2 == 0, F.concat("line", F.lit("''"))).otherwise(F.col("line"))
+    )

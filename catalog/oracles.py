@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from catalog.inputs import LOG_LINES_SQL
-from catalog.queries import CARD, HINT, LOOSE, MIN_SPLIT, NUM_PARTS, STRICT
+from catalog.queries import CARD, FIVE, HINT, LOOSE, MIN_SPLIT, NUM_PARTS, STRICT, WORD
 from veilframe.detectors import (
     CREDENTIALS,
     FILE_DIR,
@@ -13,8 +13,11 @@ from veilframe.detectors import (
     Detector,
     addresses_first,
     in_order,
+    paths_first,
     pick,
+    with_detector,
 )
+from veilframe.functions.tokens import seal_sql, seal_text, unseal_sql
 from veilframe.operators.segments import count_column
 from veilframe.sources.text import OPT_OUT_MARKER
 
@@ -28,7 +31,9 @@ def _q(text: str) -> str:
 
 def _token(kind: str, segment: str, salt: str = "1234", width: int = 5, h: str = "md5") -> str:
     """Token of a segment; ``kind`` and ``segment`` are SQL expressions."""
-    inner = f"left({h}(lower({kind}) || {_q(salt)}), 5)"
+    inner = f"{h}(lower({kind}) || {_q(salt)})"
+    if (h, width) == ("md5", 5):
+        inner = f"left({inner}, 5)"
     return f"('{{{{' || {kind} || '-' || left({h}({inner} || {segment}), {width}) || '}}}}')"
 
 
@@ -63,7 +68,7 @@ def _scrub_steps(source: str, keys: str, col: str, detectors: list[Detector]) ->
     steps, current = [], source
     for i, d in enumerate(in_order(detectors)):
         rx = _q(d.regex)
-        glued = f"z[1] || coalesce({_token(_q(d.kind), 'z[2]')}, '')"
+        glued = f"z[1] || coalesce({seal_sql(_token(_q(d.kind), unseal_sql('z[2]')))}, '')"
         text = (
             f"CASE WHEN {col} IS NULL THEN NULL ELSE array_to_string(list_transform(list_zip("
             f"string_split_regex({col}, {rx}), regexp_extract_all({col}, {rx}, 0)), "
@@ -71,7 +76,8 @@ def _scrub_steps(source: str, keys: str, col: str, detectors: list[Detector]) ->
         )
         steps.append(f"scrub{i} AS (SELECT {keys}, {text} AS {col} FROM {current})")
         current = f"scrub{i}"
-    return ", ".join(steps), current
+    steps.append(f"scrubbed AS (SELECT {keys}, {unseal_sql(col)} AS {col} FROM {current})")
+    return ", ".join(steps), "scrubbed"
 
 
 def _scrub(source: str, keys: str, col: str, detectors: list[Detector], before: str = "") -> str:
@@ -82,15 +88,15 @@ def _scrub(source: str, keys: str, col: str, detectors: list[Detector], before:
 def _mask(source: str, keys: str, col: str, detectors: list[Detector]) -> str:
     text = col
     for d in in_order(detectors):
-        text = f"regexp_replace({text}, {_q(d.regex)}, '{{{{{d.kind}}}}}', 'g')"
-    return f"SELECT {keys}, {text} AS {col} FROM {source}"
+        text = f"regexp_replace({text}, {_q(d.regex)}, {_q(seal_text('{{' + d.kind + '}}'))}, 'g')"
+    return f"SELECT {keys}, {unseal_sql(text)} AS {col} FROM {source}"
 
 
 def _entries(source: str, key: str, col: str, detectors: list[Detector], where: str = "TRUE") -> str:
     """One ordered list of ``segment‖chr(1)‖token`` per key."""
     segments = _cleaned(_distinct(source, key, col, detectors), key)
     return (
-        f"SELECT {key}, list(segment || chr(1) || {_token('kind', 'segment')} "
+        f"SELECT {key}, list(segment || chr(1) || {seal_sql(_token('kind', 'segment'))} "
         f"ORDER BY {_priority(detectors)}, -length(segment), segment) AS entries "
         f"FROM ({segments}) WHERE {where} GROUP BY {key}"
     )
@@ -100,14 +106,17 @@ def _fold(col: str) -> str:
     segment, token = "split_part(e, chr(1), 1)", "split_part(e, chr(1), 2)"
     held = f"list_filter(entries, lambda e: contains({col}, {segment}))"
     return (
-        f"CASE WHEN entries IS NULL THEN {col} ELSE list_reduce(list_prepend({col}, {held}), "
-        f"lambda text, e: replace(text, {segment}, {token})) END"
+        f"CASE WHEN entries IS NULL THEN {col} ELSE "
+        + unseal_sql(f"list_reduce(list_prepend({col}, {held}), lambda text, e: replace(text, {segment}, {token}))")
+        + " END"
     )
 
 
-def _dictionary_rewrite(source: str, key: str, rest: str, col: str, before: str = "") -> str:
+def _dictionary_rewrite(
+    source: str, key: str, rest: str, col: str, before: str = "", loose: list[Detector] = LOOSE
+) -> str:
     return (
-        f"WITH {before + ', ' if before else ''}dict AS ({_entries(source, key, col, LOOSE)}) "
+        f"WITH {before + ', ' if before else ''}dict AS ({_entries(source, key, col, loose)}) "
         f"SELECT l.{key}, {rest}, {_fold(col)} AS {col} FROM {source} l "
         f"LEFT JOIN dict ON l.{key} = dict.{key}"
     )
@@ -124,19 +133,28 @@ def _counts(source: str, key: str, col: str, detectors: list[Detector]) -> str:
     )
 
 
-def _routes(source: str, key: str, col: str, threshold: int) -> str:
+def _routes(source: str, key: str, col: str, threshold: int, loose: list[Detector] = LOOSE) -> str:
     return (
         f"SELECT *, CASE WHEN total_segments = 0 THEN 'ignored' WHEN total_segments >= {threshold} "
-        f"THEN 'inline' ELSE 'dictionary' END AS route FROM ({_counts(source, key, col, LOOSE)})"
+        f"THEN 'inline' ELSE 'dictionary' END AS route FROM ({_counts(source, key, col, loose)})"
     )
 
 
-def _hybrid(source: str, key: str, row: str, col: str, threshold: int, before: str = "") -> str:
+def _hybrid(
+    source: str,
+    key: str,
+    row: str,
+    col: str,
+    threshold: int,
+    before: str = "",
+    strict: list[Detector] = STRICT,
+    loose: list[Detector] = LOOSE,
+) -> str:
     """``row`` identifies a row of the source."""
-    steps, last = _scrub_steps(source, f"{key}, {row}", col, STRICT)
+    steps, last = _scrub_steps(source, f"{key}, {row}", col, strict)
     return (
-        f"WITH {before + ', ' if before else ''}routes AS ({_routes(source, key, col, threshold)}), "
-        f"dict AS ({_entries(source, key, col, LOOSE)}), {steps} "
+        f"WITH {before + ', ' if before else ''}routes AS ({_routes(source, key, col, threshold, loose)}), "
+        f"dict AS ({_entries(source, key, col, loose)}), {steps} "
         f"SELECT l.{key}, l.{row}, CASE route WHEN 'ignored' THEN l.{col} WHEN 'inline' THEN s.{col} "
         f"ELSE {_fold('l.' + col)} END AS {col} FROM {source} l JOIN routes r ON r.{key} = l.{key} "
         f"JOIN {last} s ON s.{row} = l.{row} AND s.{key} = l.{key} LEFT JOIN dict ON dict.{key} = l.{key}"
@@ -183,6 +201,22 @@ def _split(n: int, min_bytes: int) -> str:
     )
 
 
+def _summary(counts: str, before: str, skipped: str = "(SELECT count(*) FROM skipped)", bad: str = "0") -> str:
+    """One row from counts per file."""
+    sums = ", ".join(
+        f"CAST(coalesce(sum({count_column(d.kind)}), 0) AS BIGINT) AS {count_column(d.kind)}" for d in LOOSE
+    )
+    return (
+        f"WITH {before}, counts AS ({counts}) "
+        "SELECT *, CASE WHEN files_seen > opted_out THEN 'SUCCESS' ELSE 'IGNORED' END AS status FROM ("
+        "SELECT (SELECT count(DISTINCT file) FROM log_lines) AS files_seen, "
+        f"CAST({skipped} AS BIGINT) AS opted_out, "
+        "count(*) FILTER (WHERE total_segments = 0) AS untouched, "
+        "count(*) FILTER (WHERE total_segments > 0) AS rewritten, "
+        f"CAST({bad} AS BIGINT) AS quarantined_lines, {sums} FROM counts)"
+    )
+
+
 _IN_LINES = f"WITH {LL} "
 _LL_KEYS = "file, line_no"
 
@@ -215,17 +249,29 @@ def _build() -> dict[str, str]:
     )
     scrub_docs = _scrub("documents", "doc_id", "text", STRICT)
     log_rewrite = _dictionary_rewrite("log_lines", "file", "line_no", "line", LL)
-    per_kind_sums = ", ".join(
-        f"CAST(coalesce(sum({count_column(d.kind)}), 0) AS BIGINT) AS {count_column(d.kind)}" for d in LOOSE
+    opted_in = f"{LL}, {_opted_in(HINT)}"
+    columns = ", ".join([*(count_column(d.kind) for d in LOOSE), "total_segments"])
+    by_route = (
+        f"SELECT file, {columns} FROM ({_routes('kept', 'file', 'line', 200)}) WHERE route <> 'inline' UNION ALL "
+        f"SELECT file, {columns} FROM ({_counts('kept', 'file', 'line', STRICT)}) WHERE file IN "
+        f"(SELECT file FROM ({_routes('kept', 'file', 'line', 200)}) WHERE route = 'inline')"
     )
+    ends = "CASE WHEN line_no % 2 = 0 THEN line || chr(39) || chr(39) ELSE line END AS line"
+    readable = "CASE WHEN line_no % 17 <> 0 THEN line END AS line"
+    bad_lines = "(SELECT count(*) FROM log_lines WHERE line_no % 17 = 0)"
+    coin = "CASE WHEN left(md5('1234' || file), 1) < '8' THEN 'split_merge' ELSE 'split_in_place' END"
     card = [*STRICT, CARD]
     oracles = {
         "a1_scan_text_corpus": f"{_IN_LINES} SELECT file, {nth}, line FROM log_lines",
+        "a1_rescan_mirrored": f"{_IN_LINES} SELECT file, {nth}, line FROM log_lines",
         "a2_opt_out": f"WITH {LL}, {_opted_in(HINT)} SELECT * FROM kept",
         "a3_quarantine": (
             f"{_IN_LINES} SELECT file, count(*) FILTER (WHERE line_no % 17 <> 0) AS n_good, "
             "count(*) FILTER (WHERE line_no % 17 = 0) AS n_bad FROM log_lines GROUP BY file"
         ),
+        "a3_quarantine_sink": (
+            f"{_IN_LINES} SELECT file, count(*) AS n_bad FROM log_lines WHERE line_no % 17 = 0 GROUP BY file"
+        ),
         "a4_profile_sources": _profile("source"),
         "a4_profile_documents": _profile("doc_id"),
         "a4_profile_files": (
@@ -233,8 +279,10 @@ def _build() -> dict[str, str]:
             "count(*) AS n_lines FROM log_lines GROUP BY file"
         ),
         "a5_write_mirrored": f"SELECT file, {nth}, line FROM ({scrub_lines})",
+        "a5_run_folder": f"SELECT file, {nth}, line FROM ({scrub_lines})",
         "a5_write_parquet": scrub_lines,
         "a6_replace_in_place": f"SELECT file, line FROM ({scrub_lines})",
+        "a6_replace_twice": f"SELECT file, {nth}, line FROM ({scrub_lines})",
         "a7_split_parts": parts,
         "a8_merge_parts": "SELECT doc_id, text FROM documents",
         "b1_detect_ipv4": _docs(pick(STRICT, IPV4)),
@@ -253,10 +301,15 @@ def _build() -> dict[str, str]:
         "b8_sensitive_turns": "SELECT DISTINCT conv_id, turn FROM ("
         + _found("conversations", "conv_id, turn", "text", STRICT)
         + ")",
+        "b8_sensitive_lines": f"{_IN_LINES} SELECT DISTINCT file, line_no FROM ("
+        + _found("log_lines", _LL_KEYS, "line", STRICT)
+        + ")",
         "c1_distinct_segments": _IN_LINES + log_segments,
         "c1_distinct_segments_documents": _distinct("documents", "source", "text", STRICT),
         "c2_clean_segments": _IN_LINES + clean_log_segments,
         "c2_clean_segments_pages": _cleaned(_distinct("pages", "page_id", "html", LOOSE), "page_id"),
+        "c2_clean_segments_quoted": f"WITH {LL}, quoted AS (SELECT file, line_no, {ends} FROM log_lines) "
+        + _cleaned(_distinct("quoted", "file", "line", LOOSE), "file"),
         "c3_longest_first": (
             f"{_IN_LINES} SELECT file, kind, segment, row_number() OVER (PARTITION BY file, kind "
             f"ORDER BY length(segment) DESC, segment) AS rank FROM ({clean_log_segments})"
@@ -280,10 +333,12 @@ def _build() -> dict[str, str]:
         "d2_scrub_documents": scrub_docs,
         "d2_scrub_log_lines": scrub_lines,
         "d2_scrub_addresses_first": _scrub("log_lines", _LL_KEYS, "line", addresses_first(STRICT), LL),
+        "d2_scrub_paths_first": _scrub("log_lines", _LL_KEYS, "line", paths_first(STRICT), LL),
         "d2_scrub_pages": _scrub("pages", "page_id, url", "html", STRICT),
         "d3_dictionary_rewrite": log_rewrite,
         "d3_dictionary_rewrite_wide": log_rewrite,
         "d3_dictionary_rewrite_documents": _dictionary_rewrite("documents", "source", "doc_id", "text"),
+        "d3_dictionary_rewrite_documents_wide": _dictionary_rewrite("documents", "source", "doc_id", "text"),
         "d4_mask_documents": _mask("documents", "doc_id", "text", LOOSE),
         "d4_mask_log_lines": _IN_LINES + _mask("log_lines", _LL_KEYS, "line", LOOSE),
         "d5_token_dictionary": _IN_LINES + log_dictionary,
@@ -308,19 +363,23 @@ def _build() -> dict[str, str]:
         "s2_sam": scrub_lines,
         "s2_sam_documents": scrub_docs,
         "s3_sip": scrub_lines,
+        "s3_sip_documents": scrub_docs,
+        "s6_hybrid_split_documents": scrub_docs,
+        "s6_hybrid_split_sinks": f"SELECT {coin} AS sink, file, line FROM ({scrub_lines})",
         "s4_low_level": log_rewrite,
         "s5_hybrid": _hybrid("log_lines", "file", "line_no", "line", 200, LL),
         "s5_hybrid_documents": _hybrid("documents", "source", "doc_id", "text", 5),
         "s6_hybrid_split": scrub_lines,
         "s7_ripgrep": _IN_LINES + _mask("log_lines", _LL_KEYS, "line", LOOSE),
-        "g1_run_summary": (
-            f"WITH {LL}, {_opted_in(HINT)}, routes AS ({_routes('kept', 'file', 'line', 200)}) "
-            "SELECT *, CASE WHEN files_seen > opted_out THEN 'SUCCESS' ELSE 'IGNORED' END AS status FROM ("
-            "SELECT (SELECT count(DISTINCT file) FROM log_lines) AS files_seen, "
-            "(SELECT count(*) FROM skipped) AS opted_out, "
-            "count(*) FILTER (WHERE route = 'ignored') AS untouched, "
-            "count(*) FILTER (WHERE route <> 'ignored') AS rewritten, "
-            f"CAST(0 AS BIGINT) AS quarantined_lines, {per_kind_sums} FROM routes)"
+        "g1_run_summary": _summary(by_route, opted_in),
+        "g1_run_summary_in_place": _summary(_counts("kept", "file", "line", STRICT), opted_in),
+        "g1_run_summary_low_level": _summary(_counts("kept", "file", "line", LOOSE), opted_in),
+        "g1_run_summary_ripgrep": _summary(_counts("kept", "file", "line", LOOSE), opted_in),
+        "g1_run_summary_quarantine": _summary(
+            _counts("readable", "file", "line", STRICT),
+            f"{LL}, readable AS (SELECT file, line_no, {readable} FROM log_lines)",
+            "0",
+            bad_lines,
         ),
         "g2_run_timing": (
             "SELECT count(*) AS rows_written, count(*) AS rows_observed, "
@@ -328,6 +387,13 @@ def _build() -> dict[str, str]:
         ),
         "u1_custom_detector": _scrub("documents", "doc_id", "text", card),
         "u1_custom_detector_matches": _docs(card),
+        "u1_custom_digits": _scrub("log_lines", _LL_KEYS, "line", with_detector(STRICT, FIVE), LL),
+        "u1_custom_hybrid": _hybrid(
+            "log_lines", "file", "line_no", "line", 200, LL, with_detector(STRICT, WORD), with_detector(LOOSE, WORD)
+        ),
+        "u1_custom_low_level": _dictionary_rewrite(
+            "log_lines", "file", "line_no", "line", LL, with_detector(LOOSE, WORD)
+        ),
         "u2_sql_functions": (
             f"SELECT file, line_no, line, {_token(_q(IPV4), 'file')} AS file_token FROM ({scrub_lines})"
         ),

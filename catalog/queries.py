@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.inputs import documents, log_folder, log_lines, pages, scan_logs, table
+from catalog.inputs import documents, log_folder, log_lines, pages, quoted_lines, scan_logs, table
 from veilframe.detectors import (
     CREDENTIALS,
     FILE_DIR,
@@ -17,6 +17,7 @@ from veilframe.detectors import (
     Detector,
     addresses_first,
     loose_profile,
+    paths_first,
     pick,
     strict_profile,
     with_detector,
@@ -41,16 +42,19 @@ from veilframe.operators.segments import (
     longest_first,
 )
 from veilframe.options import STRATEGIES, Options
+from veilframe.plans.folder import run_folder
 from veilframe.plans.strategies import pseudonymize
 from veilframe.plans.summary import observed, run_summary, timed
 from veilframe.shared import fresh_path
-from veilframe.sources.sinks import read_mirrored, replace_in_place, write_mirrored
-from veilframe.sources.text import opt_out, profile_files, profile_texts, quarantine
+from veilframe.sources.sinks import placed, read_mirrored, replace_in_place, write_mirrored
+from veilframe.sources.text import LINE_ORDER, opt_out, profile_files, profile_texts, quarantine
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 STRICT, LOOSE, TOKENS = strict_profile(), loose_profile(), TokenRule()
 CARD = Detector("CARD", r"\b[0-9]{16}\b", phase=1, rank=9)
+FIVE = Detector("FIVE", r"\b[0-9]{5}\b", phase=3)
+WORD = Detector("WORD", r"\b(?:IPV4|inet|seq)\b", phase=3)
 HINT = "heartbeat"
 NUM_PARTS = 3
 MIN_SPLIT = 1000
@@ -59,11 +63,24 @@ MIN_SPLIT = 1000
 # --- sources and sinks -------------------------------------------------------
 
 
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Scanned lines with their place in the file."""
+    ranked = rank_within(lines, ["rel_path"], [F.col(c) for c in LINE_ORDER], "nth")
+    return ranked.select(F.col("rel_path").alias("file"), "nth", F.col("value").alias("line"))
+
+
 def a1_scan_text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = scan_logs(spark, log_folder(spark, log_lines(spark, sf_dir)))
-    order = [F.col("rel_path"), F.col("block_start"), F.col("line_id")]
-    ranked = rank_within(lines, ["file"], order, "nth")
-    return ranked.select("file", "nth", F.col("value").alias("line"))
+    return _numbered(scan_logs(spark, log_folder(spark, log_lines(spark, sf_dir))))
+
+
+def a1_rescan_mirrored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every log lies in several part files; they are read as one file."""
+    path = fresh_path(spark, "parts")
+    named = log_lines(spark, sf_dir).withColumnRenamed("file", "rel_path")
+    in_order = placed(named, ("line_no",)).sortWithinPartitions("rel_path", "line_no")
+    parts = in_order.select("rel_path", "line").write.partitionBy("rel_path")
+    parts.option("maxRecordsPerFile", 7).text(path)
+    return _numbered(scan_logs(spark, path))
 
 
 def a2_opt_out(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +101,17 @@ def a3_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("file").agg(F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"))
 
 
+def a3_quarantine_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unreadable lines by file, from the folder that a run lists them in."""
+    broken = F.concat(F.unhex(F.lit("FFFE")), F.col("line").cast("binary")).cast("string")
+    lines = log_lines(spark, sf_dir).withColumn(
+        "line", F.when(F.col("line_no") % 17 == 0, broken).otherwise(F.col("line"))
+    )
+    path, out = log_folder(spark, lines), fresh_path(spark, "masked")
+    run = run_folder(spark, path, out, Options(strategy="IN_PLACE"))
+    return run.quarantined.groupBy(F.col("rel_path").alias("file")).agg(F.count("*").alias("n_bad"))
+
+
 def a4_profile_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_texts(documents(spark, sf_dir), "source", "text")
 
@@ -94,19 +122,21 @@ def a4_profile_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a4_profile_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of a written log folder; the parts of a log are added up."""
-    parts = profile_files(scan_logs(spark, log_folder(spark, log_lines(spark, sf_dir))))
-    log = F.url_decode(F.regexp_extract("rel_path", r"rel_path=([^/]*)/", 1)).alias("file")
-    return parts.groupBy(log).agg(
-        F.sum("n_bytes").alias("n_bytes"), F.sum("n_lines").alias("n_lines")
-    )
+    profile = profile_files(scan_logs(spark, log_folder(spark, log_lines(spark, sf_dir))))
+    return profile.select(F.col("rel_path").alias("file"), "n_bytes", "n_lines")
 
 
 def a5_write_mirrored(spark: SparkSession, sf_dir: str) -> DataFrame:
     masked = scrub(log_lines(spark, sf_dir), "line", STRICT, TOKENS)
     path = log_folder(spark, masked)
-    order = [F.col("part"), F.col("block_start"), F.col("line_id")]
-    ranked = rank_within(read_mirrored(spark, path), ["rel_path"], order, "nth")
-    return ranked.select(F.col("rel_path").alias("file"), "nth", F.col("value").alias("line"))
+    return _numbered(read_mirrored(spark, path))
+
+
+def a5_run_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run to a new folder, with its summary."""
+    path, out = log_folder(spark, log_lines(spark, sf_dir)), fresh_path(spark, "masked")
+    run_folder(spark, path, out, Options(strategy="IN_PLACE"))
+    return _numbered(scan_logs(spark, out))
 
 
 def a5_write_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,9 +152,15 @@ def a5_write_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a6_replace_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = log_folder(spark, log_lines(spark, sf_dir))
     replace_in_place(spark, path, lambda lines: scrub(lines, "value", STRICT, TOKENS))
-    # The swapped folder mirrors the parts of the folder it replaces.
-    name = F.url_decode(F.regexp_extract("rel_path", r"rel_path=([^/]*)/", 1))
-    return read_mirrored(spark, path).select(name.alias("file"), F.col("value").alias("line"))
+    return read_mirrored(spark, path).select(F.col("rel_path").alias("file"), F.col("value").alias("line"))
+
+
+def a6_replace_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second run in place finds the same files, with lines in order."""
+    path = log_folder(spark, log_lines(spark, sf_dir))
+    for _ in range(2):
+        run_folder(spark, path, options=Options(strategy="IN_PLACE", remove_original=True))
+    return _numbered(scan_logs(spark, path))
 
 
 def a7_split_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,6 +216,10 @@ def b8_sensitive_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sensitive_rows(turns, "text", STRICT).select("conv_id", "turn")
 
 
+def b8_sensitive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sensitive_rows(log_lines(spark, sf_dir), "line", STRICT).select("file", "line_no")
+
+
 # --- segments ----------------------------------------------------------------
 
 
@@ -204,6 +244,11 @@ def c2_clean_segments_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned(distinct_segments(pages(spark, sf_dir), "page_id", "html", LOOSE))
 
 
+def c2_clean_segments_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the lines end in quotes, which cleaning takes off."""
+    return cleaned(distinct_segments(quoted_lines(spark, sf_dir), "file", "line", LOOSE))
+
+
 def c3_longest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longest_first(cleaned(_log_segments(spark, sf_dir)), "file")
 
@@ -254,6 +299,10 @@ def d2_scrub_addresses_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scrub(log_lines(spark, sf_dir), "line", addresses_first(STRICT), TOKENS)
 
 
+def d2_scrub_paths_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scrub(log_lines(spark, sf_dir), "line", paths_first(STRICT), TOKENS)
+
+
 def d2_scrub_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scrub(pages(spark, sf_dir), "html", STRICT, TOKENS)
 
@@ -281,6 +330,12 @@ def d3_dictionary_rewrite_documents(spark: SparkSession, sf_dir: str) -> DataFra
     return rewrite_with_dictionary(docs, "source", "text", LOOSE, TOKENS)
 
 
+def d3_dictionary_rewrite_documents_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long cells, with every dictionary on the substring join."""
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
+    return rewrite_with_dictionary(docs, "source", "text", LOOSE, TOKENS, max_inline_entries=1, broadcast_limit=0)
+
+
 def d4_mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mask_kinds(documents(spark, sf_dir).select("doc_id", "text"), "text", LOOSE)
 
@@ -335,6 +390,29 @@ def s2_sam_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scrub_in_parts(docs, "text", STRICT, TOKENS, "text", NUM_PARTS, MIN_SPLIT)
 
 
+def s3_sip_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _split_documents(spark, sf_dir, "SIP")
+
+
+def s6_hybrid_split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _split_documents(spark, sf_dir, "HYBRID_SPLIT")
+
+
+def _split_documents(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    options = Options(strategy=strategy, num_parts=NUM_PARTS, min_split_bytes=MIN_SPLIT)
+    return pseudonymize(docs, "doc_id", "text", options)
+
+
+def s6_hybrid_split_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a run and the sink that the coin sent their file to."""
+    path, out = log_folder(spark, log_lines(spark, sf_dir)), fresh_path(spark, "masked")
+    run_folder(spark, path, out, Options(strategy="HYBRID_SPLIT"))
+    schema = "value string, sink string, rel_path string"
+    rows = spark.read.schema(schema).text(out)
+    return rows.select("sink", F.col("rel_path").alias("file"), F.col("value").alias("line"))
+
+
 def s5_hybrid_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By source, with a threshold that splits the sources over both routes."""
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
@@ -349,6 +427,22 @@ def g1_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_summary(log_lines(spark, sf_dir), "file", "line", ["line_no"], options)
 
 
+def _summary(strategy: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        options = Options(strategy=strategy, ignore_hint=HINT)
+        return run_summary(log_lines(spark, sf_dir), "file", "line", ["line_no"], options)
+
+    return query
+
+
+def g1_run_summary_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    broken = F.concat(F.unhex(F.lit("FFFE")), F.col("line").cast("binary")).cast("string")
+    lines = log_lines(spark, sf_dir).withColumn(
+        "line", F.when(F.col("line_no") % 17 == 0, broken).otherwise(F.col("line"))
+    )
+    return run_summary(lines, "file", "line", ["line_no"], Options(strategy="IN_PLACE"))
+
+
 def g2_run_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times a masked write; the two counts were observed by that very job."""
     masked = pseudonymize(
@@ -374,6 +468,20 @@ def u1_custom_detector_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(documents(spark, sf_dir), "doc_id", "text", with_detector(STRICT, CARD))
 
 
+def u1_custom_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five digits are a kind of their own, but not those of a token."""
+    return scrub(log_lines(spark, sf_dir), "line", with_detector(STRICT, FIVE), TOKENS)
+
+
+def u1_custom_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymize(log_lines(spark, sf_dir), "file", "line", Options().with_kind(WORD))
+
+
+def u1_custom_low_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = Options(strategy="LOW_LEVEL").with_kind(WORD)
+    return pseudonymize(log_lines(spark, sf_dir), "file", "line", options)
+
+
 def u2_sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_functions(spark, STRICT, TOKENS)
     return spark.sql(
@@ -387,14 +495,18 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         a1_scan_text_corpus,
+        a1_rescan_mirrored,
         a2_opt_out,
         a3_quarantine,
+        a3_quarantine_sink,
         a4_profile_sources,
         a4_profile_documents,
         a4_profile_files,
         a5_write_mirrored,
+        a5_run_folder,
         a5_write_parquet,
         a6_replace_in_place,
+        a6_replace_twice,
         a7_split_parts,
         a8_merge_parts,
         b1_detect_ipv4,
@@ -405,10 +517,12 @@ QUERIES: dict[str, Query] = {
         b7_detect_all_log_lines,
         b8_sensitive_documents,
         b8_sensitive_turns,
+        b8_sensitive_lines,
         c1_distinct_segments,
         c1_distinct_segments_documents,
         c2_clean_segments,
         c2_clean_segments_pages,
+        c2_clean_segments_quoted,
         c3_longest_first,
         c3_longest_first_documents,
         c4_segment_counts,
@@ -419,10 +533,12 @@ QUERIES: dict[str, Query] = {
         d2_scrub_documents,
         d2_scrub_log_lines,
         d2_scrub_addresses_first,
+        d2_scrub_paths_first,
         d2_scrub_pages,
         d3_dictionary_rewrite,
         d3_dictionary_rewrite_wide,
         d3_dictionary_rewrite_documents,
+        d3_dictionary_rewrite_documents_wide,
         d4_mask_documents,
         d4_mask_log_lines,
         d5_token_dictionary,
@@ -432,11 +548,18 @@ QUERIES: dict[str, Query] = {
         e2_coin_routes,
         e3_size_routes,
         s2_sam_documents,
+        s3_sip_documents,
         s5_hybrid_documents,
+        s6_hybrid_split_documents,
+        s6_hybrid_split_sinks,
         g1_run_summary,
+        g1_run_summary_quarantine,
         g2_run_timing,
         u1_custom_detector,
         u1_custom_detector_matches,
+        u1_custom_digits,
+        u1_custom_hybrid,
+        u1_custom_low_level,
         u2_sql_functions,
     )
 }
@@ -447,3 +570,4 @@ QUERIES["b4_detect_mac_strict"] = _on_lines(MAC_ADDR, STRICT)
 QUERIES["b5_detect_paths_log_lines"] = _on_lines(FILE_DIR, STRICT)
 QUERIES["b6_detect_credentials_log_lines"] = _on_lines(CREDENTIALS, LOOSE)
 QUERIES |= {f"s{n}_{name.lower()}": _strategy(name) for n, name in enumerate(STRATEGIES, 1)}
+QUERIES |= {f"g1_run_summary_{name.lower()}": _summary(name) for name in ("IN_PLACE", "LOW_LEVEL", "RIPGREP")}

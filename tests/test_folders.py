@@ -30,13 +30,13 @@ from veilframe.sources.text import (
 from veilframe.streaming.logs import masked_stream, write_available
 
 FILES = {
-    "regular.log": b"something\nsummer\nsomething\nwinter\n",
-    "a/file_in_a": b"a simple file in a",
-    "folder 1/b+c/ein%20 b.log": b"inet 127.0.0.1/8\n/vast/data/popo\nusername: admin, password:123456\n",
-    "marked.log": b"-DONT-OBFUSCATE-ME-\nhello\n/vast/data/popo\nusername: admin, password:123456\n",
-    "hinted.log": b"-NoObf4Me-\n\n/vast/data/popo\nusername: admin, password:123456\n",
+    "plain.log": b"tea\ncoffee\ntea\nwater\n",
+    "deep/er/no_extension": b"one line without an end",
+    "folder 1/b+c/ein%20 b.log": b"inet 127.0.0.1/8\n/srv/mail/in\nuser: eve, token=Zx9 q7\n",
+    "marked.log": b"-DONT-OBFUSCATE-ME-\nhello\n/srv/mail/in\nuser: eve, token=Zx9 q7\n",
+    "hinted.log": b"#raw\n\n/srv/mail/in\nuser: eve, token=Zx9 q7\n",
 }
-HINT = "-NoObf4Me-"
+HINT = "^#raw"
 STRICT, TOKENS = strict_profile(), TokenRule()
 
 
@@ -70,12 +70,12 @@ def test_scan_a_nested_folder(spark, corpus):
 
 
 def test_scan_one_file(spark, corpus):
-    got = by_file(scan_text(spark, os.path.join(corpus, "regular.log")))
-    assert got == as_lines({"regular.log": FILES["regular.log"]})
+    got = by_file(scan_text(spark, os.path.join(corpus, "plain.log")))
+    assert got == as_lines({"plain.log": FILES["plain.log"]})
 
 
 def test_scan_with_a_name_pattern(spark, corpus):
-    assert set(by_file(scan_text(spark, corpus, glob="*.log"))) == set(FILES) - {"a/file_in_a"}
+    assert set(by_file(scan_text(spark, corpus, glob="*.log"))) == set(FILES) - {"deep/er/no_extension"}
 
 
 def test_input_must_exist(spark, folder):
@@ -163,7 +163,7 @@ def test_mirrored_output(spark, corpus, folder, fmt):
     if fmt == "text":
         got = by_file(read_mirrored(spark, out), ("part", "block_start", "line_id"))
     else:
-        schema = "block_start long, line_id long, value string, rel_path string"
+        schema = "part string, block_start long, line_id long, value string, rel_path string"
         got = by_file(spark.read.schema(schema).parquet(out))
     assert got == as_lines(FILES)
     with pytest.raises(ValueError):
@@ -201,7 +201,7 @@ def test_replace_in_place(spark, corpus, remove):
 
 def test_replace_in_place_loses_no_line(spark, corpus):
     with pytest.raises(RuntimeError, match="lines read"):
-        replace_in_place(spark, corpus, lambda df: df.where("value <> 'summer'"))
+        replace_in_place(spark, corpus, lambda df: df.where("value <> 'coffee'"))
     assert by_file(scan_text(spark, corpus)) == as_lines(FILES)
 
 
@@ -251,7 +251,7 @@ def test_run_in_place_keeps_opted_out_files(spark, corpus):
     run = run_folder(spark, corpus, options=Options(strategy="RIPGREP", remove_original=True))
     got = by_file(read_mirrored(spark, corpus), ("part", "block_start", "line_id"))
     assert got["marked.log"] == as_lines(FILES)["marked.log"]
-    assert got["hinted.log"][2:] == ["{{FILE-DIR}}", "{{CREDENTIALS}}, {{CREDENTIALS}}"]
+    assert got["hinted.log"][2:] == ["{{FILE-DIR}}", "{{CREDENTIALS}}, {{CREDENTIALS}} q7"]
     assert run.kept_original is None and run.summary.first()["opted_out"] == 1
 
 
@@ -262,6 +262,111 @@ def test_run_in_place_stops_on_unreadable_lines(spark, folder):
     assert os.listdir(path) == ["x.log"]
 
 
+HIDDEN = {"_conf.log": b"/a/b 10.0.0.1\n", ".env": b"token=1\n", "empty.log": b"", "sub/_d/y.log": b"/x\n", ".x/z": b""}
+
+
+def tree(folder):
+    """Files below a folder with their content, without what Spark adds."""
+    found = {}
+    for at, _, names in os.walk(folder):
+        for name in names:
+            if name != "_SUCCESS" and not name.endswith(".crc"):
+                path = os.path.join(at, name)
+                with open(path, "rb") as f:
+                    found[os.path.relpath(path, folder)] = f.read()
+    return found
+
+
+def test_run_in_place_keeps_files_that_are_not_read(spark, folder):
+    binary = {"image.bin": b"\x00\x01 /srv/x\n10.0.0.1\n"}
+    path = write_files(os.path.join(folder, "in"), HIDDEN | binary | {"x.log": b"/srv/x\n"})
+    for _ in range(2):
+        run = run_folder(spark, path, options=Options(strategy="IN_PLACE", remove_original=True))
+        assert run.unread == sorted(HIDDEN)
+        assert {n: c for n, c in tree(path).items() if n in HIDDEN} == HIDDEN
+        assert sorted(os.listdir(path)) == sorted([".env", ".x", "_SUCCESS", "_conf.log", "empty.log", "rel_path=image.bin", "rel_path=x.log", "sub"] + [n for n in os.listdir(path) if n.endswith(".crc")])
+        files = by_file(scan_text(spark, path))
+        assert files["image.bin"] == ["\x00\x01 /srv/x", "10.0.0.1"]
+        assert files["x.log"][0].startswith("{{FILE-DIR-")
+    assert sorted(os.listdir(folder)) == ["in"]
+
+
+def test_unread_files_are_not_copied_to_a_new_folder(spark, folder):
+    path = write_files(os.path.join(folder, "in"), HIDDEN | {"x.log": b"/srv/x\n"})
+    run = run_folder(spark, path, os.path.join(folder, "out"), Options(strategy="IN_PLACE"))
+    assert run.unread == sorted(HIDDEN)
+    assert by_file(scan_text(spark, os.path.join(folder, "out"))).keys() == {"x.log"}
+
+
+def test_layout_survives_reading_again(spark, folder):
+    content = "".join(f"line {i} of /srv/{i}\n" for i in range(4000)).encode()
+    path = write_files(os.path.join(folder, "in"), {"d 1/x+y%20.log": content, "off.log": b"-DONT-OBFUSCATE-ME-\n/srv/x\n" * 900})
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 8000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        for strategy in ("IN_PLACE", "LOW_LEVEL", "HYBRID_SPLIT", "HYBRID"):
+            run_folder(spark, path, options=Options(strategy=strategy, remove_original=True))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = by_file(scan_text(spark, path))
+    assert got["d 1/x+y%20.log"] == [brute.scrub(t, STRICT) for t in as_lines({"x": content})["x"]]
+    # Opted out by its first line, although later parts do not hold it.
+    assert got["off.log"] == ["-DONT-OBFUSCATE-ME-", "/srv/x"] * 900
+    assert got.keys() == {"d 1/x+y%20.log", "off.log"}
+    assert len([n for n in os.listdir(path) if n.startswith("rel_path=")]) == 2
+
+
+def test_unreadable_lines_are_listed(spark, folder):
+    path = write_files(os.path.join(folder, "in"), {"x.log": b"ok\n\xff\xfe /srv\nfine\n", "y.log": b"\xff\n"})
+    out = os.path.join(folder, "out")
+    run = run_folder(spark, path, out, Options(strategy="IN_PLACE"))
+    listed = spark.read.parquet(out + ".quarantine")
+    assert sorted(r["rel_path"] for r in listed.collect()) == ["x.log", "y.log"]
+    assert run.quarantined.count() == run.summary.first()["quarantined_lines"] == 2
+    assert by_file(scan_text(spark, out)) == {"x.log": ["ok", "fine"]}
+
+
+@pytest.mark.parametrize("strategy", ["IN_PLACE", "LOW_LEVEL", "HYBRID"])
+def test_nothing_in_clear_stays_behind(spark, corpus, folder, strategy):
+    shared = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(shared))
+    run_folder(spark, corpus, os.path.join(folder, "out"), Options(strategy=strategy, max_inline_entries=1))
+    with pytest.raises(Exception, match="(?i)exists"):
+        run_folder(spark, corpus, os.path.join(folder, "out"), Options(strategy=strategy))
+    assert set(os.listdir(shared)) == before
+
+
+def test_summary_counts_by_the_profile_of_the_run(spark):
+    df = spark.createDataFrame([("f", 1, "x 1.2.3.4port"), ("g", 1, "x 1.2.3.4")], "rel_path string, n int, value string")
+    counts = {}
+    for strategy in ("IN_PLACE", "LOW_LEVEL", "HYBRID", "RIPGREP"):
+        (row,) = run_summary(df, "rel_path", "value", ["n"], Options(strategy=strategy)).collect()
+        counts[strategy] = (row["untouched"], row["rewritten"], row["n_ipv4"])
+    assert counts == {"IN_PLACE": (1, 1, 1), "LOW_LEVEL": (0, 2, 2), "HYBRID": (0, 2, 2), "RIPGREP": (0, 2, 2)}
+    (row,) = run_summary(df, "rel_path", "value", ["n"], Options(threshold=1)).collect()
+    assert (row["untouched"], row["rewritten"], row["n_ipv4"]) == (1, 1, 1)
+
+
+def test_a_folder_run_reads_its_input_few_times(spark, folder):
+    """Input records of all stages of a run, from Spark's own metrics."""
+    path = write_files(os.path.join(folder, "in"), {f"{n}.log": b"user eve at /srv/x 10.0.0.1\n" * 500 for n in range(8)})
+    tracker = spark.sparkContext._jsc.sc().statusStore()
+    def read():
+        stages = tracker.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).inputRecords() for i in range(stages.size()))
+    for strategy, output, limit in (("IN_PLACE", True, 4), ("HYBRID", True, 6), ("IN_PLACE", False, 4)):
+        before = read()
+        run_folder(spark, path, os.path.join(folder, f"out-{strategy}") if output else None, Options(strategy=strategy, remove_original=True))
+        assert read() - before < limit * 4200, strategy
+
+
+def test_streams_refuse_what_needs_whole_files(spark, folder):
+    for strategy in ("HYBRID", "LOW_LEVEL"):
+        with pytest.raises(ValueError, match="whole files"):
+            masked_stream(spark, folder, Options(strategy=strategy))
+
+
 def test_stream_of_files(spark, folder):
     source = write_files(os.path.join(folder, "in"), {"1.log": b"inet 127.0.0.1/8\n"})
     out, state = os.path.join(folder, "out"), os.path.join(folder, "state")
@@ -270,7 +375,7 @@ def test_stream_of_files(spark, folder):
         write_available(stream, out, state).awaitTermination()
         write_files(source, {f"{len(os.listdir(source)) + 1}.log": more})
     got = sorted(r["value"] for r in spark.read.text(out).collect())
-    assert got == ["inet {{IPV4-e56ea}}/8", "plain"]
+    assert got == ["inet {{IPV4-e56ea}}{{FILE-DIR-4ff67}}", "plain"]
 
 
 def test_shared_folder_comes_from_the_session(spark):

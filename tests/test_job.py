@@ -8,14 +8,14 @@ import pytest
 
 from veilframe.job import main, options_of, parser
 
-GOOD = ["-i", "/tmp/", "-o", "/tmp/", "-s", "1234"]
+GOOD = ["-i", "logs", "-o", "masked", "-s", "pepper"]
 
 
 def test_defaults():
     args = parser().parse_args(GOOD)
     options = options_of(args)
-    assert (args.input, args.output) == ("/tmp/", "/tmp/")
-    assert (options.salt, options.strategy, options.threshold) == ("1234", "HYBRID", 200)
+    assert (args.input, args.output, args.quarantine) == ("logs", "masked", None)
+    assert (options.salt, options.strategy, options.threshold) == ("pepper", "HYBRID", 200)
     assert (options.ignore_hint, options.remove_original) == (None, False)
 
 
@@ -23,12 +23,11 @@ def test_defaults():
     "argv",
     [
         [],
-        [*GOOD, "-V"],
-        [*GOOD, "--strategy", "popo"],
-        [*GOOD, "-m", "0"],
-        [*GOOD, "-m", "-4"],
-        [*GOOD, "-m", "8.5"],
-        [*GOOD, "--threshold", "0"],
+        [*GOOD, "--colour"],
+        [*GOOD, "--strategy", "FASTEST"],
+        [*GOOD, "-m", "none"],
+        [*GOOD, "--min-split-size-in-bytes", "0"],
+        [*GOOD, "--threshold", "-1"],
     ],
 )
 def test_bad_arguments(argv):

@@ -21,28 +21,32 @@ KINDS = (FILE_DIR, CREDENTIALS, MAC_ADDR, IPV4, IPV6)
 
 # The loose address patterns, unbounded on both sides.
 LOOSE_IPV4 = r"(25[0-5]|2[0-4][0-9]|[0-1]?[0-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|[0-1]?[0-9]?[0-9])){3}"
-LOOSE_IPV6 = (
-    r"(([0-9a-fA-F]{1,4}:){7,7}[0-9a-fA-F]{1,4}"
-    r"|([0-9a-fA-F]{1,4}:){1,7}:"
-    r"|([0-9a-fA-F]{1,4}:){1,6}:[0-9a-fA-F]{1,4}"
-    r"|([0-9a-fA-F]{1,4}:){1,5}(:[0-9a-fA-F]{1,4}){1,2}"
-    r"|([0-9a-fA-F]{1,4}:){1,4}(:[0-9a-fA-F]{1,4}){1,3}"
-    r"|([0-9a-fA-F]{1,4}:){1,3}(:[0-9a-fA-F]{1,4}){1,4}"
-    r"|([0-9a-fA-F]{1,4}:){1,2}(:[0-9a-fA-F]{1,4}){1,5}"
-    r"|[0-9a-fA-F]{1,4}:((:[0-9a-fA-F]{1,4}){1,6})"
-    r"|:((:[0-9a-fA-F]{1,4}){1,7}|:)"
-    r"|fe80:(:[0-9a-fA-F]{0,4}){0,4}%[0-9a-zA-Z]{1,}"
-    r"|::(ffff(:0{1,4}){0,1}:){0,1}((25[0-5]|(2[0-4]|1{0,1}[0-9]){0,1}[0-9])\.){3,3}"
-    r"(25[0-5]|(2[0-4]|1{0,1}[0-9]){0,1}[0-9])"
-    r"|([0-9a-fA-F]{1,4}:){1,4}:((25[0-5]|(2[0-4]|1{0,1}[0-9]){0,1}[0-9])\.){3,3}"
-    r"(25[0-5]|(2[0-4]|1{0,1}[0-9]){0,1}[0-9]))"
+_IPV6_FORMS = (
+    r"([0-9a-fA-F]{1,4}:){7,7}[0-9a-fA-F]{1,4}",
+    r"([0-9a-fA-F]{1,4}:){1,7}:",
+    r"([0-9a-fA-F]{1,4}:){1,6}:[0-9a-fA-F]{1,4}",
+    r"([0-9a-fA-F]{1,4}:){1,5}(:[0-9a-fA-F]{1,4}){1,2}",
+    r"([0-9a-fA-F]{1,4}:){1,4}(:[0-9a-fA-F]{1,4}){1,3}",
+    r"([0-9a-fA-F]{1,4}:){1,3}(:[0-9a-fA-F]{1,4}){1,4}",
+    r"([0-9a-fA-F]{1,4}:){1,2}(:[0-9a-fA-F]{1,4}){1,5}",
+    r"[0-9a-fA-F]{1,4}:((:[0-9a-fA-F]{1,4}){1,6})",
+    r":((:[0-9a-fA-F]{1,4}){1,7}|:)",
+    r"fe80:(:[0-9a-fA-F]{0,4}){0,4}%[0-9a-zA-Z]{1,}",
+    r"::(ffff(:0{1,4}){0,1}:){0,1}((25[0-5]|(2[0-4]|1{0,1}[0-9]){0,1}[0-9])\.){3,3}"
+    r"(25[0-5]|(2[0-4]|1{0,1}[0-9]){0,1}[0-9])",
+    r"([0-9a-fA-F]{1,4}:){1,4}:((25[0-5]|(2[0-4]|1{0,1}[0-9]){0,1}[0-9])\.){3,3}"
+    r"(25[0-5]|(2[0-4]|1{0,1}[0-9]){0,1}[0-9])",
 )
+LOOSE_IPV6 = "(" + "|".join(_IPV6_FORMS) + ")"
 LOOSE_MAC = r"([a-f0-9A-F]{2}:){5}[a-f0-9A-F]{2}"
 
 # Our own strict patterns.
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 STRICT_IPV4 = rf"\b{_OCTET}(?:\.{_OCTET}){{3}}\b"
 STRICT_MAC = r"\b(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}\b"
+# Bounded on the left, so that no word loses its tail, and without the forms
+# that start with a colon: "::1" stays, and so does "std::vector".
+STRICT_IPV6 = r"(?i)\b(?:" + "|".join(f for f in _IPV6_FORMS if not f.startswith(":")) + ")"
 # One flat character class instead of a repeated "/name" group: Java's matcher
 # recurses once per group repetition, so a path of a few thousand components
 # would overflow the task's stack.
@@ -68,14 +72,38 @@ def credentials_pattern(keywords: Sequence[str] = CREDENTIAL_KEYWORDS) -> str:
     return rf"(?i)\b(?:{'|'.join(keywords)})(?:[ \t]*[:=][ \t]*|[ \t]+)[^ \t\r\n\f\x0b,;]+"
 
 
+# A class with its content, or any other escape, or a flag group.
+_PARTS = re.compile(r"\[(\^?)((?:\\.|[^\]\\])+)\]|\\(x\{?[0-9a-fA-F]+\}?|u[0-9a-fA-F]{4}|0[0-7]+|.)|\(\?([a-z]+)[:)]", re.S)
+_NEWLINES = re.compile(r"\\(?:[sWDnRvXPpHN]|x0[aA]|x\{0*[aA]\}|u000[aA]|0?12)|\n")
+_NAMED_NEWLINE = re.compile(r"\\(?:[nsv]|x0[aA]|x\{0*[aA]\}|u000[aA])|\n")
+
+
+def may_cross_lines(regex: str) -> bool:
+    """Could the pattern match a newline?  Yes when in doubt: a negated class
+    has to name the newline, and ``.`` must not be told to match it."""
+    for part in _PARTS.finditer(regex):
+        negated, content, _, flags = part.groups()
+        if content is not None:
+            if not _NAMED_NEWLINE.search(content) if negated else _NEWLINES.search(content):
+                return True
+        elif flags is not None:
+            if "s" in flags:
+                return True
+        elif _NEWLINES.match(part.group()):
+            return True
+    return "\n" in _PARTS.sub("", regex)
+
+
 @dataclass(frozen=True)
 class Detector:
     """A kind of sensitive segment.
 
     ``phase`` and ``rank`` give the rewriting order.  A text that holds a match
-    holds the literal ``needs``, and besides the literal ``sign`` or a match of
-    the cheap pattern ``precheck``; whichever are given let a row skip the full
-    pattern and never change a result.
+    holds the literal ``needs``, one of the lower-case literals ``any_of`` in
+    some case, and besides the literal ``sign`` or a match of the cheap pattern
+    ``precheck``; whichever are given let a row skip the full pattern and never
+    change a result.  A pattern that may match a newline is refused: texts are
+    cut into lines.
     """
 
     kind: str
@@ -85,12 +113,15 @@ class Detector:
     needs: str | None = None
     sign: str | None = None
     precheck: str | None = None
+    any_of: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         if not re.fullmatch(r"[A-Z0-9][A-Z0-9-]*", self.kind):
             raise ValueError(f"kind must be upper-case letters, digits and dashes: {self.kind!r}")
         if not self.regex:
             raise ValueError("a detector needs a pattern")
+        if may_cross_lines(self.regex):
+            raise ValueError(f"pattern may match a newline, write blanks as [ \\t]: {self.regex!r}")
 
     @property
     def priority(self) -> int:
@@ -103,38 +134,62 @@ _V6_PRECHECK = r"(?::[0-9a-fA-F]{1,4}){7}|[fF][eE]80:[0-9a-fA-F:]*%"
 _V4_PRECHECK = r"[0-9]\.[0-9]"
 
 
+def keyword_stems(keywords: Sequence[str]) -> tuple[str, ...]:
+    """Literals one of which, in some case, occurs wherever a keyword matches;
+    none if a keyword has no plain start."""
+    stems = set()
+    for keyword in keywords:
+        plain = re.match(r"[A-Za-z0-9_]*", keyword).group()
+        following = keyword[len(plain) :]
+        if following[:1] in ("?", "*", "{"):
+            plain = plain[:-1]
+        if not plain or "|" in following:
+            return ()
+        stems.add(plain.lower())
+    return tuple(sorted(s for s in stems if not any(o != s and o in s for o in stems)))
+
+
 def strict_profile(keywords: Sequence[str] = CREDENTIAL_KEYWORDS) -> list[Detector]:
-    """Bounded patterns, used for in-line scrubbing."""
+    """Bounded patterns, used for in-line scrubbing, addresses before paths.
+
+    So the ``/8`` of ``127.0.0.1/8``, which follows the token of an address by
+    then, becomes a path token, as seen in already masked ``ip addr`` logs.
+    """
     return [
-        Detector(FILE_DIR, ABSOLUTE_PATH, 1, 0, needs="/"),
-        Detector(CREDENTIALS, credentials_pattern(keywords), 1, 1),
-        Detector(MAC_ADDR, STRICT_MAC, 1, 2, needs=":"),
-        Detector(IPV4, STRICT_IPV4, 2, 0, needs=".", precheck=_V4_PRECHECK),
-        Detector(IPV6, "(?i)" + LOOSE_IPV6, 2, 1, needs=":", sign="::", precheck=_V6_PRECHECK),
+        Detector(IPV4, STRICT_IPV4, 1, 0, needs=".", precheck=_V4_PRECHECK),
+        Detector(IPV6, STRICT_IPV6, 1, 1, needs=":", sign="::", precheck=_V6_PRECHECK),
+        Detector(FILE_DIR, ABSOLUTE_PATH, 2, 0, needs="/"),
+        Detector(CREDENTIALS, credentials_pattern(keywords), 2, 1, any_of=keyword_stems(keywords)),
+        Detector(MAC_ADDR, STRICT_MAC, 2, 2, needs=":"),
     ]
 
 
 def loose_profile(keywords: Sequence[str] = CREDENTIAL_KEYWORDS) -> list[Detector]:
     """Case-insensitive patterns without word bounds on addresses, used for
-    the dictionary rewrite and the constant mask."""
+    the dictionary rewrite and the constant mask, paths before addresses."""
     return [
         Detector(FILE_DIR, ABSOLUTE_PATH, 1, 0, needs="/"),
-        Detector(CREDENTIALS, credentials_pattern(keywords), 1, 1),
+        Detector(CREDENTIALS, credentials_pattern(keywords), 1, 1, any_of=keyword_stems(keywords)),
         Detector(MAC_ADDR, "(?i)" + LOOSE_MAC, 1, 2, needs=":"),
         Detector(IPV4, "(?i)" + LOOSE_IPV4, 2, 0, needs=".", precheck=_V4_PRECHECK),
         Detector(IPV6, "(?i)" + LOOSE_IPV6, 2, 1, needs=":", sign="::", precheck=_V6_PRECHECK),
     ]
 
 
+def _addresses_in(detectors: Sequence[Detector], first: bool) -> list[Detector]:
+    phase = lambda d: 1 if (d.kind in (IPV4, IPV6)) == first else 2
+    return in_order([replace(d, phase=phase(d)) for d in detectors])
+
+
 def addresses_first(detectors: Sequence[Detector]) -> list[Detector]:
-    """The same detectors with the two phases swapped: addresses, then paths.
+    """The same detectors, addresses in the first phase."""
+    return _addresses_in(detectors, True)
 
-    With paths first, the ``/8`` of ``127.0.0.1/8`` is no path (it follows a
-    word character).  With addresses first it follows the ``}`` of a token and
-    becomes one, which is what already masked ``ip addr`` logs show.
-    """
-    last = max(d.phase for d in detectors)
-    return in_order([replace(d, phase=last + 1 - d.phase) for d in detectors])
+
+def paths_first(detectors: Sequence[Detector]) -> list[Detector]:
+    """The same detectors, addresses in the last phase: the ``/8`` of
+    ``127.0.0.1/8`` follows a word character and is no path."""
+    return _addresses_in(detectors, False)
 
 
 def with_detector(detectors: Sequence[Detector], extra: Detector) -> list[Detector]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilframe.detectors import Detector, in_order
-from veilframe.functions.tokens import TokenRule
+from veilframe.functions.tokens import SEALED_PATTERN, TokenRule, seal, seal_text, unseal
 
 _OPEN, _CLOSE = "\x01", "\x02"
 
@@ -26,6 +26,9 @@ def may_match(text: Column, detector: Detector) -> Column | None:
     if detector.precheck:
         signs.append(text.rlike(detector.precheck))
     checks = [reduce(lambda a, b: a | b, signs)] if signs else []
+    if detector.any_of:
+        in_lower = lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(s)) for s in detector.any_of])
+        checks.insert(0, _let(F.lower(text), in_lower))
     if detector.needs:
         checks.insert(0, F.contains(text, F.lit(detector.needs)))
     return reduce(lambda a, b: a & b, checks) if checks else None
@@ -61,16 +64,11 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _tokenised(text: Column, detector: Detector, tokens: TokenRule) -> Column:
-    kind = detector.kind
-
+def _tokenised(text: Column, detector: Detector, token: Callable[[Column], Column]) -> Column:
     def piece(p: Column) -> Column:
         return F.when(
             F.contains(p, F.lit(_CLOSE)),
-            F.concat(
-                tokens.token(kind, F.substring_index(p, _CLOSE, 1)),
-                F.substring_index(p, _CLOSE, -1),
-            ),
+            F.concat(token(F.substring_index(p, _CLOSE, 1)), F.substring_index(p, _CLOSE, -1)),
         ).otherwise(p)
 
     def unmarked(marked: Column) -> Column:
@@ -78,7 +76,7 @@ def _tokenised(text: Column, detector: Detector, tokens: TokenRule) -> Column:
         return F.when(F.contains(marked, F.lit(_OPEN)), F.array_join(pieces, "")).otherwise(marked)
 
     def glue(gap: Column, match: Column) -> Column:
-        return F.concat(gap, F.coalesce(tokens.token(kind, match), F.lit("")))
+        return F.concat(gap, F.coalesce(token(match), F.lit("")))
 
     by_marks = _let(F.regexp_replace(text, detector.regex, f"{_OPEN}$0{_CLOSE}"), unmarked)
     gaps = F.split(text, detector.regex, -1)
@@ -90,30 +88,50 @@ def _tokenised(text: Column, detector: Detector, tokens: TokenRule) -> Column:
     return rewritten if gate is None else F.when(gate, rewritten).otherwise(text)
 
 
+def _chained(text: Column, detectors: list[Detector], step: Callable[..., Column], *args) -> Column:
+    """Kind after kind in rewriting order, each on the output of the one
+    before, with finished replacements sealed against the later kinds.
+
+    Only a value of CREDENTIALS, which is anything up to a blank, takes in the
+    token of an address or path.  A text that holds private characters of its own
+    is rewritten unsealed.
+    """
+
+    def run(sealed: bool) -> Column:
+        now = text
+        for d in in_order(detectors):
+            now = _let(now, _bound(step, d, sealed, *args))
+        return _let(now, unseal) if sealed else now
+
+    return F.when(text.rlike(SEALED_PATTERN), run(False)).otherwise(run(True))
+
+
+def _token_step(text: Column, detector: Detector, sealed: bool, tokens: TokenRule) -> Column:
+    # A replaced token inside the match is hashed as a reader would see it.
+    plain = lambda match: tokens.token(detector.kind, unseal(match) if sealed else match)
+    return _tokenised(text, detector, (lambda match: seal(plain(match))) if sealed else plain)
+
+
 def tokenised(text: Column, detectors: list[Detector], tokens: TokenRule) -> Column:
-    """The text with every match replaced by its token, kind after kind in
-    rewriting order, each kind working on the output of the one before.
+    """The text with every match replaced by its token (see ``_chained``).
 
     For each kind the matches are marked in one pass, the text is cut at the
     marks, and the marked head of each piece becomes a token.  Text that
     already holds a mark character takes the cut-and-zip form instead.
     """
-    for d in in_order(detectors):
-        text = _let(text, _bound(_tokenised, d, tokens))
-    return text
+    return _chained(text, detectors, _token_step, tokens)
 
 
-def _masked(text: Column, detector: Detector) -> Column:
-    masked = F.regexp_replace(text, detector.regex, "{{" + detector.kind + "}}")
+def _mask_step(text: Column, detector: Detector, sealed: bool) -> Column:
+    label = "{{" + detector.kind + "}}"
+    masked = F.regexp_replace(text, detector.regex, seal_text(label) if sealed else label)
     gate = may_match(text, detector)
     return masked if gate is None else F.when(gate, masked).otherwise(text)
 
 
 def masked(text: Column, detectors: list[Detector]) -> Column:
-    """The text with every match replaced by ``{{KIND}}``, in rewriting order."""
-    for d in in_order(detectors):
-        text = _let(text, _bound(_masked, d))
-    return text
+    """The text with every match replaced by ``{{KIND}}`` (see ``_chained``)."""
+    return _chained(text, detectors, _mask_step)
 
 
 def _bound(rewrite: Callable[..., Column], *args) -> Callable[[Column], Column]:

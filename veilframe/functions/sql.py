@@ -5,10 +5,12 @@ They are SQL functions, not UDFs: Catalyst inlines their bodies.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 from veilframe.detectors import Detector, in_order
-from veilframe.functions.tokens import TokenRule
+from veilframe.functions.tokens import SEALED_PATTERN, TokenRule, seal_sql, unseal_sql
 
 
 def _literal(text: str) -> str:
@@ -24,39 +26,50 @@ def register_functions(
 ) -> list[str]:
     """Create ``<prefix>_token(kind, segment)``, ``<prefix>_scrub(text)`` and one
     ``<prefix>_scrub_<kind>(text)`` per detector; returns their names."""
-    inner = f"left({_hash(f'concat(lower(kind), {_literal(tokens.salt)})', tokens)}, 5)"
+    if not re.fullmatch(r"[A-Za-z][A-Za-z0-9_]*", prefix):
+        raise ValueError(f"prefix must be a plain name: {prefix!r}")
+    inner = f"left({_hash(f'concat(lower(kind), {_literal(tokens.salt)})', tokens)}, {tokens.inner_width})"
     tail = f"left({_hash(f'concat({inner}, segment)', tokens)}, {tokens.width})"
     token = f"{prefix}_token"
     body = "concat('{{', kind, '-', " + tail + ", '}}')"
     _create(spark, token, "kind STRING, segment STRING", body)
     created = [token]
-    nested = "text"
+    sealed = plain = "text"
     for d in in_order(detectors):
         name = f"{prefix}_scrub_{d.kind.lower().replace('-', '_')}"
-        # Bound once by transform, so that nested calls do not multiply.
-        rewritten = f"CASE WHEN {_found('t', d)} THEN {_glued('t', d, tokens)} ELSE t END"
-        body = f"element_at(transform(array(text), t -> {rewritten}), 1)"
-        _create(spark, name, "text STRING", body)
+        _create(spark, name, "text STRING", _step("text", d, tokens, False))
         created.append(name)
-        nested = f"{name}({nested})"
-    _create(spark, f"{prefix}_scrub", "text STRING", nested)
+        sealed, plain = _step(sealed, d, tokens, True), f"{name}({plain})"
+    # Finished tokens are sealed against later kinds, as in tokenised().
+    own = f"text RLIKE {_literal(SEALED_PATTERN)}"
+    _create(spark, f"{prefix}_scrub", "text STRING", f"CASE WHEN {own} THEN {plain} ELSE {unseal_sql(sealed)} END")
     return [*created, f"{prefix}_scrub"]
 
 
+def _step(text: str, d: Detector, tokens: TokenRule, sealed: bool) -> str:
+    """The text with the matches of one kind replaced, bound once by transform
+    so that nested steps do not multiply."""
+    rewritten = f"CASE WHEN {_found('t', d)} THEN {_glued('t', d, tokens, sealed)} ELSE t END"
+    return f"element_at(transform(array({text}), t -> {rewritten}), 1)"
+
+
 def _found(text: str, d: Detector) -> str:
     """Does the detector find something, cheap checks first?"""
     signs = [f"contains({text}, {_literal(d.sign)})"] if d.sign else []
     signs += [f"{text} RLIKE {_literal(d.precheck)}"] if d.precheck else []
     checks = [f"contains({text}, {_literal(d.needs)})"] if d.needs else []
+    if d.any_of:
+        checks.append("(" + " OR ".join(f"contains(lower({text}), {_literal(w)})" for w in d.any_of) + ")")
     checks += [f"({' OR '.join(signs)})"] if signs else []
     return " AND ".join([*checks, f"{text} RLIKE {_literal(d.regex)}"])
 
 
-def _glued(text: str, d: Detector, tokens: TokenRule) -> str:
+def _glued(text: str, d: Detector, tokens: TokenRule, sealed: bool) -> str:
     """The text between matches, joined by the tokens of the matches."""
     pattern = _literal(d.regex)
-    salted = f"concat({_literal(tokens.inner(d.kind))}, hit)"
+    salted = f"concat({_literal(tokens.inner(d.kind))}, {unseal_sql('hit') if sealed else 'hit'})"
     token = f"concat({_literal('{{' + d.kind + '-')}, left({_hash(salted, tokens)}, {tokens.width}), '}}}}')"
+    token = seal_sql(token) if sealed else token
     return (
         f"array_join(zip_with(split({text}, {pattern}, -1), regexp_extract_all({text}, {pattern}, 0), "
         f"(gap, hit) -> concat(gap, coalesce({token}, ''))), '')"

@@ -13,8 +13,38 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _HEX_DIGITS = {"md5": 32, "sha256": 64}
-# Fixed value: hex digits kept of the inner (kind + salt) hash.
-_INNER_WIDTH = 5
+# Fixed value: hex digits kept of the inner (kind + salt) hash by the
+# compatible rule; any other rule keeps all, so that the key stays wide.
+_COMPATIBLE = ("md5", 5)
+
+# Finished tokens are written in private characters while other kinds are
+# still sought, so that no pattern finds anything inside them.
+_PLAIN = "{}-ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+_SEALED = "".join(chr(0xE100 + ord(c)) for c in _PLAIN)
+SEALED_PATTERN = "[\ue100-\ue17f]"
+_TO_SEALED = str.maketrans(_PLAIN, _SEALED)
+
+
+def seal(text: Column) -> Column:
+    """A token in private characters."""
+    return F.translate(text, _PLAIN, _SEALED)
+
+
+def seal_text(text: str) -> str:
+    return text.translate(_TO_SEALED)
+
+
+def unseal(text: Column) -> Column:
+    """All sealed tokens of a text, readable again."""
+    return F.when(text.rlike(SEALED_PATTERN), F.translate(text, _SEALED, _PLAIN)).otherwise(text)
+
+
+def unseal_sql(text: str) -> str:
+    return f"translate({text}, '{_SEALED}', '{_PLAIN}')"
+
+
+def seal_sql(text: str) -> str:
+    return f"translate({text}, '{_PLAIN}', '{_SEALED}')"
 
 
 @dataclass(frozen=True)
@@ -32,13 +62,18 @@ class TokenRule:
         if not 1 <= self.width <= _HEX_DIGITS[self.digest]:
             raise ValueError(f"width must be between 1 and {_HEX_DIGITS[self.digest]}")
 
+    @property
+    def inner_width(self) -> int:
+        """Hex digits of the salted prefix that go into a token."""
+        return self.width if (self.digest, self.width) == _COMPATIBLE else _HEX_DIGITS[self.digest]
+
     def _hash(self, text: Column) -> Column:
         return F.md5(text.cast("binary")) if self.digest == "md5" else F.sha2(text.cast("binary"), 256)
 
     def inner(self, kind: str) -> str:
         """The salted prefix of a kind; constant, so hashed once on the driver."""
         raw = (kind.lower() + self.salt).encode()
-        return hashlib.new(self.digest, raw).hexdigest()[:_INNER_WIDTH]
+        return hashlib.new(self.digest, raw).hexdigest()[: self.inner_width]
 
     def token(self, kind: str, segment: Column) -> Column:
         """Token of ``segment`` for a fixed kind."""
@@ -47,6 +82,6 @@ class TokenRule:
 
     def token_by(self, kind: Column, segment: Column) -> Column:
         """Token where the kind is itself a column."""
-        inner = F.substring(self._hash(F.concat(F.lower(kind), F.lit(self.salt))), 1, _INNER_WIDTH)
+        inner = F.substring(self._hash(F.concat(F.lower(kind), F.lit(self.salt))), 1, self.inner_width)
         body = F.substring(self._hash(F.concat(inner, segment)), 1, self.width)
         return F.concat(F.lit("{{"), kind, F.lit("-"), body, F.lit("}}"))

@@ -30,8 +30,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-s", "--salt", default=defaults.salt)
     p.add_argument("--strategy", choices=STRATEGIES, default=defaults.strategy)
     p.add_argument(
-        "-m", "--min-split-size-in-bytes", type=_at_least_one, default=defaults.min_split_bytes
+        "-m",
+        "--min-split-size-in-bytes",
+        type=_at_least_one,
+        default=defaults.min_split_bytes,
+        help="for tables with large cells; the lines of a folder are never that long in practice",
     )
+    p.add_argument("-q", "--quarantine", help="folder that lists unreadable lines; next to the output when not given")
     p.add_argument("-rm", "--remove-original", action="store_true", help="for in-place runs")
     p.add_argument("--ignore-hint", help="pattern on the first line of files to leave alone")
     p.add_argument(
@@ -58,9 +63,9 @@ def main(argv: Sequence[str] | None = None) -> str:
     """Run the job; returns and prints its status."""
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("veilframe").getOrCreate()
-    run = run_folder(spark, args.input, args.output, options_of(args))
+    run = run_folder(spark, args.input, args.output, options_of(args), quarantine_path=args.quarantine)
     (row,) = run.summary.collect()
-    print(row.asDict(), run.timing or "")
+    print(row.asDict(), run.timing or "", *(f"\nnot read: {name}" for name in run.unread))
     return row["status"]
 
 

@@ -8,18 +8,20 @@ it was before the run, contains it; so tokens are never rewritten themselves.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.detectors import Detector
-from veilframe.functions.tokens import TokenRule
+from veilframe.functions.tokens import SEALED_PATTERN, TokenRule, seal, unseal
 from veilframe.operators.joins import attach
 from veilframe.operators.segments import distinct_segments, priority_of
 from veilframe.shared import content_bytes, names, row_bytes, written
 
 _TAIL = 3
+# A dictionary beyond this size never rides next to a line, however few entries it has.
+_MAX_INLINE_BYTES = 4 * 1024 * 1024
 
 
 def token_dictionary(
@@ -58,7 +60,14 @@ def _entry() -> Column:
 
 
 def _fold(line: Column, ordered: Column) -> Column:
-    return F.aggregate(ordered, line, lambda text, e: F.replace(text, e["segment"], e["token"]))
+    """The line with all entries replaced; finished tokens are sealed, so that
+    no later entry finds its text inside them."""
+
+    def folded(token: Callable[[Column], Column], last: Callable[[Column], Column]) -> Column:
+        return F.aggregate(ordered, line, lambda text, e: F.replace(text, e["segment"], token(e["token"])), last)
+
+    own = line.rlike(SEALED_PATTERN)
+    return F.when(own, folded(lambda t: t, lambda t: t)).otherwise(folded(seal, unseal))
 
 
 def _indexed(dictionary: DataFrame, keys: list[str]) -> DataFrame:
@@ -105,15 +114,20 @@ def rewrite_by_entries(
     sizes = dictionary.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.sum(row_bytes(dictionary)).alias("_bytes")
     )
-    widest, size = sizes.agg(F.coalesce(F.max("_n"), F.lit(0)), F.coalesce(F.sum("_bytes"), F.lit(0))).first()
+    is_wide = (F.col("_n") > max_inline_entries) | (F.col("_bytes") > _MAX_INLINE_BYTES)
+    any_wide, size = sizes.agg(
+        F.coalesce(F.max(is_wide), F.lit(False)), F.coalesce(F.sum("_bytes"), F.lit(0))
+    ).first()
 
     narrow = dictionary
-    wide = None
-    if widest > max_inline_entries:
-        sizes = sizes.drop("_bytes")
-        flagged = attach(dictionary, sizes, keys, broadcast_limit=broadcast_limit)
-        narrow = flagged.where(F.col("_n") <= max_inline_entries)
-        wide = written(flagged.where(F.col("_n") > max_inline_entries).drop("_n"), "wide")
+    wide = wide_keys = None
+    if any_wide:
+        wide_keys = written(sizes.where(is_wide).select(*keys), "wide-keys")
+        flagged = attach(
+            dictionary, wide_keys.withColumn("_wide", F.lit(True)), keys, broadcast_limit=broadcast_limit
+        )
+        narrow = flagged.where(F.col("_wide").isNull()).drop("_wide")
+        wide = written(flagged.where("_wide").drop("_wide"), "wide")
         size = content_bytes(narrow)
 
     per_key = _indexed(narrow, keys)
@@ -127,9 +141,10 @@ def rewrite_by_entries(
     if wide is None:
         return result
 
-    texts = (
-        result.where(F.col(out).isNotNull()).select(*keys, F.col(col).alias("_text"))
-    )
+    # Only lines of wide keys, and none of the arrays, go on to the lookup.
+    chosen = df if carry is None else attach(df, carry, keys, broadcast_limit=broadcast_limit)
+    texts = chosen.where(use & F.col(col).isNotNull()).select(*keys, F.col(col).alias("_text"))
+    texts = attach(texts, wide_keys, keys, "left_semi", broadcast_limit=broadcast_limit)
     rewritten = _rewrite_wide(texts, keys, wide, broadcast_limit)
     return (
         attach(
@@ -169,30 +184,26 @@ def _rewrite_wide(
         "lines",
     )
 
-    def at(text: Column, position: Column) -> Column:
+    def at(chars: Column, position: Column) -> Column:
         # A head is shorter than two characters only for one-character entries.
-        fits = F.filter(
-            "_fitting", lambda s: F.substr(text, position, F.length(s["head"])) == s["head"]
-        )
+        piece = lambda n: F.array_join(F.slice(chars, position, n), "")
+        fits = F.filter("_fitting", lambda s: piece(F.length(s["head"])) == s["head"])
         lengths = F.filter(
-            F.flatten(F.transform(fits, lambda s: s["lengths"])),
-            lambda n: position + n - 1 <= F.length(text),
+            F.flatten(F.transform(fits, lambda s: s["lengths"])), lambda n: position + n - 1 <= F.size(chars)
         )
-        return F.transform(lengths, lambda n: F.substr(text, position, n))
+        return F.transform(lengths, piece)
+
+    def substrings(chars: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(chars)), lambda p: at(chars, p)))
 
     text = F.col("_text")
+    # Cut into characters once per line: a place in an array is found at once,
+    # a place in a UTF-8 string only by walking there.
+    chars = F.transform(F.array(F.split(text, "", -1)), substrings)
     candidates = (
         lines.withColumn("_fitting", F.filter("_shapes", lambda s: F.contains(text, s["head"])))
-        .where(F.size("_fitting") > 0)
-        .select(
-            *keys,
-            "_line",
-            F.explode(
-                F.array_distinct(
-                    F.flatten(F.transform(F.sequence(F.lit(1), F.length(text)), lambda p: at(text, p)))
-                )
-            ).alias("segment"),
-        )
+        .where((F.size("_fitting") > 0) & (text != ""))
+        .select(*keys, "_line", F.explode(F.array_distinct(F.element_at(chars, 1))).alias("segment"))
     )
     # One substring may be an entry of several kinds; the join side is unique.
     by_segment = written(

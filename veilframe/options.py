@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from veilframe.detectors import Detector, loose_profile, strict_profile
+from veilframe.detectors import Detector, loose_profile, strict_profile, with_detector
 from veilframe.functions.tokens import TokenRule
 
 # Strategy names, default first where it matters.
@@ -55,8 +55,15 @@ class Options:
             raise ValueError("broadcast_limit_bytes must not be negative")
         if self.ignore_hint is not None:
             re.compile(self.ignore_hint)
+        if {d.kind for d in self.strict} != {d.kind for d in self.loose}:
+            # HYBRID finds files by one profile and may rewrite them by the other.
+            raise ValueError("strict and loose profiles must have the same kinds, see with_kind")
         self.tokens  # validates digest and width
 
+    def with_kind(self, extra: Detector) -> Options:
+        """The options with one more kind in both profiles."""
+        return replace(self, strict=with_detector(self.strict, extra), loose=with_detector(self.loose, extra))
+
     @property
     def tokens(self) -> TokenRule:
         return TokenRule(self.salt, self.token_width, self.digest)

@@ -2,27 +2,37 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from veilframe.operators.joins import attach
-from veilframe.options import Options
-from veilframe.plans.strategies import pseudonymize
-from veilframe.plans.summary import Timing, observed, run_summary, timed
-from veilframe.shared import spread_out
-from veilframe.sources.sinks import PATH_COLUMN, replace_in_place, write_mirrored
-from veilframe.sources.text import LINE_ORDER, opt_out, quarantine, scan_text
+from veilframe.operators.routing import coin_route
+from veilframe.operators.segments import count_column
+from veilframe.options import HYBRID, HYBRID_SPLIT, LOW_LEVEL, Options
+from veilframe.plans.strategies import hybrid_with_route, pseudonymize, route_segments
+from veilframe.plans.summary import Timing, observed, segment_counts, summary_of, timed, without
+from veilframe.shared import spread_out, temporary_tables, written
+from veilframe.sources.sinks import PATH_COLUMN, SINK_COLUMN, placed, replace_in_place, write_mirrored
+from veilframe.sources.text import LINE_ORDER, file_heads, opts_out, quarantine, scan_text, unread_files
 
 
 @dataclass(frozen=True)
 class FolderRun:
-    """Results of a run; ``kept_original`` is set for in-place runs that keep it."""
+    """Results of a run.
+
+    ``quarantined`` says where lines are that could not be read (file, part,
+    block, line, reason), without their content; ``unread`` lists the files
+    that Spark does not read; ``kept_original`` is set for in-place runs that
+    keep it.
+    """
 
     summary: DataFrame
     quarantined: DataFrame
     timing: Timing | None = None
     kept_original: str | None = None
+    unread: list[str] = field(default_factory=list)
 
 
 def run_folder(
@@ -31,49 +41,105 @@ def run_folder(
     output_path: str | None = None,
     options: Options | None = None,
     fmt: str = "text",
+    quarantine_path: str | None = None,
 ) -> FolderRun:
     """Mask the text files below ``input_path``.
 
-    Opted-out files are left out of a new output folder.  Without
-    ``output_path`` the folder is rewritten in place: opted-out files then keep
-    their lines, and unreadable lines of other files stop the run, so that
-    nothing gets lost.
+    Files that opted out, and files with NUL characters, which are no text, are
+    left out of a new output folder, and so are files that Spark does not read.
+    Unreadable lines of other files are listed in ``quarantine_path`` (default:
+    next to the output); lines read, written and listed are compared.
+
+    Without ``output_path`` the folder is rewritten in place.  All those files
+    then stay as they are, and unreadable lines stop the run, so that nothing gets lost.
+
+    HYBRID_SPLIT writes below ``sink=…``, chosen by the coin of each file.
+    Tables written on the way hold plain lines and segments; they are deleted
+    at the end, also of a failed run.
     """
     options = options or Options()
+    with temporary_tables(spark):
+        return _run(spark, input_path, output_path, options, fmt, quarantine_path)
+
+
+def _run(spark, input_path, output_path, options, fmt, quarantine_path) -> FolderRun:
+    key, limit = [PATH_COLUMN], options.broadcast_limit_bytes
     lines = spread_out(scan_text(spark, input_path))
-    summary = run_summary(lines, PATH_COLUMN, "value", LINE_ORDER, options)
-    kept, skipped = opt_out(
-        lines,
-        PATH_COLUMN,
-        "value",
-        LINE_ORDER,
-        options.ignore_hint,
-        broadcast_limit=options.broadcast_limit_bytes,
+    aside = opts_out(F.col("first_line"), options.ignore_hint) | F.col("is_binary")
+    heads = file_heads(lines, key, "value", LINE_ORDER).withColumn("aside", F.coalesce(aside, F.lit(False)))
+    heads = written(heads, "heads")
+    totals = heads.agg(
+        *[F.coalesce(F.sum(F.when(c, F.col(n))), F.lit(0)) for c, n in ((~F.col("aside"), "n_lines"), (~F.col("aside"), "n_unreadable"), (F.col("aside"), "n_lines"))]
     )
+    n_kept, n_bad, n_aside = totals.first()
+    if n_bad and output_path is None:
+        raise RuntimeError(f"{n_bad} lines of {input_path} cannot be read, nothing was changed")
+    kept = without(lines, heads, key, options)
     readable, bad = quarantine(kept)
+    segments = route_segments(readable, key, "value", options) if options.strategy == HYBRID else None
+    counts = segment_counts(readable, key, "value", options, segments)
+    schema = ", ".join(_SUMMARY + [f"{count_column(d.kind)} bigint" for d in options.loose] + ["status string"])
+    summary = spark.createDataFrame(summary_of(heads, counts, options).collect(), schema)  # one row
+    unread = unread_files(spark, input_path)
+    places = bad.select(PATH_COLUMN, *LINE_ORDER, "reason")
+    if not n_bad:
+        places = spark.createDataFrame([], places.schema)
+    is_placed = fmt == "text" and options.strategy not in (LOW_LEVEL, HYBRID)
+
+    def masked_rows(rows: DataFrame) -> DataFrame:
+        # Dealing lines out by order samples what is below: it is done before
+        # row-wise masking, and for the others on their written result.
+        rows = placed(rows) if is_placed else rows
+        if segments is None:
+            masked = pseudonymize(rows, PATH_COLUMN, "value", options)
+        else:
+            masked = hybrid_with_route(rows, key, "value", "value", options, segments).drop("_route")
+        if options.strategy == HYBRID_SPLIT:
+            masked = masked.withColumn(SINK_COLUMN, coin_route(PATH_COLUMN, options.salt))
+        return masked if is_placed or fmt != "text" else written(masked, "masked")
+
     if output_path is not None:
-        masked = pseudonymize(readable, PATH_COLUMN, "value", options)
+        quarantine_path = quarantine_path or f"{output_path.rstrip('/')}.quarantine"
+        places.write.parquet(quarantine_path)
+        masked = masked_rows(readable)
         timing = timed(
             lambda seen: write_mirrored(
-                masked, output_path, fmt=fmt, at_write=lambda rows: observed(rows, "value", seen)
+                masked, output_path, fmt=fmt, at_write=lambda rows: observed(rows, "value", seen), is_placed=is_placed
             )
         )
-        return FolderRun(summary, bad, timing)
-
-    summary = spark.createDataFrame(summary.collect(), summary.schema)  # one row
-
-    def masked_and_opted_out(_: DataFrame) -> DataFrame:
-        masked = pseudonymize(readable, PATH_COLUMN, "value", options)
-        untouched = attach(
-            lines,
-            skipped,
-            [PATH_COLUMN],
-            "left_semi",
-            broadcast_limit=options.broadcast_limit_bytes,
+        if timing.rows + n_bad != n_kept:
+            raise RuntimeError(f"{n_kept} lines read but {timing.rows} written and {n_bad} unreadable")
+        return FolderRun(summary, spark.read.schema(places.schema).parquet(quarantine_path), timing, unread=unread)
+
+    original = None
+
+    def swap(seen: Observation) -> None:
+        nonlocal original
+
+        def masked_and_left_alone(_: DataFrame) -> DataFrame:
+            masked = masked_rows(readable)
+            if not n_aside:
+                return masked
+            rest = attach(lines, heads.where("aside").select(*key), key, "left_semi", broadcast_limit=limit)
+            rest = placed(rest) if is_placed else rest
+            columns = [*key, *LINE_ORDER, "value"]
+            if SINK_COLUMN in masked.columns:
+                columns.append(SINK_COLUMN)
+                rest = rest.withColumn(SINK_COLUMN, coin_route(PATH_COLUMN, options.salt))
+            return masked.select(*columns).unionByName(rest.select(*columns))
+
+        original = replace_in_place(
+            spark,
+            input_path,
+            masked_and_left_alone,
+            remove_original=options.remove_original,
+            at_write=lambda rows: observed(rows, "value", seen),
+            is_placed=is_placed,
+            n_lines=n_kept + n_aside,
         )
-        return masked.unionByName(untouched)
 
-    original = replace_in_place(
-        spark, input_path, masked_and_opted_out, remove_original=options.remove_original
-    )
-    return FolderRun(summary, bad, kept_original=original)
+    timing = timed(swap)
+    return FolderRun(summary, places, timing, original, unread)
+
+
+_SUMMARY = [f"{n} bigint" for n in ("files_seen", "opted_out", "untouched", "rewritten", "quarantined_lines")]

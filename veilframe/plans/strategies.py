@@ -80,14 +80,16 @@ def _low_level(df: DataFrame, keys: list[str], col: str, out: str, o: Options) -
 
 
 def hybrid_with_route(
-    df: DataFrame, keys: list[str], col: str, out: str, o: Options
+    df: DataFrame, keys: list[str], col: str, out: str, o: Options, segments: DataFrame | None = None
 ) -> DataFrame:
-    """HYBRID, with the route of each row kept as ``_route``.
+    """HYBRID, with the route of each row kept as ``_route``; ``segments`` are
+    the written ``route_segments``, if they are there already.
 
     Route and dictionary of a key ride on one join; each row is then rewritten
     by the one branch its route names.
     """
-    segments = written(distinct_segments(df, keys, col, o.loose, keep_empty=True), "segments")
+    if segments is None:
+        segments = route_segments(df, keys, col, o)
     routes = written(
         routes_from(segments, keys, o.loose, o.threshold).select(*keys, F.col("route").alias("_route")), "routes"
     )
@@ -111,6 +113,11 @@ def hybrid_with_route(
     return routed.withColumn(out, by_route).drop("_by_dictionary")
 
 
+def route_segments(df: DataFrame, keys: list[str], col: str, o: Options) -> DataFrame:
+    """Distinct loose segments, with a row for every key, written."""
+    return written(distinct_segments(df, keys, col, o.loose, keep_empty=True), "segments")
+
+
 def _segments_below(
     segments: DataFrame, keys: list[str], routes: DataFrame, o: Options
 ) -> DataFrame:

@@ -9,11 +9,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from veilframe.operators.routing import IGNORED, density_routes
-from veilframe.operators.segments import count_column
-from veilframe.options import Options
-from veilframe.shared import names
-from veilframe.sources.text import opt_out, quarantine
+from veilframe.detectors import Detector
+from veilframe.operators.joins import attach
+from veilframe.operators.routing import INLINE, routes_from
+from veilframe.operators.segments import count_column, counts_by_kind, distinct_segments
+from veilframe.options import HYBRID, LOW_LEVEL, RIPGREP, Options
+from veilframe.shared import names, written
+from veilframe.sources.text import file_heads, opts_out, quarantine
 
 SUCCESS, NOTHING_TO_DO = "SUCCESS", "IGNORED"
 
@@ -24,40 +26,71 @@ def run_summary(
     """One row: files seen, opted out, untouched and rewritten, lines in
     quarantine, distinct segments per kind (summed over files), status.
 
-    The parts are stacked and added up in one aggregate.  A failed run has no
-    summary: it raises.
+    Segments are those of the profile that the strategy rewrites a file by.  A
+    failed run has no summary: it raises.
     """
     keys = names(key)
-    kept, skipped = opt_out(
-        df, keys, col, order, options.ignore_hint, broadcast_limit=options.broadcast_limit_bytes
+    heads = written(
+        file_heads(df, keys, col, order).withColumn("aside", opts_out(F.col("first_line"), options.ignore_hint)), "heads"
     )
-    _, bad = quarantine(kept, col)
+    readable, _ = quarantine(without(df, heads, keys, options), col)
+    return summary_of(heads, segment_counts(readable, keys, col, options), options)
+
+
+def without(df: DataFrame, heads: DataFrame, keys: list[str], o: Options) -> DataFrame:
+    """The rows of files that are not set ``aside``."""
+    return attach(df, heads.where("aside").select(*keys), keys, "left_anti", broadcast_limit=o.broadcast_limit_bytes)
+
+
+def summary_of(heads: DataFrame, found: DataFrame, options: Options) -> DataFrame:
+    """The summary from the heads of all files, with ``aside``, and the segment
+    counts of the others; stacked and added up in one aggregate."""
     counts = [count_column(d.kind) for d in options.loose]
-    # Unreadable lines count as lines without text, so their files are seen.
-    readable = kept.withColumn(col, F.when(F.is_valid_utf8(F.col(col)), F.col(col)))
-    routes = density_routes(readable, keys, col, options.loose, options.threshold)
     zero = F.lit(0).cast("bigint")
-    untouched = (F.col("route") == IGNORED).cast("bigint")
+    aside = F.coalesce("aside", F.lit(False))
     measures = ["files_seen", "opted_out", "untouched", "rewritten", "quarantined_lines", *counts]
 
     def stacked(rows: DataFrame, **given) -> DataFrame:
         return rows.select(*[given.get(m, zero).cast("bigint").alias(m) for m in measures])
 
-    one = F.lit(1)
-    parts = stacked(
-        routes,
-        files_seen=one,
-        untouched=untouched,
-        rewritten=one - untouched,
-        **{c: F.col(c) for c in counts},
+    touched = (F.col("total_segments") > 0).cast("bigint")
+    files = stacked(
+        heads,
+        files_seen=F.lit(1),
+        opted_out=aside,
+        untouched=~aside,
+        quarantined_lines=F.when(~aside, F.col("n_unreadable")).otherwise(0),
     )
-    parts = parts.unionByName(stacked(skipped, files_seen=one, opted_out=one))
-    parts = parts.unionByName(stacked(bad, quarantined_lines=one))
-    totals = parts.agg(*[F.coalesce(F.sum(m), zero).alias(m) for m in measures])
+    segments = stacked(found, untouched=-touched, rewritten=touched, **{c: F.col(c) for c in counts})
+    totals = files.unionByName(segments).agg(*[F.coalesce(F.sum(m), zero).alias(m) for m in measures])
     status = F.when(F.col("files_seen") > F.col("opted_out"), SUCCESS).otherwise(NOTHING_TO_DO)
     return totals.withColumn("status", status)
 
 
+def segment_counts(
+    lines: DataFrame, keys: list[str], col: str, o: Options, segments: DataFrame | None = None
+) -> DataFrame:
+    """``(key…, n_<kind>…, total_segments)`` by the profile each file is
+    rewritten by: for HYBRID the loose one, and the strict one for files that
+    are scrubbed in line.  ``segments`` are the loose ones, if they are there."""
+
+    def by(profile: list[Detector], rows: DataFrame) -> DataFrame:
+        return counts_by_kind(distinct_segments(rows, keys, col, profile), keys, profile)
+
+    if o.strategy != HYBRID:
+        loose = o.strategy in (LOW_LEVEL, RIPGREP)
+        if loose and segments is not None:
+            return counts_by_kind(segments, keys, o.loose)
+        return by(o.loose if loose else o.strict, lines)
+    if segments is None:
+        segments = distinct_segments(lines, keys, col, o.loose)
+    routes = written(routes_from(segments, keys, o.loose, o.threshold), "routes")
+    dense = routes.where(F.col("route") == INLINE).select(*keys)
+    in_line = attach(lines, dense, keys, "left_semi", broadcast_limit=o.broadcast_limit_bytes)
+    others = routes.where(F.col("route") != INLINE).drop("route")
+    return others.unionByName(by(o.strict, in_line).select(*others.columns))
+
+
 @dataclass(frozen=True)
 class Timing:
     """Wall time of an action and the rows and bytes that went through it."""

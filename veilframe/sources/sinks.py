@@ -5,12 +5,23 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.sources.text import LINE_ORDER, scan_text
+from veilframe.shared import file_system
+from veilframe.sources.text import LINE_ORDER, scan_text, unread_files
 
 PATH_COLUMN = "rel_path"
+SINK_COLUMN = "sink"
+
+
+def placed(df: DataFrame, order: Sequence[str] = LINE_ORDER) -> DataFrame:
+    """The rows dealt out by file and line order, so that the lines of a file,
+    read by partition, are in order and one large file spreads over many tasks.
+
+    Dealing samples what lies below it: place lines before they are masked.
+    """
+    return df.repartitionByRange(PATH_COLUMN, *order)
 
 
 def write_mirrored(
@@ -20,23 +31,25 @@ def write_mirrored(
     order: Sequence[str] = LINE_ORDER,
     fmt: str = "text",
     at_write: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    is_placed: bool = False,
 ) -> None:
     """One directory per input file (``rel_path=…``) below ``out``.
 
-    ``text`` output is range-partitioned on file and line order, so the lines
-    of a file, read by part-file name, are in order and one large file spreads
-    over many tasks.  ``parquet`` output keeps the order columns instead and
-    needs no shuffle.  ``at_write`` is applied to the rows as they are written.
+    ``text`` output has a file's lines in order, read by part-file name; rows
+    are placed first unless they are already.  ``parquet`` output keeps the
+    order columns instead and needs no shuffle.  A column ``sink`` adds a
+    directory level above.  ``at_write`` is applied to the rows as they are written.
     """
+    levels = [c for c in (SINK_COLUMN, PATH_COLUMN) if c in df.columns]
     if fmt == "parquet":
-        rows = df.select(PATH_COLUMN, *order, F.col(col).alias("value"))
-        at_write(rows).write.partitionBy(PATH_COLUMN).parquet(out)
+        rows = df.select(*levels, *order, F.col(col).alias("value"))
+        at_write(rows).write.partitionBy(*levels).parquet(out)
         return
     if fmt != "text":
         raise ValueError(f"format must be text or parquet, got {fmt!r}")
-    in_order = df.repartitionByRange(PATH_COLUMN, *order).sortWithinPartitions(PATH_COLUMN, *order)
-    rows = in_order.select(PATH_COLUMN, F.col(col).alias("value"))
-    at_write(rows).write.partitionBy(PATH_COLUMN).text(out)
+    in_order = (df if is_placed else placed(df, order)).sortWithinPartitions(*levels, *order)
+    rows = in_order.select(*levels, F.col(col).alias("value"))
+    at_write(rows).write.partitionBy(*levels).text(out)
 
 
 def read_mirrored(spark: SparkSession, path: str) -> DataFrame:
@@ -62,36 +75,50 @@ def replace_in_place(
     *,
     remove_original: bool = False,
     col: str = "value",
+    at_write: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    is_placed: bool = False,
+    n_lines: int | None = None,
 ) -> str | None:
     """Rewrite a text folder under its own name.
 
-    The result goes to a staging folder next to it; only when it has as many
-    lines as were read are the two swapped.  The original is kept under the
-    returned name unless ``remove_original`` is set.
+    The result goes to a staging folder next to it, and so do, unchanged, the
+    files that Spark does not read (``unread_files``).  Only when the result
+    has as many lines as were read (``n_lines``, if known) are the two swapped.  The original is kept
+    under the returned name unless ``remove_original`` is set.
     """
     tag = uuid.uuid4().hex
     path = path.rstrip("/")
     staged, original = f"{path}.staged-{tag}", f"{path}.original-{tag}"
     lines = scan_text(spark, path)
-    write_mirrored(transform(lines), staged, col)
-    n_in, n_out = lines.count(), read_mirrored(spark, staged).count()
+    seen = Observation()
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return at_write(rows).observe(seen, F.count(F.lit(1)).alias("n"))
+
+    write_mirrored(transform(lines), staged, col, at_write=counted, is_placed=is_placed)
+    n_in, n_out = lines.count() if n_lines is None else n_lines, seen.get["n"]
     if n_in != n_out:
         raise RuntimeError(f"{n_in} lines read but {n_out} written, kept {path} and {staged}")
+    for name in unread_files(spark, path):
+        _copy(spark, f"{path}/{name}", f"{staged}/{name}")
     _rename(spark, path, original)
     _rename(spark, staged, path)
     if not remove_original:
         return original
-    fs, target = _fs(spark, original)
+    fs, target = file_system(spark, original)
     fs.delete(target, True)
     return None
 
 
-def _fs(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+def _copy(spark: SparkSession, source: str, target: str) -> None:
+    (from_fs, from_path), (to_fs, to_path) = file_system(spark, source), file_system(spark, target)
+    conf = spark._jsc.hadoopConfiguration()
+    to_fs.mkdirs(to_path.getParent())
+    if not spark._jvm.org.apache.hadoop.fs.FileUtil.copy(from_fs, from_path, to_fs, to_path, False, conf):
+        raise RuntimeError(f"could not copy {source} to {target}")
 
 
 def _rename(spark: SparkSession, source: str, target: str) -> None:
-    fs, from_path = _fs(spark, source)
+    fs, from_path = file_system(spark, source)
     if not fs.rename(from_path, spark._jvm.org.apache.hadoop.fs.Path(target)):
         raise RuntimeError(f"could not rename {source} to {target}")

@@ -8,70 +8,109 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.operators.joins import attach
-from veilframe.shared import names, written
+from veilframe.shared import file_system, names, written
 
 # Fixed value: a first line holding this marker keeps its file out of the run.
 OPT_OUT_MARKER = "-DONT-OBFUSCATE-ME-"
 
-LINE_ORDER = ("block_start", "line_id")
+LINE_ORDER = ("part", "block_start", "line_id")
+
+# A file as written by write_mirrored: its escaped name, then a part of it.
+_MIRRORED = r"^(?:sink=[^/]*/)?rel_path=([^/]*)/([^/]+)$"
 
 
 def scan_text(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """A file, or all files below a folder, line by line:
-    ``(rel_path, block_start, line_id, value)``, and ``file_size`` in bytes.
+    """A file, or all files below a folder, line by line: ``(rel_path, part,
+    block_start, line_id, value)``, and ``file_size`` in bytes.
 
     Spark splits large files over tasks.  ``line_id`` grows within a task but
     one task may read several blocks of a file, so the order of a file's lines
-    is ``(block_start, line_id)``.  As with every Spark source, names starting
-    with ``_`` or ``.`` are not read, and compressed files are unpacked by
-    their extension.
+    is ``LINE_ORDER``.  Folders written by ``write_mirrored`` give the files
+    they mirror, however many parts those came in; ``part`` is empty for other
+    files.  As with every Spark source, names starting with ``_`` or ``.`` are
+    not read (``unread_files`` lists them), and compressed files are unpacked
+    by their extension.
     """
     reader = spark.read.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(
-        _relative(spark, path, F.col("_metadata.file_path")).alias("rel_path"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("line_id"),
-        F.col("_metadata.file_size").alias("file_size"),
-        "value",
+    below = F.col("_below")
+    mirrored = below.rlike(_MIRRORED)
+    return (
+        reader.text(path)
+        .select(
+            _relative(spark, path, F.col("_metadata.file_path")).alias("_below"),
+            F.col("_metadata.file_block_start").alias("block_start"),
+            F.monotonically_increasing_id().alias("line_id"),
+            F.col("_metadata.file_size").alias("file_size"),
+            "value",
+        )
+        .select(
+            F.when(mirrored, _decoded(F.regexp_extract(below, _MIRRORED, 1))).otherwise(below).alias("rel_path"),
+            F.when(mirrored, F.regexp_extract(below, _MIRRORED, 2)).otherwise("").alias("part"),
+            "block_start",
+            "line_id",
+            "file_size",
+            "value",
+        )
     )
 
 
 def _relative(spark: SparkSession, path: str, reported: Column) -> Column:
     """A reported file path below ``path``; the file name if ``path`` is a file."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, hadoop_path = file_system(spark, path)
     folder = fs.makeQualified(hadoop_path).toUri().getRawPath().rstrip("/") + "/"
     if fs.exists(hadoop_path) and fs.getFileStatus(hadoop_path).isFile():
         folder = folder[:-1].rpartition("/")[0] + "/"
     at = F.instr(reported, folder)
-    below = F.when(at > 0, F.substr(reported, at + F.lit(len(folder)))).otherwise(reported)
-    # Paths are reported URI-encoded, where a plus sign stands for itself.
-    decoded = F.url_decode(F.replace(below, F.lit("+"), F.lit("%2B")))
-    return F.when(F.contains(below, F.lit("%")), decoded).otherwise(below)
+    return _decoded(F.when(at > 0, F.substr(reported, at + F.lit(len(folder)))).otherwise(reported))
+
+
+def _decoded(name: Column) -> Column:
+    """A name without its percent escapes, among which a plus stands for itself."""
+    plain = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+    return F.when(F.contains(name, F.lit("%")), plain).otherwise(name)
+
+
+def unread_files(spark: SparkSession, path: str) -> list[str]:
+    """Files below a folder that ``scan_text`` gives no line of, relative to
+    it: hidden ones, those starting with an underscore (or in such a folder),
+    and empty ones.  Markers and checksums that file systems make are left out.
+    """
+    fs, root = file_system(spark, path)
+    base = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
+    found, files = [], fs.listFiles(root, True)
+    while files.hasNext():
+        status = files.next()
+        below = status.getPath().toUri().getPath()[len(base) + 1 :]
+        *_, name = below.split("/")
+        made = name == "_SUCCESS" or (name.startswith(".") and name.endswith(".crc"))
+        hidden = any(part[0] in "._" for part in below.split("/") if part)
+        if not made and (hidden or status.getLen() == 0):
+            found.append(below)
+    return sorted(found)
 
 
 def profile_files(lines: DataFrame) -> DataFrame:
     """Profile of a scanned corpus: ``(rel_path, n_bytes, n_lines, size_label)``."""
-    profile = lines.groupBy("rel_path").agg(
+    parts = lines.groupBy("rel_path", "part").agg(
         F.max("file_size").alias("n_bytes"), F.count(F.lit(1)).alias("n_lines")
     )
+    profile = parts.groupBy("rel_path").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n_lines").alias("n_lines"))
     return profile.withColumn("size_label", size_label(F.col("n_bytes")))
 
 
-def _qualified(spark: SparkSession, path: str) -> str:
-    """The path with its scheme, as it starts the reported file paths."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.makeQualified(hadoop_path).toString().rstrip("/")
-
-
-def first_lines(
+def file_heads(
     df: DataFrame, key: str | Sequence[str], col: str, order: Sequence[str]
 ) -> DataFrame:
-    """The first line of every key; each task keeps one candidate per key."""
-    return df.groupBy(*names(key)).agg(F.min_by(col, F.struct(*order)).alias("first_line"))
+    """``(key…, first_line, n_lines, n_unreadable, is_binary)``; each task
+    keeps one candidate per key.  A file with a NUL character is no text."""
+    return df.groupBy(*names(key)).agg(
+        F.min_by(col, F.struct(*order)).alias("first_line"),
+        F.count(F.lit(1)).alias("n_lines"),
+        F.count(F.when(~F.is_valid_utf8(F.col(col)), 1)).alias("n_unreadable"),
+        F.coalesce(F.max(F.contains(F.col(col), F.lit("\x00"))), F.lit(False)).alias("is_binary"),
+    )
 
 
 def opts_out(first_line: Column, hint: str | None) -> Column:
@@ -91,8 +130,8 @@ def opt_out(
 ) -> tuple[DataFrame, DataFrame]:
     """Lines of the files that stay in, and the keys of those that do not."""
     keys = names(key)
-    firsts = first_lines(df, keys, col, order)
-    skipped = written(firsts.where(opts_out(F.col("first_line"), hint)).select(*keys), "skipped")
+    heads = file_heads(df, keys, col, order)
+    skipped = written(heads.where(opts_out(F.col("first_line"), hint)).select(*keys), "skipped")
     kept = attach(df, skipped, keys, "left_anti", broadcast_limit=broadcast_limit)
     return kept, skipped
 

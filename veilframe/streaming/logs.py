@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from veilframe.operators.rewriting import mask_kinds, scrub
-from veilframe.options import RIPGREP, Options
+from veilframe.options import HYBRID, LOW_LEVEL, RIPGREP, Options
 
 
 def masked_stream(spark: SparkSession, path: str, options: Options) -> DataFrame:
     """Lines of the files in ``path`` and of those still to come, masked in
     line.  There is no state: dictionaries would need the whole file first."""
+    if options.strategy in (HYBRID, LOW_LEVEL):
+        raise ValueError(f"{options.strategy} needs whole files, a stream has lines only")
     lines = spark.readStream.option("recursiveFileLookup", True).text(path)
     if options.strategy == RIPGREP:
         return mask_kinds(lines, "value", options.loose)
