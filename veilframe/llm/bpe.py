@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.llm.text import map_texts, raw
+from veilframe.llm.text import map_named, raw
 
 # Fixed value: the pattern that splits text before byte-level merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -260,8 +260,8 @@ def encode(df: DataFrame, path: str, text_col: str = "text", rows: list[str] | N
             codecs.append(Codec(shared.value))
         return [codecs[0].encode_all(texts)]
 
-    columns = [F.col(f"`{c}`") for c in (df.columns if rows is None else rows)]
-    return map_texts(df, F.col(f"`{text_col}`"), columns, [T.StructField("ids", T.ArrayType(T.IntegerType()))], work, 4 << 20)
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    return map_named(df, text_col, df.columns if rows is None else rows, fields, work, 2 << 20)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

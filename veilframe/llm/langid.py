@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.llm.splits import held_out
-from veilframe.llm.text import AS_IS, CHUNK_BYTES, LETTERS, map_texts, raw, slices, tokens
+from veilframe.llm.text import AS_IS, CHUNK_BYTES, LETTERS, map_named, raw, slices, tokens
 
 BUCKETS = 1 << 16
 SWITCH = 8.0
@@ -213,7 +213,7 @@ def identify(texts: pa.Array, model: Model, switch: float) -> list:
     weight = np.zeros((len(texts), max(n_langs, 1)))
     span_rows: list[np.ndarray] = []
     parts = []
-    for lo, hi in slices(texts, max(CHUNK_BYTES * 8 // max(n_langs, 8), 1 << 16)):
+    for lo, hi in slices(texts, max(CHUNK_BYTES * 4 // max(n_langs, 4), 1 << 16)):
         data, offsets = raw(texts.slice(lo, hi - lo))
         text, start, end, kind, grams, size = words_of(data, offsets)
         if len(size) and n_langs:
@@ -264,15 +264,14 @@ def label(df: DataFrame, model: Model, rows: list[str], text_col: str = "text",
     and if nothing was learned.
     """
     shared = df.sparkSession.sparkContext.broadcast((model.languages, model.score, model.allowed))
-    columns = [F.col(f"`{c}`") for c in rows]
     # The path takes as many steps as the longest text has words, so a slice
     # is large; its scores take one number per word and language.
-    limit = max((16 << 20) * 4 // max(len(model.languages), 4), 1 << 20)
+    limit = max((4 << 20) * 4 // max(len(model.languages), 4), 1 << 19)
 
     def work(texts: pa.Array) -> list:
         return identify(texts, Model(*shared.value), switch)
 
-    return map_texts(df, F.col(f"`{text_col}`"), columns, FIELDS, work, limit)
+    return map_named(df, text_col, rows, FIELDS, work, limit)
 
 
 def predict(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.llm.splits import labelled_sample, sampled_texts
-from veilframe.llm.text import LOWER, WORD_OR_SIGN, map_texts, mix, pairs, raw, slices, tokens
+from veilframe.llm.text import LOWER, WORD_OR_SIGN, map_named, mix, pairs, raw, slices, tokens
 from veilframe.shared import written
 
 
@@ -119,8 +119,7 @@ def with_weight(docs: DataFrame, table: np.ndarray, rows: list[str], text_col: s
         weight = np.bincount(at1, weights=ratio[0][one], minlength=len(texts))
         return [pa.array(weight + np.bincount(at2, weights=ratio[1][two], minlength=len(texts)))]
 
-    columns = [F.col(f"`{c}`") for c in rows]
-    return map_texts(docs, F.col(f"`{text_col}`"), columns, [T.StructField("log_weight", T.DoubleType())], work)
+    return map_named(docs, text_col, rows, [T.StructField("log_weight", T.DoubleType())], work)
 
 
 def gumbel(id_col: Column, seed: int) -> Column:

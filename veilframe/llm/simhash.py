@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.llm.components import connect
-from veilframe.llm.text import LOWER, WORDS, map_texts, raw, tokens
+from veilframe.llm.text import LOWER, WORDS, map_named, raw, tokens
 from veilframe.shared import written
 
 WIDTH = 3
@@ -70,11 +70,11 @@ def fingerprints_of(texts: pa.Array, width: int = WIDTH) -> np.ndarray:
     return result
 
 
-def with_fingerprint(df: DataFrame, text: Column, rows: list[Column], width: int = WIDTH) -> DataFrame:
+def with_fingerprint(df: DataFrame, text_col: str, rows: list[str], width: int = WIDTH) -> DataFrame:
     """``(row, fingerprint)``: the fingerprint's bits as a signed long."""
-    return map_texts(
+    return map_named(
         df,
-        text,
+        text_col,
         rows,
         [T.StructField("fingerprint", T.LongType())],
         lambda texts: [pa.array(fingerprints_of(texts, width).view(np.int64))],
@@ -115,8 +115,8 @@ def near_duplicates(
     stays null and never names a component that has another id; an empty table
     gives an empty result.
     """
-    marked = with_fingerprint(df, F.col(text_col), [F.col(id_col).alias("id")], width)
-    marked = written(marked.select(F.col("row.id").alias("id"), "fingerprint"), "fingerprints")
+    marked = with_fingerprint(df, text_col, [id_col], width)
+    marked = written(marked.select(F.col(f"row.`{id_col}`").alias("id"), "fingerprint"), "fingerprints")
     return _grouped(marked, radius, F.min("id"), "component_id").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
@@ -149,7 +149,7 @@ def one_of_each(
 ) -> DataFrame:
     """The input rows without near-duplicates: of each component the row with
     the smallest id stays (a null id last; of equal rows one)."""
-    marked = with_fingerprint(df, F.col(text_col), [F.col(f"`{c}`") for c in df.columns], width)
+    marked = with_fingerprint(df, text_col, df.columns, width)
     # Numbered once, at the write: later reads see the same numbers.
     marked = written(marked.withColumn("number", F.monotonically_increasing_id()), "numbered")
     last = F.col(f"row.`{id_col}`").isNull()

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _BLANK = (0x20, *range(0x09, 0x0E))
 
 # Token kinds by byte; 0 is between tokens, and a change of kind ends a token.
@@ -129,21 +129,40 @@ def map_texts(
     fields: list[T.StructField],
     work: Callable[[pa.Array], list],
     limit: int = CHUNK_BYTES,
+    place: int | None = None,
 ) -> DataFrame:
     """``rows`` of the frame as struct ``row``, beside what ``work`` returns
     for slices of ``text``: one array per field, one value per text.
 
-    The struct keeps names of the input apart from those of the result.
+    The struct keeps names of the input apart from those of the result.  If the
+    text is one of the rows, ``place`` says which, and it is not sent twice.
     """
-    narrow = df.select(F.struct(*rows).alias("row"), text.cast("string").alias("text"))
+    narrow = df.select(F.struct(*rows).alias("row"), *([text.cast("string").alias("text")] if place is None else []))
     schema = T.StructType([narrow.schema["row"], *fields])
     names = ["row", *(f.name for f in fields)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, texts = batch.column(0), batch.column(1)
+            kept = batch.column(0)
+            texts = batch.column(1) if place is None else kept.field(place)
             for lo, hi in slices(texts, limit):
                 found = work(texts.slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays([kept.slice(lo, hi - lo), *found], names=names)
+        pa.default_memory_pool().release_unused()
 
     return narrow.mapInArrow(run, schema)
+
+
+def map_named(
+    df: DataFrame,
+    text_col: str,
+    rows: list[str],
+    fields: list[T.StructField],
+    work: Callable[[pa.Array], list],
+    limit: int = CHUNK_BYTES,
+) -> DataFrame:
+    """:func:`map_texts` for columns by name."""
+    quoted = {c: F.col(f"`{c}`") for c in {*rows, text_col}}
+    is_row = text_col in rows and dict(df.dtypes)[text_col] == "string"
+    place = rows.index(text_col) if is_row else None
+    return map_texts(df, quoted[text_col], [quoted[c] for c in rows], fields, work, limit, place)
