@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.llm.text import map_named, raw
+from veilframe.llm.text import in_small_batches, map_named, raw
 
 # Fixed value: the pattern that splits text before byte-level merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -281,7 +281,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
                 texts = codecs[0].decode_all(part.column(place))
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], schema=pa.schema([*part.schema, ("decoded", pa.string())]))
 
-    return encoded.mapInArrow(run, schema)
+    return in_small_batches(encoded).mapInArrow(run, schema)
 
 
 def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -57,7 +57,7 @@ def _words(text: Column) -> Column:
 
 def _placed(df: DataFrame, text: Column, keep: list[Column], lengths: list[int]) -> DataFrame:
     """``keep``, and for every window of one of the ``lengths``: ``at`` (its
-    place), ``hash``, ``n`` (words of the text), ``slots``: values that the
+    place), ``length``, ``hash``, ``n`` (words of the text), ``slots``: values that the
     placeholders hide, null if none does."""
     texts = df.select(*keep, F.coalesce(text, F.lit("")).alias("_text"))
     texts = texts.withColumn("_digits", F.col("_text").rlike("[0-9]"))
@@ -71,7 +71,10 @@ def _placed(df: DataFrame, text: Column, keep: list[Column], lengths: list[int])
         inside = F.slice("_values", i, length)
         found = F.when(F.array_join(inside, "") != "", inside)
         return F.struct(
-            (i - 1).alias("at"), F.xxhash64(F.lit(length), F.slice("_h", i, length)).alias("hash"), found.alias("slots")
+            (i - 1).alias("at"),
+            F.lit(length).alias("length"),
+            F.xxhash64(F.lit(length), F.slice("_h", i, length)).alias("hash"),
+            found.alias("slots"),
         )
 
     def windows(length: int) -> Column:
@@ -105,10 +108,10 @@ def contaminated(
     # At most width - 1 numbers.
     lengths = [s.width, *sorted(r["n"] for r in shorter.collect())]
     items = _placed(benchmark, F.col(text_col), [F.col(item_col).alias("item")], lengths)
-    items = items.where((F.col("at") == 0) & (F.col("n") < s.width) | (F.col("n") >= s.width))
+    items = items.where(F.col("length") == F.least("n", F.lit(s.width))).drop("length")
     items = written(items.withColumnsRenamed({"at": "q", "slots": "item_slots"}), "template-windows")
     found = _placed(docs, F.col(text_col), [F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("copy")], lengths)
-    found = found.withColumnsRenamed({"hash": "doc_hash"}).drop("n")
+    found = found.withColumnsRenamed({"hash": "doc_hash"}).drop("n", "length")
     small = content_bytes(items) <= s.broadcast_limit
     met = found.join(F.broadcast(items) if small else items, F.col("doc_hash") == F.col("hash"))
     pairs = F.filter(

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.llm.splits import held_out
-from veilframe.llm.text import AS_IS, CHUNK_BYTES, LETTERS, map_named, raw, slices, tokens
+from veilframe.llm.text import AS_IS, CHUNK_BYTES, LETTERS, in_small_batches, map_named, raw, slices, tokens
 
 BUCKETS = 1 << 16
 SWITCH = 8.0
@@ -155,7 +155,7 @@ def train(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model:
                 [pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(row[at])], names=["lang", "bucket", "n"]
             )
 
-    partial = known.select(F.col(text_col), F.col(lang_col)).mapInArrow(count, "lang string, bucket long, n long")
+    partial = in_small_batches(known.select(text_col, lang_col)).mapInArrow(count, "lang string, bucket long, n long")
     # Languages times buckets: a bound that does not grow with the corpus.
     found = partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(found["lang"].to_pylist()))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.llm.splits import held_out
-from veilframe.llm.text import LOWER, WORDS, Tokens, map_texts, mix, raw, slices, tokens
+from veilframe.llm.text import LOWER, WORDS, Tokens, in_small_batches, map_texts, mix, raw, slices, tokens
 from veilframe.shared import written
 
 
@@ -108,7 +108,7 @@ def count_words(train: DataFrame, s: Settings) -> DataFrame:
             [pa.array(unique.view(np.int64)), pa.array(classes[first].astype(np.int32)), pa.array(n)], names=["hash", "class", "n"]
         )
 
-    partial = train.mapInArrow(run, "hash long, class int, n long")
+    partial = in_small_batches(train).mapInArrow(run, "hash long, class int, n long")
     return partial.groupBy("hash").agg(F.first("class").alias("class"), F.sum("n").alias("n"))
 
 
@@ -147,7 +147,7 @@ def count_units(train: DataFrame, hashes: np.ndarray, s: Settings) -> np.ndarray
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
-    cells = train.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = in_small_batches(train).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(n_out * n_out)
     counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     return counts.reshape(n_out, n_out)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.llm.splits import labelled_sample, sampled_texts
-from veilframe.llm.text import LOWER, WORD_OR_SIGN, map_named, mix, pairs, raw, slices, tokens
+from veilframe.llm.text import LOWER, WORD_OR_SIGN, in_small_batches, map_named, mix, pairs, raw, slices, tokens
 from veilframe.shared import written
 
 
@@ -68,7 +68,7 @@ def count(texts: DataFrame, buckets: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
-    found = texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = in_small_batches(texts).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     result = np.zeros(2 * buckets)
     result[found["bucket"].to_numpy()] = found["n"].to_numpy()
     return result.reshape(2, buckets)
@@ -116,8 +116,10 @@ def with_weight(docs: DataFrame, table: np.ndarray, rows: list[str], text_col: s
     def work(texts: pa.Array) -> list:
         ratio = shared.value
         at1, one, at2, two = ngrams(texts, ratio.shape[1])
-        weight = np.bincount(at1, weights=ratio[0][one], minlength=len(texts))
-        return [pa.array(weight + np.bincount(at2, weights=ratio[1][two], minlength=len(texts)))]
+        weight = np.zeros(len(texts))
+        weight += np.bincount(at1, weights=ratio[0][one], minlength=len(texts))
+        weight += np.bincount(at2, weights=ratio[1][two], minlength=len(texts))
+        return [pa.array(weight)]
 
     return map_named(docs, text_col, rows, [T.StructField("log_weight", T.DoubleType())], work)
 

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNK_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _BLANK = (0x20, *range(0x09, 0x0E))
 
 # Token kinds by byte; 0 is between tokens, and a change of kind ends a token.
@@ -122,6 +124,18 @@ def slices(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         yield lo, len(sizes)
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The frame, with the session's Arrow batches held to a few megabytes.
+
+    Texts differ in size by orders of magnitude, and each batch is held several
+    times over on its way.  A limit that was set by hand below that stays.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH_SETTING).rstrip("b") or 0) > BATCH_BYTES:
+        conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
+    return df
+
+
 def map_texts(
     df: DataFrame,
     text: Column,
@@ -150,7 +164,7 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays([kept.slice(lo, hi - lo), *found], names=names)
         pa.default_memory_pool().release_unused()
 
-    return narrow.mapInArrow(run, schema)
+    return in_small_batches(narrow).mapInArrow(run, schema)
 
 
 def map_named(

@@ -25,17 +25,16 @@ from veilframe.llm.text import LETTERS, LOWER, map_texts, mix, pairs, raw, token
 @dataclass(frozen=True)
 class Settings:
     """``sample_rows`` bounds the labelled rows learned from; a row of label 1,
-    the rarer one, counts ``positive_weight`` times.  ``l1`` is per square root
-    of the number of rows, as sums of chance gradients grow with that."""
+    the rarer one, counts ``positive_weight`` times."""
 
     sample_rows: int = 20_000
     bits: int = 20
     alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 0.07
+    l1: float = 8.0
     l2: float = 0.0
     epochs: int = 5
-    positive_weight: float = 5.0
+    positive_weight: float = 3.0
     threshold: float = 0.7
 
 
@@ -57,7 +56,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, s: Settings) -> np.ndarray:
     """Weights per coordinate, the intercept last (it carries no L1 term)."""
     size = (1 << s.bits) + 1
     z, n = np.zeros(size), np.zeros(size)
-    l1 = np.full(size, s.l1 * np.sqrt(len(rows)))
+    l1 = np.full(size, s.l1)
     l1[-1] = 0.0
 
     def weights(at):
