@@ -80,6 +80,8 @@ def log_ratio(target: np.ndarray, everything: np.ndarray, prior: float) -> np.nd
     The target model is the raw one times a ratio of observed to expected
     counts, drawn to one where few are expected, and normalised.
     """
+    if not target.any():
+        return np.zeros_like(everything)
     raw_p = (everything + 1.0) / (everything.sum(axis=1, keepdims=True) + everything.shape[1])
     expected = target.sum(axis=1, keepdims=True) * raw_p
     ratio = (target + prior) / (expected + prior)

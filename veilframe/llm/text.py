@@ -7,6 +7,7 @@ with a chance of about V*V / 2**65 for V distinct tokens.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
@@ -131,7 +132,9 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     times over on its way.  A limit that was set by hand below that stays.
     """
     conf = df.sparkSession.conf
-    if int(conf.get(_BATCH_SETTING).rstrip("b") or 0) > BATCH_BYTES:
+    number, unit = re.fullmatch(r"(-?[0-9]+)([kmgtp]?)b?", conf.get(_BATCH_SETTING).strip().lower()).groups()
+    held = int(number) << (10 * "bkmgtp".index(unit or "b"))
+    if not 0 < held <= BATCH_BYTES:
         conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
     return df
 
