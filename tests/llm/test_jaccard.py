@@ -1,0 +1,95 @@
+"""Near-duplicates by five-word similarity against brute force on all pairs."""
+
+from __future__ import annotations
+
+import random
+
+import corpus_pipeline
+from veilframe.llm import jaccard
+from veilframe.llm.queries import table
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))) if words else frozenset()
+
+
+def brute(rows):
+    """Ids of the rows that stay, by similarity of all pairs of distinct sets."""
+    sets = {}
+    for i, text in rows:
+        sets.setdefault(shingles(text), []).append((i is None, i or 0))
+    keys = list(sets)
+    root = list(range(len(keys)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    holders = {}
+    for x, key in enumerate(keys):
+        shared = {}
+        for shingle in key:
+            for y in holders.setdefault(shingle, []):
+                shared[y] = shared.get(y, 0) + 1
+            holders[shingle].append(x)
+        for y, n in shared.items():
+            if 9 * n >= 4 * (len(key) + len(keys[y])):
+                root[find(x)] = find(y)
+    best = {}
+    for x, key in enumerate(keys):
+        best[find(x)] = min(best.get(find(x), (True, 1 << 62)), *sets[key], (True, 1 << 62))
+    return sorted(None if no else i for no, i in best.values() if not no), sum(no for no, _ in best.values())
+
+
+def check(docs, stage=jaccard.one_of_each):
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    kept = stage(docs)
+    assert kept.columns == docs.columns
+    got = [r.doc_id for r in kept.select("doc_id").collect()]
+    want, nulls = brute(rows)
+    assert sorted(i for i in got if i is not None) == want
+    assert got.count(None) == nulls
+
+
+def edited(draw, words, base, n):
+    copy = list(base)
+    for _ in range(n):
+        copy[draw.randrange(len(copy))] = draw.choice(words)
+    return copy
+
+
+def test_edits_chains_and_common_passages(spark, make_docs):
+    draw = random.Random(3)
+    words = [f"w{n}" for n in range(400)]
+    passage = draw.choices(words, k=30)
+    rows = []
+    for _ in range(80):
+        base = draw.choices(words, k=draw.choice([3, 5, 8, 30, 60, 200]))
+        if draw.random() < 0.4:
+            base = base[: len(base) // 2] + passage + base[len(base) // 2 :]
+        for _ in range(draw.choice([1, 2, 4, 9])):
+            # Each from the one before, so that the ends of a chain differ.
+            base = edited(draw, words, base, draw.choice([0, 1, 1, len(base) // 40]))
+            rows.append((len(rows) * 7 % 1009, " ".join(base)))
+    check(make_docs(rows))
+    check(make_docs(rows), lambda docs: corpus_pipeline.near_dedup(spark, docs, ""))
+
+
+def test_one_edit_is_enough_for_the_stage(spark, make_docs):
+    base = [f"word{n}" for n in range(100)]
+    texts = [" ".join(base[:n] + ["other"] + base[n + 1 :]) for n in range(20, 80, 3)]
+    docs = make_docs(list(enumerate([" ".join(base), *texts])))
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [0]
+
+
+def test_awkward_rows(awkward, no_docs, make_docs):
+    check(awkward)
+    assert jaccard.one_of_each(no_docs).collect() == []
+    check(make_docs([(None, "a b c d")] * 5))
+    check(make_docs([(1, "a b"), (2, "A\tB"), (3, "a b c"), (None, ""), (4, None), (5, "é É")]))
+
+
+def test_a_whole_table(spark):
+    check(table(spark, "/root/testdata/sf0.01", "documents"))
