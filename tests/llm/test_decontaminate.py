@@ -81,3 +81,30 @@ def test_a_whole_table(spark):
     want = {(d.doc_id, b.item_id) for d in docs for b in items if b.text in d.text}
     got = {(r.doc_id, r.item_id) for r in op5_decontaminate(spark, path).collect()}
     assert want and got == want
+
+
+BUYS = (
+    "Anna buys 5 apples and 3 pears at the market. Ben gives her 2 more pears. How many pieces of fruit does she "
+    "carry home in the end, if she eats 1 of them on the way and finds 7 in the garden?"
+)
+LONG = (
+    "A worker named Otto lays 12 stones in a row, then rests, then lays more stones until the wall is done. The wall of "
+    "his brother takes 12 stones too, and both walls stand side by side at the end of the long garden path"
+)
+
+
+def test_one_clash_costs_its_windows_only(spark, make_docs):
+    items = spark.createDataFrame([(20, BUYS), (21, LONG)], "item_id bigint, text string")
+    docs = make_docs(
+        [
+            (1, f"{FILLER}. {BUYS.replace('5', '4').replace('3', '4')}"),
+            (2, f"{FILLER}. {LONG.replace('takes 12', 'takes 21')}"),
+            (3, f"{FILLER}. {LONG}"),
+            (4, f"{FILLER}. {LONG.replace('12', '30')}"),
+        ]
+    )
+    got = found(docs, items)
+    assert set(got) == {(1, 20), (2, 21), (3, 21), (4, 21)}
+    assert got[1, 20].share == got[3, 21].share == got[4, 21].share == 1.0
+    assert 0.5 < got[2, 21].share < 1.0
+    assert [got[k].reparameterised for k in sorted(got)] == [True, False, False, True]

@@ -2,9 +2,9 @@
 
 Numbers, names and units become typed placeholders, so a question keeps its
 template when it is asked again with other values.  Windows of template words
-are hashed and joined; an alignment of a document with an item then has to be
-consistent: equal values of the item stand where the document's are equal, and
-different ones where they differ.
+are hashed and joined.  In an alignment of a document with an item, a value of
+the item has one image: the document's value in over half of its slots.  A
+window counts if all its slots hold images, or all hold the item's own values.
 """
 
 from __future__ import annotations
@@ -114,20 +114,28 @@ def contaminated(
     found = found.withColumnsRenamed({"hash": "doc_hash"}).drop("n", "length")
     small = content_bytes(items) <= s.broadcast_limit
     met = found.join(F.broadcast(items) if small else items, F.col("doc_hash") == F.col("hash"))
-    pairs = F.filter(
-        F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["a"] != ""
-    )
+    slot = lambda x, i: F.struct((F.col("q") + i).alias("p"), x["a"].alias("a"), x["b"].alias("b"))
+    pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = F.filter(F.transform(pairs, slot), lambda x: x["a"] != "")
+    pairs = F.coalesce(pairs, F.array().cast("array<struct<p:int,a:string,b:string>>"))
     n_windows = F.greatest(F.col("n") - s.width + 1, F.lit(1))
     # An alignment holds at most one row per window of the item, so what is
     # collected is bounded by the item, not by the documents.
     aligned = met.groupBy("doc", "copy", "item", (F.col("at") - F.col("q")).alias("shift"), n_windows.alias("windows")).agg(
-        F.collect_set("q").alias("found"), F.flatten(F.collect_set(pairs)).alias("pairs")
+        F.collect_set(F.struct("q", pairs.alias("pairs"))).alias("met")
+    )
+    aligned = aligned.withColumn("slots", F.array_distinct(F.flatten(F.transform("met", lambda w: w["pairs"]))))
+    # What most slots of an item's value have is the value's image.
+    image = F.filter(
+        "slots",
+        lambda x: 2 * F.size(F.filter("slots", lambda y: (y["a"] == x["a"]) & (y["b"] == x["b"])))
+        > F.size(F.filter("slots", lambda y: y["a"] == x["a"])),
     )
-    values = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda x: x[side])))
-    n_pairs = F.size(F.array_distinct("pairs"))
-    consistent = aligned.where((values("a") == n_pairs) & (values("b") == n_pairs))
-    differs = F.exists("pairs", lambda x: x["a"] != x["b"])
-    seen = consistent.select("doc", "copy", "item", "windows", differs.alias("differs"), F.explode("found").alias("q"))
+    aligned = aligned.withColumn("image", image)
+    verbatim = lambda w: F.forall(w["pairs"], lambda x: x["a"] == x["b"])
+    held = F.filter("met", lambda w: verbatim(w) | (F.size(F.array_except(w["pairs"], F.col("image"))) == 0))
+    each = aligned.select("doc", "copy", "item", "windows", F.explode(held).alias("w"))
+    seen = each.select("doc", "copy", "item", "windows", (~verbatim(F.col("w"))).alias("differs"), F.col("w.q").alias("q"))
     seen = seen.groupBy("doc", "copy", "item", "windows", "q").agg(F.max("differs").alias("differs"))
     held = seen.groupBy("doc", "copy", "item", "windows").agg(F.count("*").alias("n"), F.max("differs").alias("differs"))
     share = F.col("n") / F.col("windows")
