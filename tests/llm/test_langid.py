@@ -82,6 +82,13 @@ def test_in_one_language(awkward, no_docs):
     assert langid.in_one_language(no_docs).collect() == []
 
 
+def test_without_languages_nothing_is_lost(make_docs):
+    docs = make_docs([(1, "some text"), (2, "ещё текст"), (3, None), (4, "12 !"), (None, "a")], lang=[None] * 5)
+    kept = langid.in_one_language(docs)
+    assert kept.columns == docs.columns
+    assert sorted(repr(r.doc_id) for r in kept.collect()) == ["1", "2", "None"]
+
+
 def test_held_out_rows_are_told_apart(spark):
     path = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in table(spark, path, "documents").collect()}

@@ -295,6 +295,11 @@ def in_one_language(
     df: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
     """The rows whose text has a language with at least the share ``least`` of
-    its letters; null texts and texts without a letter go."""
-    found = label(df, train(df, id_col, text_col, lang_col), df.columns, text_col)
+    its letters; null texts and texts without a letter go.  If no language was
+    learned, as no row that may be learned from has one, every row with a
+    letter stays."""
+    model = train(df, id_col, text_col, lang_col)
+    if not model.languages:
+        return df.where(F.col(f"`{text_col}`").rlike(r"\p{L}"))
+    found = label(df, model, df.columns, text_col)
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
