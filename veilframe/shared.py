@@ -11,11 +11,13 @@ import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
@@ -67,7 +69,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write the frame to the shared folder and read it back."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[found] = path
+    return found
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete tables that :func:`written` returned and nothing reads any more."""
+    for frame in frames:
+        fs, target = file_system(frame.sparkSession, _paths.pop(frame))
+        fs.delete(target, True)
 
 
 def spread_out(df: DataFrame) -> DataFrame:
