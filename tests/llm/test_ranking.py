@@ -1,0 +1,115 @@
+"""Ranked search, against scores of all pairs."""
+
+from __future__ import annotations
+
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from veilframe.llm import ranking
+from veilframe.llm.ranking import Best, Sparse, counted, rank, search
+
+TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def terms(text):
+    return TERM.findall((text or "").translate(FOLD))
+
+
+def expected(docs, items, k=10):
+    held = [(i, Counter(terms(t))) for i, t in docs]
+    n_docs, n_terms = sum(1 for _, c in held if c), sum(sum(c.values()) for _, c in held)
+    df = Counter(t for _, c in held for t in c)
+    weight = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * n + 1))) for t, n in df.items()}
+    rows = []
+    for item, text in items:
+        asked = terms(text)
+        scores = []
+        for doc, count in held:
+            m = 25 + 75 * sum(count.values()) * n_docs // max(n_terms, 1)
+            score = sum(weight[t] * (1_000_000_000 * count[t] // (1000 * count[t] + 8 * m)) for t in asked if t in count)
+            if score > 0:
+                scores.append((-score, doc is None, doc or 0, doc))
+        rows += [(item, n, doc, -s) for n, (s, _, _, doc) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(rows, key=repr)
+
+
+def results(spark, docs, items, **options):
+    found = rank(
+        spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3),
+        spark.createDataFrame(items, "item_id bigint, text string"),
+        **options,
+    )
+    assert found.columns == ["item_id", "rank", "doc_id", "score"]
+    return sorted((tuple(r) for r in found.collect()), key=repr)
+
+
+def some_text(rng, n, vocabulary):
+    return rng.choice([" ", ", ", "_"]).join(vocabulary[min(int(rng.expovariate(0.05)), len(vocabulary) - 1)] for _ in range(n))
+
+
+def test_random_tables(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcXYZ01é日", k=rng.randint(1, 6))) for _ in range(300)]
+    docs = [(n, some_text(rng, rng.randint(0, 80), words)) for n in range(600)]
+    docs += [(n, docs[7][1]) for n in range(1000, 1040)] + [docs[8], docs[8], (None, docs[9][1]), (None, None), (5000, "é-_-")]
+    items = [(n, some_text(rng, rng.randint(1, 30), words)) for n in range(90)] + [(7, docs[7][1]), (7, docs[7][1]), (8, None), (9, "!!"), (None, "ab é")]
+    want = expected(docs, items)
+    assert results(spark, docs, items) == want
+    monkeypatch.setattr(ranking, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(ranking, "BATCH", 100)
+    assert results(spark, docs, items) == want
+    assert results(spark, docs, items, k=3) == expected(docs, items, 3)
+
+
+def test_search_cuts_off_pairs_and_loses_none():
+    """Documents of separate vocabularies: most pairs are never scored."""
+    rng = np.random.default_rng(2)
+    n_items, n_docs = 64, 4096
+    group = np.sort(rng.integers(0, 16, n_docs))
+    item_terms = np.array([np.sort(rng.choice(20, 5, replace=False)) + 20 * (i // 4) for i in range(n_items)])
+    doc_terms = np.array([np.sort(rng.choice(20, 8, replace=False)) + 20 * g for g in group])
+    items = Sparse(np.arange(1, n_items + 1) * 5, item_terms.ravel(), rng.integers(1, 9000, n_items * 5))
+    docs = Sparse(np.arange(1, n_docs + 1) * 8, doc_terms.ravel(), rng.integers(1, 1_000_000, n_docs * 8))
+    dense = lambda rows, n: np.array([np.bincount(t, weights=v, minlength=320) for t, v in zip(np.split(rows.term, n), np.split(rows.value, n), strict=True)])
+    scores = (dense(items, n_items) @ dense(docs, n_docs).T).astype(np.int64)
+    best = Best(n_items, 10, np.zeros(n_items, np.int64))
+    ids = rng.permutation(n_docs)
+    scored = search(ranking._levels(items), ranking._levels(docs), 320, best, ids, np.zeros(n_docs, bool))
+    for i in range(n_items):
+        keep = np.lexsort((ids, -scores[i]))[:10]
+        assert sorted(zip(-scores[i][keep], ids[keep], strict=True)) == sorted(zip(-best.held[i][0], best.held[i][1], strict=True))
+    assert scored < n_items * n_docs / 16
+
+
+def test_scores_beyond_doubles():
+    """Weights whose products pass 2**53 are summed as integers."""
+    items = Sparse(np.array([2]), np.array([0, 1]), np.array([9_007_199_254, 3]))
+    docs = Sparse(np.array([2, 4]), np.array([0, 1, 0, 1]), np.array([1_000_000, 1, 1_000_000, 2]))
+    best = Best(1, 1, np.zeros(1, np.int64))
+    search(ranking._levels(items), ranking._levels(docs), 2, best, np.array([1, 2]), np.zeros(2, bool))
+    assert (int(best.held[0][0][0]), int(best.held[0][1][0])) == (9_007_199_254_000_006, 2)
+
+
+def test_counted():
+    owner, value, times, n = counted(pa.array(["a_A b", None, "", "é é1 É"]))
+    assert (owner.tolist(), sorted(times[:2].tolist()), n.tolist()) == ([0, 0, 3, 3, 3], [1, 2], [3, 0, 0, 3])
+
+
+def test_awkward_rows(spark, awkward, no_docs):
+    items = spark.createDataFrame([(1, "the cat"), (None, None), (2, "")], "item_id bigint, text string")
+    found = rank(awkward, items).collect()
+    assert [(r.item_id, r["rank"], r.doc_id) for r in found] == [(1, 1, 1)]
+    assert rank(no_docs, items).count() == 0
+    assert rank(awkward, items.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["", None, "?!"])
+def test_no_terms_at_all(spark, text):
+    assert results(spark, [(1, text)], [(1, "a")]) == []

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import bpe, chat, decontaminate, langid, lm, quality, repeats, reputation, rules, simhash, toxicity
+from veilframe.llm import bpe, chat, decontaminate, langid, lm, quality, ranking, repeats, reputation, rules, simhash, toxicity, trie
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,10 +73,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op11_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of conversations that were given shared beginnings."""
+    return trie.nodes_of(*trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
@@ -88,7 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rules": op8_rules,
     "op9_langid": op9_langid,
     "op10_bpe": op10_bpe,
+    "op11_ranking": op11_ranking,
     "op12_repeats": op12_repeats,
+    "op13_trie": op13_trie,
 }
 
 _CHAT_SQL = """
@@ -172,6 +183,68 @@ SELECT page_id, host, path, rule,
 FROM judged
 """
 
+_RANKING_SQL = r"""
+WITH found AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms, row_number() OVER () AS doc
+  FROM documents),
+totals AS (SELECT count(*) FILTER (len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM found),
+held AS (SELECT doc, term, count(*)::BIGINT AS tf FROM (SELECT doc, unnest(terms) AS term FROM found) GROUP BY doc, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM held CROSS JOIN totals GROUP BY term, n_docs),
+docs AS (SELECT doc, doc_id, 25 + (75 * len(terms)::BIGINT * n_docs) // n_terms AS m FROM found CROSS JOIN totals WHERE len(terms) > 0),
+items AS (
+  SELECT item, item_id, term, count(*)::BIGINT AS times
+  FROM (SELECT item, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT *, row_number() OVER () AS item FROM benchmark))
+  GROUP BY item, item_id, term),
+scores AS (
+  SELECT item, item_id, doc, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM items JOIN weights USING (term) JOIN held USING (term) JOIN docs USING (doc)
+  GROUP BY item, item_id, doc, doc_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id ASC NULLS LAST)::INTEGER AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+_TRIE_SQL = """
+WITH ranked AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+counts AS (
+  SELECT conv_id, count(*) AS n, conv_id - conv_id % 100 AS base,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, c: list_reduce(list_prepend(xor(crc, c), range(8)), lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))),
+      4294967295::BIGINT) % 6 AS h
+  FROM ranked GROUP BY conv_id),
+convs AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS lent FROM counts c LEFT JOIN counts b ON b.conv_id = c.base),
+turns AS (
+  SELECT c.conv_id, r.place AS depth, role, text FROM convs c JOIN ranked r ON r.conv_id = c.base AND r.place <= c.h
+  UNION ALL
+  SELECT conv_id, lent + place - h, role, text FROM ranked JOIN convs USING (conv_id) WHERE place > h),
+walked AS (
+  SELECT conv_id, depth, length(text) AS size,
+    md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node
+  FROM turns UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+paths AS (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent FROM walked),
+nodes AS (
+  SELECT node, max(parent) AS parent, max(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size
+  FROM paths GROUP BY node),
+families AS (SELECT parent, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+ends AS (
+  SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+  FROM (SELECT conv_id, node, depth = max(depth) OVER (PARTITION BY conv_id) AS is_last FROM walked) WHERE is_last GROUP BY node),
+totals AS (
+  SELECT p.node, sum((x.n_convs - 1) * x.size)::BIGINT AS saved_tokens, count(*) FILTER (f.parent IS NULL) AS n_leaves
+  FROM nodes x JOIN paths p ON p.conv_id = x.conv_id AND p.depth <= x.depth LEFT JOIN families f ON f.parent = x.node GROUP BY p.node)
+SELECT n.conv_id, n.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(f.n_children, 0) AS n_children, t.n_leaves, t.saved_tokens,
+  sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes up ON up.node = n.parent LEFT JOIN families f ON f.parent = n.node JOIN totals t ON t.node = n.node LEFT JOIN ends e ON e.node = n.node
+"""
+
 # Learned models, fingerprints, merges and whole-text statistics have no SQL
 # form; their tests compare with brute force or held-out rows.
-ORACLES: dict[str, str] = {"op4_chat": _CHAT_SQL, "op6_reputation": _REPUTATION_SQL}
+ORACLES: dict[str, str] = {"op4_chat": _CHAT_SQL, "op6_reputation": _REPUTATION_SQL, "op11_ranking": _RANKING_SQL, "op13_trie": _TRIE_SQL}
