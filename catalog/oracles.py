@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from catalog.inputs import LOG_LINES_SQL
-from catalog.queries import CARD, FIVE, HINT, LOOSE, MIN_SPLIT, NUM_PARTS, STRICT, WORD
+from catalog.queries import CARD, FIVE, HINT, LOOSE, MIN_SPLIT, NUM_PARTS, SIX, STRICT, WORD
 from veilframe.detectors import (
     CREDENTIALS,
     FILE_DIR,
@@ -17,7 +17,6 @@ from veilframe.detectors import (
     pick,
     with_detector,
 )
-from veilframe.functions.tokens import seal_sql, seal_text, unseal_sql
 from veilframe.operators.segments import count_column
 from veilframe.sources.text import OPT_OUT_MARKER
 
@@ -63,21 +62,34 @@ def _cleaned(segments: str, keys: str) -> str:
     )
 
 
+# A finished token or label, as it stands in the text.
+_DONE = r"\{\{[A-Z0-9-]+\}\}|\{\{[A-Z0-9-]+-[0-9a-f]{5}\}\}"
+
+
+def _zipped(text: str, rx: str, piece: str, var: str) -> str:
+    """The text cut at the matches of a pattern; ``piece`` is SQL for one gap
+    and the match behind it, ``var[1]`` and ``var[2]``."""
+    cut = f"list_zip(string_split_regex({text}, {_q(rx)}), regexp_extract_all({text}, {_q(rx)}, 0))"
+    return f"array_to_string(list_transform({cut}, lambda {var}: {piece}), '')"
+
+
+def _outside_tokens(text: str, d: Detector, new: str) -> str:
+    """The text with matches (``m[2]``) replaced where no token stands.  Only a
+    value of CREDENTIALS, up to a blank, takes tokens in."""
+    kind_piece = f"m[1] || coalesce({new}, '')"
+    if d.kind == CREDENTIALS:
+        return _zipped(text, d.regex, kind_piece, "m")
+    return _zipped(text, _DONE, _zipped("g[1]", d.regex, kind_piece, "m") + " || coalesce(g[2], '')", "g")
+
+
 def _scrub_steps(source: str, keys: str, col: str, detectors: list[Detector]) -> tuple[str, str]:
     """CTEs that scrub kind after kind, and the name of the last one."""
     steps, current = [], source
     for i, d in enumerate(in_order(detectors)):
-        rx = _q(d.regex)
-        glued = f"z[1] || coalesce({seal_sql(_token(_q(d.kind), unseal_sql('z[2]')))}, '')"
-        text = (
-            f"CASE WHEN {col} IS NULL THEN NULL ELSE array_to_string(list_transform(list_zip("
-            f"string_split_regex({col}, {rx}), regexp_extract_all({col}, {rx}, 0)), "
-            f"lambda z: {glued}), '') END"
-        )
+        text = f"CASE WHEN {col} IS NULL THEN NULL ELSE {_outside_tokens(col, d, _token(_q(d.kind), 'm[2]'))} END"
         steps.append(f"scrub{i} AS (SELECT {keys}, {text} AS {col} FROM {current})")
         current = f"scrub{i}"
-    steps.append(f"scrubbed AS (SELECT {keys}, {unseal_sql(col)} AS {col} FROM {current})")
-    return ", ".join(steps), "scrubbed"
+    return ", ".join(steps), current
 
 
 def _scrub(source: str, keys: str, col: str, detectors: list[Detector], before: str = "") -> str:
@@ -86,29 +98,36 @@ def _scrub(source: str, keys: str, col: str, detectors: list[Detector], before:
 
 
 def _mask(source: str, keys: str, col: str, detectors: list[Detector]) -> str:
-    text = col
     for d in in_order(detectors):
-        text = f"regexp_replace({text}, {_q(d.regex)}, {_q(seal_text('{{' + d.kind + '}}'))}, 'g')"
-    return f"SELECT {keys}, {unseal_sql(text)} AS {col} FROM {source}"
+        label = f"CASE WHEN m[2] IS NOT NULL THEN {_q('{{' + d.kind + '}}')} END"
+        text = f"CASE WHEN {col} IS NULL THEN NULL ELSE {_outside_tokens(col, d, label)} END"
+        source = f"(SELECT {keys}, {text} AS {col} FROM {source})"
+    return f"SELECT {keys}, {col} FROM {source}"
 
 
 def _entries(source: str, key: str, col: str, detectors: list[Detector], where: str = "TRUE") -> str:
     """One ordered list of ``segment‖chr(1)‖token`` per key."""
     segments = _cleaned(_distinct(source, key, col, detectors), key)
     return (
-        f"SELECT {key}, list(segment || chr(1) || {seal_sql(_token('kind', 'segment'))} "
+        f"SELECT {key}, list(segment || chr(1) || {_token('kind', 'segment')} "
         f"ORDER BY {_priority(detectors)}, -length(segment), segment) AS entries "
         f"FROM ({segments}) WHERE {where} GROUP BY {key}"
     )
 
 
 def _fold(col: str) -> str:
+    """Entries replaced in the gaps between finished tokens, which the list
+    holds at its even places."""
     segment, token = "split_part(e, chr(1), 1)", "split_part(e, chr(1), 2)"
     held = f"list_filter(entries, lambda e: contains({col}, {segment}))"
+    # chr(2) stands around each finished token: pieces alternate.
+    once = (
+        f"array_to_string(list_transform(string_split(text, chr(2)), lambda p, n: "
+        f"CASE WHEN n % 2 = 1 THEN replace(p, {segment}, chr(2) || {token} || chr(2)) ELSE p END), chr(2))"
+    )
     return (
         f"CASE WHEN entries IS NULL THEN {col} ELSE "
-        + unseal_sql(f"list_reduce(list_prepend({col}, {held}), lambda text, e: replace(text, {segment}, {token}))")
-        + " END"
+        f"replace(list_reduce(list_prepend({col}, {held}), lambda text, e: {once}), chr(2), '') END"
     )
 
 
@@ -208,9 +227,9 @@ def _summary(counts: str, before: str, skipped: str = "(SELECT count(*) FROM ski
     )
     return (
         f"WITH {before}, counts AS ({counts}) "
-        "SELECT *, CASE WHEN files_seen > opted_out THEN 'SUCCESS' ELSE 'IGNORED' END AS status FROM ("
+        "SELECT *, CASE WHEN files_seen > opted_out + not_text THEN 'SUCCESS' ELSE 'IGNORED' END AS status FROM ("
         "SELECT (SELECT count(DISTINCT file) FROM log_lines) AS files_seen, "
-        f"CAST({skipped} AS BIGINT) AS opted_out, "
+        f"CAST({skipped} AS BIGINT) AS opted_out, CAST(0 AS BIGINT) AS not_text, "
         "count(*) FILTER (WHERE total_segments = 0) AS untouched, "
         "count(*) FILTER (WHERE total_segments > 0) AS rewritten, "
         f"CAST({bad} AS BIGINT) AS quarantined_lines, {sums} FROM counts)"
@@ -388,6 +407,8 @@ def _build() -> dict[str, str]:
         "u1_custom_detector": _scrub("documents", "doc_id", "text", card),
         "u1_custom_detector_matches": _docs(card),
         "u1_custom_digits": _scrub("log_lines", _LL_KEYS, "line", with_detector(STRICT, FIVE), LL),
+        "u1_custom_negated": _scrub("log_lines", _LL_KEYS, "line", with_detector(STRICT, SIX), LL),
+        "u1_custom_negated_mask": _IN_LINES + _mask("log_lines", _LL_KEYS, "line", with_detector(LOOSE, SIX)),
         "u1_custom_hybrid": _hybrid(
             "log_lines", "file", "line_no", "line", 200, LL, with_detector(STRICT, WORD), with_detector(LOOSE, WORD)
         ),

@@ -55,6 +55,7 @@ STRICT, LOOSE, TOKENS = strict_profile(), loose_profile(), TokenRule()
 CARD = Detector("CARD", r"\b[0-9]{16}\b", phase=1, rank=9)
 FIVE = Detector("FIVE", r"\b[0-9]{5}\b", phase=3)
 WORD = Detector("WORD", r"\b(?:IPV4|inet|seq)\b", phase=3)
+SIX = Detector("SIX", r"[^ \n]{6}", phase=3)
 HINT = "heartbeat"
 NUM_PARTS = 3
 MIN_SPLIT = 1000
@@ -473,6 +474,15 @@ def u1_custom_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scrub(log_lines(spark, sf_dir), "line", with_detector(STRICT, FIVE), TOKENS)
 
 
+def u1_custom_negated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six characters of any kind but blanks, and none of a token's."""
+    return scrub(log_lines(spark, sf_dir), "line", with_detector(STRICT, SIX), TOKENS)
+
+
+def u1_custom_negated_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask_kinds(log_lines(spark, sf_dir), "line", with_detector(LOOSE, SIX))
+
+
 def u1_custom_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymize(log_lines(spark, sf_dir), "file", "line", Options().with_kind(WORD))
 
@@ -558,6 +568,8 @@ QUERIES: dict[str, Query] = {
         u1_custom_detector,
         u1_custom_detector_matches,
         u1_custom_digits,
+        u1_custom_negated,
+        u1_custom_negated_mask,
         u1_custom_hybrid,
         u1_custom_low_level,
         u2_sql_functions,

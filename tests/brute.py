@@ -20,10 +20,39 @@ def matches(detector: Detector, text: str) -> list[str]:
     return [m.group(0) for m in re.finditer(detector.regex, text, re.ASCII)]
 
 
-def scrub(text: str, detectors: list[Detector]) -> str:
+def scrub(text: str, detectors: list[Detector], new=None) -> str:
+    """Kind after kind over what is no token yet; a value of CREDENTIALS runs to
+    the next blank and may take tokens in.  ``new`` gives a match's replacement."""
+    new = new or token
+    pieces = [(False, text)]
     for d in in_order(detectors):
-        text = re.sub(d.regex, lambda m: token(d.kind, m.group(0)), text, flags=re.ASCII)  # noqa: B023
-    return text
+        if d.kind == "CREDENTIALS":
+            whole, starts = "".join(p for _, p in pieces), {}
+            at = 0
+            for done, piece in pieces:
+                if done:
+                    starts[at] = at + len(piece)
+                at += len(piece)
+            pieces = _around(whole, [(*m.span(), new(d.kind, m.group(0))) for m in re.finditer(d.regex, whole, re.ASCII)], starts)
+            continue
+        cut = []
+        for done, piece in pieces:
+            found = [] if done else [(*m.span(), new(d.kind, m.group(0))) for m in re.finditer(d.regex, piece, re.ASCII)]
+            cut += [(True, piece)] if done else _around(piece, found, {})
+        pieces = cut
+    return "".join(p for _, p in pieces)
+
+
+def _around(text: str, found, done: dict[int, int]):
+    """The text in pieces: replaced matches, finished tokens (``done``, those
+    within a match are gone), and what is between."""
+    spans = [(a, b, t) for a, b, t in found]
+    spans += [(a, b, text[a:b]) for a, b in done.items() if not any(x < b and a < y for x, y, _ in found)]
+    pieces, at = [], 0
+    for a, b, replaced in sorted(spans):
+        pieces += [(False, text[at:a]), (True, replaced)]
+        at = b
+    return [*pieces, (False, text[at:])]
 
 
 def segments(rows, detectors: list[Detector]):

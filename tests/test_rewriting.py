@@ -20,10 +20,12 @@ from veilframe.detectors import (
     pick,
     strict_profile,
     with_detector,
+    without_private,
 )
 from veilframe.functions.matching import has_match
 from veilframe.functions.sql import register_functions
 from veilframe.functions.tokens import TokenRule
+from veilframe.operators import dictionary
 from veilframe.operators.dictionary import rewrite_with_dictionary
 from veilframe.operators.rewriting import mask_kinds, scrub
 
@@ -85,6 +87,49 @@ def test_no_kind_is_found_inside_a_token(spark):
         assert line == "{{IPV4}} at {{ZIP}} {{WORD}} {{WORD}}"
 
 
+WIDE = [
+    Detector("SIX", r"[^ \n]{6}", phase=3),
+    Detector("THREE", r"[^a-z \n]{3}", phase=3),
+    Detector("SIGNS", r"[^\w\s]+", phase=3),
+    Detector("FOUR", r"(?:[A-F0-9]|[^A-Z\n]){4}", phase=1, rank=9),
+]
+
+
+@pytest.mark.parametrize("wide", WIDE, ids=lambda d: d.kind)
+def test_negated_classes_tear_no_token(spark, wide):
+    lines = ["host 10.0.0.1 and /var/log/10.0.0.2/x password: 10.0.0.3", "a 02:00:11:00:00:0A {{X}} user=/a/b,c", "\ue141 10.0.0.1 é日", ""]
+    df, profile = corpus(spark, lines), with_detector(strict_profile(), wide)
+    # Private characters match no class while tokens are set.
+    plain = [t.replace("\ue141", "") for t in lines]
+    assert [t.replace("\ue141", "") for t in texts(scrub(df, "line", profile, TOKENS))][:2] == [brute.scrub(t, profile) for t in plain][:2]
+    loose = with_detector(loose_profile(), wide)
+    label = lambda kind, _: "{{" + kind + "}}"
+    assert texts(mask_kinds(df, "line", loose))[:2] == [brute.scrub(t, loose, label) for t in plain][:2]
+    register_functions(spark, profile, TOKENS, prefix="wide")
+    assert texts(df.selectExpr("n", "wide_scrub(line) AS line")) == texts(scrub(df, "line", profile, TOKENS))
+
+
+def test_texts_with_private_characters_are_rewritten_alike(spark):
+    """Tokens are written in a block of characters that the text does not hold."""
+    line = "host 10.0.0.1 user=x /a/b 12345 IPV4"
+    profile = with_detector(with_detector(strict_profile(), NUMBERS), LETTERS)
+    own = ["", "\ue100", "\ue141\ue17d", "\ue000\ue100\ue17f\ue180", "".join(chr(0xE000 + 128 * n + 45) for n in range(49)), "\uf8ff"]
+    got = texts(scrub(corpus(spark, [f"{o} {line} {o}" for o in own]), "line", profile, TOKENS))
+    assert got == [f"{o} {brute.scrub(line, profile)} {o}" for o in own]
+    # A value of credentials takes such characters in and is hashed as it is.
+    got = texts(scrub(corpus(spark, ["password=\ue120\ue141x"]), "line", profile, TOKENS))
+    assert got == [brute.token("CREDENTIALS", "password=\ue120\ue141x")]
+
+
+def test_patterns_are_kept_from_private_characters():
+    for plain in (r"\b(?:IPV4|seq)\b", r"[\w.\-]+/[a-z]{2}", r"(?i)\bx\d+\s*[:=]", r"a\.b\[c\]"):
+        assert without_private(plain) == plain
+    for wide in (r"[^ \n]", r"\S", r"\W", r".", r"[\S]", r"\P{Lu}", r"[^a[b]\n]", r"(?:x|[^\]\n])", r"\p{Co}"):
+        assert without_private(wide) != wide
+    with pytest.raises(ValueError, match="private"):
+        Detector("PUA", "x\ue123")
+
+
 def test_files_that_hold_only_a_custom_kind_are_rewritten(spark):
     df = corpus(spark, ["card 1234567812345678"]).withColumn("k", F.lit("k"))
     card = Detector("CARD", r"\b[0-9]{16}\b")
@@ -103,6 +148,15 @@ def test_wide_dictionaries_take_long_lines(spark):
     assert texts(wide) == texts(rewrite_with_dictionary(df, "k", "line", loose_profile(), TOKENS, max_inline_entries=100_000))
 
 
+def test_wide_dictionaries_cut_long_lines_into_windows(spark, monkeypatch):
+    """Entries at window edges, shorter than a gram, of one gram, and null keys."""
+    monkeypatch.setattr(dictionary, "_WINDOW", 40)
+    lines = ["".join(f"/{'p' * (i % 9)}/{i} 10.{i}.0.{i} é {'/a' * 30} user=x{i},/b " for i in range(60)), "/b", "/é/日本/x 1.2.3.4", "", None, "/pp"]
+    df = corpus(spark, lines).withColumn("k", F.when(F.col("n") > 0, "k"))
+    wide = rewrite_with_dictionary(df, "k", "line", loose_profile(), TOKENS, max_inline_entries=1)
+    assert texts(wide) == texts(rewrite_with_dictionary(df, "k", "line", loose_profile(), TOKENS, max_inline_entries=100_000))
+
+
 def test_paths_first_leaves_the_prefix_length(spark):
     masked = scrub(corpus(spark, ["inet 127.0.0.1/8"]), "line", paths_first(strict_profile()), TOKENS)
     assert texts(masked) == ["inet {{IPV4-e56ea}}/8"]

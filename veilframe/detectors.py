@@ -94,6 +94,53 @@ def may_cross_lines(regex: str) -> bool:
     return "\n" in _PARTS.sub("", regex)
 
 
+# Characters that finished tokens are written in while other kinds are sought.
+PRIVATE = "\ue000-\uf8ff"
+_OUTSIDE = f"&&[^{PRIVATE}]]"
+_PIECE = re.compile(r"\\Q.*?(?:\\E|$)|\\[pP]\{[^}]*\}|\\.|\(\?<?[=!:a-zA-Z>-]*|.", re.S)
+# Escapes of single characters that stand for no private one.
+_PLAIN_ESCAPES = set("dwshvtnrfae0123456789xubBAGzZkcQ") | set("\\.[]{}()*+?^$|-/&~#<>=!:,;'\"@%_ `")
+
+
+def _class_end(regex: str, start: int) -> int:
+    """Behind the class that opens at ``start``."""
+    depth, at = 0, start
+    while at < len(regex):
+        if regex[at] == "\\":
+            at += 1
+        elif regex[at] == "[":
+            depth += 1
+        elif regex[at] == "]" and regex[at - 1 : at + 1] not in ("[]",) and regex[at - 2 : at + 1] != "[^]":
+            depth -= 1
+            if not depth:
+                return at + 1
+        at += 1
+    raise ValueError(f"class without an end: {regex!r}")
+
+
+def without_private(regex: str) -> str:
+    """The pattern with every class, ``.`` and class escape kept from matching
+    private characters; a pattern of plain characters comes back as it is."""
+    parts, at = [], 0
+    while at < len(regex):
+        if regex[at] == "[":
+            end = _class_end(regex, at)
+            content = regex[at:end]
+            wide = "[^" in content or not content.isascii() or any(e not in _PLAIN_ESCAPES for e in re.findall(r"\\(.)", content, re.S))
+            parts.append(f"[{content}{_OUTSIDE}" if wide else content)
+            at = end
+            continue
+        piece = _PIECE.match(regex, at).group()
+        at += len(piece)
+        if piece == ".":
+            parts.append(f"[^\\n\\r\\u0085\\u2028\\u2029{PRIVATE}]")
+        elif len(piece) > 1 and piece[0] == "\\" and piece[1] not in _PLAIN_ESCAPES:
+            parts.append(f"[{piece}{_OUTSIDE}")
+        else:
+            parts.append(piece)
+    return "".join(parts)
+
+
 @dataclass(frozen=True)
 class Detector:
     """A kind of sensitive segment.
@@ -103,7 +150,9 @@ class Detector:
     some case, and besides the literal ``sign`` or a match of the cheap pattern
     ``precheck``; whichever are given let a row skip the full pattern and never
     change a result.  A pattern that may match a newline is refused: texts are
-    cut into lines.
+    cut into lines; so is one that names private-use characters, which no kind
+    matches.  ``takes_tokens`` lets matches take in finished tokens of kinds
+    that come before.
     """
 
     kind: str
@@ -114,6 +163,7 @@ class Detector:
     sign: str | None = None
     precheck: str | None = None
     any_of: tuple[str, ...] = ()
+    takes_tokens: bool = False
 
     def __post_init__(self) -> None:
         if not re.fullmatch(r"[A-Z0-9][A-Z0-9-]*", self.kind):
@@ -123,6 +173,14 @@ class Detector:
         if may_cross_lines(self.regex):
             raise ValueError(f"pattern may match a newline, write blanks as [ \\t]: {self.regex!r}")
 
+        if re.search(f"[{PRIVATE}]", self.regex):
+            raise ValueError(f"pattern names private-use characters: {self.regex!r}")
+
+    @property
+    def sealed_regex(self) -> str:
+        """The pattern as it is used on texts that hold finished tokens."""
+        return self.regex if self.takes_tokens else without_private(self.regex)
+
     @property
     def priority(self) -> int:
         """Position in the overall order: earlier phases first."""
@@ -159,7 +217,7 @@ def strict_profile(keywords: Sequence[str] = CREDENTIAL_KEYWORDS) -> list[Detect
         Detector(IPV4, STRICT_IPV4, 1, 0, needs=".", precheck=_V4_PRECHECK),
         Detector(IPV6, STRICT_IPV6, 1, 1, needs=":", sign="::", precheck=_V6_PRECHECK),
         Detector(FILE_DIR, ABSOLUTE_PATH, 2, 0, needs="/"),
-        Detector(CREDENTIALS, credentials_pattern(keywords), 2, 1, any_of=keyword_stems(keywords)),
+        Detector(CREDENTIALS, credentials_pattern(keywords), 2, 1, any_of=keyword_stems(keywords), takes_tokens=True),
         Detector(MAC_ADDR, STRICT_MAC, 2, 2, needs=":"),
     ]
 
@@ -169,7 +227,7 @@ def loose_profile(keywords: Sequence[str] = CREDENTIAL_KEYWORDS) -> list[Detecto
     the dictionary rewrite and the constant mask, paths before addresses."""
     return [
         Detector(FILE_DIR, ABSOLUTE_PATH, 1, 0, needs="/"),
-        Detector(CREDENTIALS, credentials_pattern(keywords), 1, 1, any_of=keyword_stems(keywords)),
+        Detector(CREDENTIALS, credentials_pattern(keywords), 1, 1, any_of=keyword_stems(keywords), takes_tokens=True),
         Detector(MAC_ADDR, "(?i)" + LOOSE_MAC, 1, 2, needs=":"),
         Detector(IPV4, "(?i)" + LOOSE_IPV4, 2, 0, needs=".", precheck=_V4_PRECHECK),
         Detector(IPV6, "(?i)" + LOOSE_IPV6, 2, 1, needs=":", sign="::", precheck=_V6_PRECHECK),

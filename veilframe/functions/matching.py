@@ -9,9 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilframe.detectors import Detector, in_order
-from veilframe.functions.tokens import SEALED_PATTERN, TokenRule, seal, seal_text, unseal
-
-_OPEN, _CLOSE = "\x01", "\x02"
+from veilframe.functions.tokens import TokenRule, alphabet, seal, unseal
 
 
 def may_match(text: Column, detector: Detector) -> Column | None:
@@ -64,26 +62,26 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _tokenised(text: Column, detector: Detector, token: Callable[[Column], Column]) -> Column:
+def with_alphabet(text: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of a text and of the private characters its tokens may use."""
+    return _let(alphabet(text), lambda chosen: body(text, chosen))
+
+
+def _tokenised(text: Column, detector: Detector, token: Callable[[Column], Column], chosen: Column) -> Column:
+    """Matches are marked in one pass, the text is cut at the marks, and the
+    marked head of each piece becomes a token."""
+    head, tail = chosen["head"], chosen["tail"]
+
     def piece(p: Column) -> Column:
-        return F.when(
-            F.contains(p, F.lit(_CLOSE)),
-            F.concat(token(F.substring_index(p, _CLOSE, 1)), F.substring_index(p, _CLOSE, -1)),
-        ).otherwise(p)
+        part = lambda n: F.call_function("substring_index", p, tail, F.lit(n))
+        return F.when(F.contains(p, tail), F.concat(token(part(1)), part(-1))).otherwise(p)
 
     def unmarked(marked: Column) -> Column:
-        pieces = F.transform(F.split(marked, _OPEN, -1), piece)
-        return F.when(F.contains(marked, F.lit(_OPEN)), F.array_join(pieces, "")).otherwise(marked)
+        pieces = F.transform(F.split(marked, head, -1), piece)
+        return F.when(F.contains(marked, head), F.array_join(pieces, "")).otherwise(marked)
 
-    def glue(gap: Column, match: Column) -> Column:
-        return F.concat(gap, F.coalesce(token(match), F.lit("")))
-
-    by_marks = _let(F.regexp_replace(text, detector.regex, f"{_OPEN}$0{_CLOSE}"), unmarked)
-    gaps = F.split(text, detector.regex, -1)
-    found = F.regexp_extract_all(text, F.lit(detector.regex), F.lit(0))
-    by_zip = F.array_join(F.zip_with(gaps, found, glue), "")
-    holds_marks = F.contains(text, F.lit(_OPEN)) | F.contains(text, F.lit(_CLOSE))
-    rewritten = F.when(holds_marks, by_zip).otherwise(by_marks)
+    marks = F.concat(head, F.lit("$0"), tail)
+    rewritten = _let(F.regexp_replace(text, F.lit(detector.sealed_regex), marks), unmarked)
     gate = may_match(text, detector)
     return rewritten if gate is None else F.when(gate, rewritten).otherwise(text)
 
@@ -92,39 +90,32 @@ def _chained(text: Column, detectors: list[Detector], step: Callable[..., Column
     """Kind after kind in rewriting order, each on the output of the one
     before, with finished replacements sealed against the later kinds.
 
-    Only a value of CREDENTIALS, which is anything up to a blank, takes in the
-    token of an address or path.  A text that holds private characters of its own
-    is rewritten unsealed.
+    Only a kind that says so, CREDENTIALS with a value of anything up to a
+    blank, takes in the token of an address or path.
     """
 
-    def run(sealed: bool) -> Column:
-        now = text
+    def run(now: Column, chosen: Column) -> Column:
         for d in in_order(detectors):
-            now = _let(now, _bound(step, d, sealed, *args))
-        return _let(now, unseal) if sealed else now
+            now = _let(now, _bound(step, d, chosen, *args))
+        return unseal(now, chosen)
 
-    return F.when(text.rlike(SEALED_PATTERN), run(False)).otherwise(run(True))
+    return with_alphabet(text, run)
 
 
-def _token_step(text: Column, detector: Detector, sealed: bool, tokens: TokenRule) -> Column:
+def _token_step(text: Column, detector: Detector, chosen: Column, tokens: TokenRule) -> Column:
     # A replaced token inside the match is hashed as a reader would see it.
-    plain = lambda match: tokens.token(detector.kind, unseal(match) if sealed else match)
-    return _tokenised(text, detector, (lambda match: seal(plain(match))) if sealed else plain)
+    plain = (lambda match: unseal(match, chosen)) if detector.takes_tokens else (lambda match: match)
+    return _tokenised(text, detector, lambda match: seal(tokens.token(detector.kind, plain(match)), chosen), chosen)
 
 
 def tokenised(text: Column, detectors: list[Detector], tokens: TokenRule) -> Column:
-    """The text with every match replaced by its token (see ``_chained``).
-
-    For each kind the matches are marked in one pass, the text is cut at the
-    marks, and the marked head of each piece becomes a token.  Text that
-    already holds a mark character takes the cut-and-zip form instead.
-    """
+    """The text with every match replaced by its token (see ``_chained``)."""
     return _chained(text, detectors, _token_step, tokens)
 
 
-def _mask_step(text: Column, detector: Detector, sealed: bool) -> Column:
-    label = "{{" + detector.kind + "}}"
-    masked = F.regexp_replace(text, detector.regex, seal_text(label) if sealed else label)
+def _mask_step(text: Column, detector: Detector, chosen: Column) -> Column:
+    label = seal(F.lit("{{" + detector.kind + "}}"), chosen)
+    masked = F.regexp_replace(text, F.lit(detector.sealed_regex), label)
     gate = may_match(text, detector)
     return masked if gate is None else F.when(gate, masked).otherwise(text)
 

@@ -10,7 +10,7 @@ import re
 from pyspark.sql import SparkSession
 
 from veilframe.detectors import Detector, in_order
-from veilframe.functions.tokens import SEALED_PATTERN, TokenRule, seal_sql, unseal_sql
+from veilframe.functions.tokens import TokenRule, alphabet_sql, seal_sql, unseal_sql
 
 
 def _literal(text: str) -> str:
@@ -34,22 +34,27 @@ def register_functions(
     body = "concat('{{', kind, '-', " + tail + ", '}}')"
     _create(spark, token, "kind STRING, segment STRING", body)
     created = [token]
-    sealed = plain = "text"
     for d in in_order(detectors):
         name = f"{prefix}_scrub_{d.kind.lower().replace('-', '_')}"
-        _create(spark, name, "text STRING", _step("text", d, tokens, False))
+        _create(spark, name, "text STRING", _scrubbed([d], tokens))
         created.append(name)
-        sealed, plain = _step(sealed, d, tokens, True), f"{name}({plain})"
-    # Finished tokens are sealed against later kinds, as in tokenised().
-    own = f"text RLIKE {_literal(SEALED_PATTERN)}"
-    _create(spark, f"{prefix}_scrub", "text STRING", f"CASE WHEN {own} THEN {plain} ELSE {unseal_sql(sealed)} END")
+    _create(spark, f"{prefix}_scrub", "text STRING", _scrubbed(in_order(detectors), tokens))
     return [*created, f"{prefix}_scrub"]
 
 
-def _step(text: str, d: Detector, tokens: TokenRule, sealed: bool) -> str:
+def _scrubbed(detectors: list[Detector], tokens: TokenRule) -> str:
+    """The text rewritten kind after kind; finished tokens are sealed against
+    later kinds, as in tokenised()."""
+    now = "text"
+    for d in detectors:
+        now = _step(now, d, tokens)
+    return f"element_at(transform(array({alphabet_sql('text')}), abc -> {unseal_sql(now, 'abc')}), 1)"
+
+
+def _step(text: str, d: Detector, tokens: TokenRule) -> str:
     """The text with the matches of one kind replaced, bound once by transform
     so that nested steps do not multiply."""
-    rewritten = f"CASE WHEN {_found('t', d)} THEN {_glued('t', d, tokens, sealed)} ELSE t END"
+    rewritten = f"CASE WHEN {_found('t', d)} THEN {_glued('t', d, tokens)} ELSE t END"
     return f"element_at(transform(array({text}), t -> {rewritten}), 1)"
 
 
@@ -61,18 +66,17 @@ def _found(text: str, d: Detector) -> str:
     if d.any_of:
         checks.append("(" + " OR ".join(f"contains(lower({text}), {_literal(w)})" for w in d.any_of) + ")")
     checks += [f"({' OR '.join(signs)})"] if signs else []
-    return " AND ".join([*checks, f"{text} RLIKE {_literal(d.regex)}"])
+    return " AND ".join([*checks, f"{text} RLIKE {_literal(d.sealed_regex)}"])
 
 
-def _glued(text: str, d: Detector, tokens: TokenRule, sealed: bool) -> str:
+def _glued(text: str, d: Detector, tokens: TokenRule) -> str:
     """The text between matches, joined by the tokens of the matches."""
-    pattern = _literal(d.regex)
-    salted = f"concat({_literal(tokens.inner(d.kind))}, {unseal_sql('hit') if sealed else 'hit'})"
+    pattern = _literal(d.sealed_regex)
+    salted = f"concat({_literal(tokens.inner(d.kind))}, {unseal_sql('hit', 'abc') if d.takes_tokens else 'hit'})"
     token = f"concat({_literal('{{' + d.kind + '-')}, left({_hash(salted, tokens)}, {tokens.width}), '}}}}')"
-    token = seal_sql(token) if sealed else token
     return (
         f"array_join(zip_with(split({text}, {pattern}, -1), regexp_extract_all({text}, {pattern}, 0), "
-        f"(gap, hit) -> concat(gap, coalesce({token}, ''))), '')"
+        f"(gap, hit) -> concat(gap, coalesce({seal_sql(token, 'abc')}, ''))), '')"
     )
 
 

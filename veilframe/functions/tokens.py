@@ -8,43 +8,78 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilframe.detectors import PRIVATE
+
 _HEX_DIGITS = {"md5": 32, "sha256": 64}
 # Fixed value: hex digits kept of the inner (kind + salt) hash by the
 # compatible rule; any other rule keeps all, so that the key stays wide.
 _COMPATIBLE = ("md5", 5)
 
 # Finished tokens are written in private characters while other kinds are
-# still sought, so that no pattern finds anything inside them.
+# still sought, so that no pattern finds anything inside them.  There are 50
+# blocks of such characters; a text uses one that it does not hold itself.
 _PLAIN = "{}-ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-_SEALED = "".join(chr(0xE100 + ord(c)) for c in _PLAIN)
-SEALED_PATTERN = "[\ue100-\ue17f]"
-_TO_SEALED = str.maketrans(_PLAIN, _SEALED)
+_FIRST, _BLOCK, _BLOCKS, _USUAL = 0xE000, 128, 50, 2
+_NO_BLOCK = (_PLAIN, "\ufdd0", "\ufdd1")
+
+
+def _block(n: int) -> tuple[str, str, str]:
+    """Letters of a block, and two further characters that mark a match."""
+    base = _FIRST + _BLOCK * n
+    return "".join(chr(base + ord(c)) for c in _PLAIN), chr(base), chr(base + 1)
+
+
+# How the usual block's characters begin in UTF-8; a search for two bytes is
+# far cheaper than a pattern.
+_SIGNS = sorted({chr(_FIRST + _BLOCK * _USUAL + n).encode()[:2] for n in range(_BLOCK)})
+
+
+def _named(block: tuple[str, str, str]) -> Column:
+    return F.struct(*(F.lit(text).alias(name) for text, name in zip(block, ("letters", "head", "tail"), strict=True)))
+
+
+def alphabet(text: Column) -> Column:
+    """``(letters, head, tail)`` of a block whose characters the text does not
+    hold.  For a text with characters of all blocks tokens stay readable."""
+    held = reduce(lambda a, b: a | b, [F.contains(text.cast("binary"), F.lit(sign)) for sign in _SIGNS])
+    own = F.regexp_extract_all(text, F.lit(f"[{PRIVATE}]"), F.lit(0))
+    taken = F.transform(own, lambda c: F.floor((F.ascii(c) - _FIRST) / _BLOCK).cast("int"))
+    free = F.get(F.array_except(F.sequence(F.lit(0), F.lit(_BLOCKS - 1)), taken), F.lit(0))
+    blocks = F.array(*(_named(_block(n)) for n in range(_BLOCKS)))
+    return F.when(held, F.coalesce(F.get(blocks, free), _named(_NO_BLOCK))).otherwise(_named(_block(_USUAL)))
 
 
-def seal(text: Column) -> Column:
-    """A token in private characters."""
-    return F.translate(text, _PLAIN, _SEALED)
+def alphabet_sql(text: str) -> str:
+    """:func:`alphabet` as SQL."""
+    of = lambda b: f"named_struct('letters', '{b[0]}', 'head', '{b[1]}', 'tail', '{b[2]}')"
+    held = " OR ".join(f"contains(CAST({text} AS BINARY), X'{sign.hex()}')" for sign in _SIGNS)
+    taken = f"transform(regexp_extract_all({text}, '[{PRIVATE}]', 0), c -> CAST(floor((ascii(c) - {_FIRST}) / {_BLOCK}) AS INT))"
+    free = f"get(array_except(sequence(0, {_BLOCKS - 1}), {taken}), 0)"
+    blocks = ", ".join(of(_block(n)) for n in range(_BLOCKS))
+    return f"CASE WHEN {held} THEN coalesce(get(array({blocks}), {free}), {of(_NO_BLOCK)}) ELSE {of(_block(_USUAL))} END"
 
 
-def seal_text(text: str) -> str:
-    return text.translate(_TO_SEALED)
+def seal(text: Column, chosen: Column) -> Column:
+    """A token in the private characters of an :func:`alphabet`."""
+    return F.call_function("translate", text, F.lit(_PLAIN), chosen["letters"])
 
 
-def unseal(text: Column) -> Column:
+def unseal(text: Column, chosen: Column) -> Column:
     """All sealed tokens of a text, readable again."""
-    return F.when(text.rlike(SEALED_PATTERN), F.translate(text, _SEALED, _PLAIN)).otherwise(text)
+    return F.call_function("translate", text, chosen["letters"], F.lit(_PLAIN))
 
 
-def unseal_sql(text: str) -> str:
-    return f"translate({text}, '{_SEALED}', '{_PLAIN}')"
+def seal_sql(text: str, chosen: str) -> str:
+    return f"translate({text}, '{_PLAIN}', {chosen}.letters)"
 
 
-def seal_sql(text: str) -> str:
-    return f"translate({text}, '{_PLAIN}', '{_SEALED}')"
+def unseal_sql(text: str, chosen: str) -> str:
+    return f"translate({text}, {chosen}.letters, '{_PLAIN}')"
 
 
 @dataclass(frozen=True)

@@ -8,18 +8,24 @@ it was before the run, contains it; so tokens are never rewritten themselves.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.detectors import Detector
-from veilframe.functions.tokens import SEALED_PATTERN, TokenRule, seal, unseal
+from veilframe.functions.matching import with_alphabet
+from veilframe.functions.tokens import TokenRule, seal, unseal
 from veilframe.operators.joins import attach
 from veilframe.operators.segments import distinct_segments, priority_of
 from veilframe.shared import content_bytes, names, row_bytes, written
 
 _TAIL = 3
+# Characters of the runs by which lines look up a large dictionary, and of the
+# windows that long lines are cut into.
+_GRAM = 5
+_WINDOW = 1 << 16
 # A dictionary beyond this size never rides next to a line, however few entries it has.
 _MAX_INLINE_BYTES = 4 * 1024 * 1024
 
@@ -63,11 +69,11 @@ def _fold(line: Column, ordered: Column) -> Column:
     """The line with all entries replaced; finished tokens are sealed, so that
     no later entry finds its text inside them."""
 
-    def folded(token: Callable[[Column], Column], last: Callable[[Column], Column]) -> Column:
-        return F.aggregate(ordered, line, lambda text, e: F.replace(text, e["segment"], token(e["token"])), last)
+    def folded(text: Column, chosen: Column) -> Column:
+        replaced = F.aggregate(ordered, text, lambda now, e: F.replace(now, e["segment"], seal(e["token"], chosen)))
+        return unseal(replaced, chosen)
 
-    own = line.rlike(SEALED_PATTERN)
-    return F.when(own, folded(lambda t: t, lambda t: t)).otherwise(folded(seal, unseal))
+    return with_alphabet(line, folded)
 
 
 def _indexed(dictionary: DataFrame, keys: list[str]) -> DataFrame:
@@ -158,6 +164,32 @@ def rewrite_by_entries(
     )
 
 
+def _grams(text: Column, size: int) -> Column:
+    """The distinct runs of ``size`` characters; a zero-width match yields the
+    run at every place, in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def _by_rarest_gram(wide: DataFrame, keys: list[str]) -> DataFrame:
+    """``(key…, gram, entries)``: each entry under that of its grams which the
+    fewest segments of its key hold; a shorter segment is its own gram."""
+    segments = wide.select(*keys, "segment").distinct()
+    whole = F.col("size") < _GRAM
+    sized = segments.withColumn("size", F.length("segment"))
+    held = sized.select(*keys, "segment", F.explode(F.when(whole, F.array("segment")).otherwise(_grams(F.col("segment"), _GRAM))).alias("gram"))
+    held = written(held, "grams")
+    holders = held.groupBy(*keys, "gram").count().toDF(*(f"_{k}" for k in keys), "_gram", "n")
+    held = held.join(holders, _same(keys) & (F.col("gram") == F.col("_gram")))
+    rare = held.groupBy(*keys, "segment").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    entries_of = wide.groupBy(*keys, "segment").agg(F.collect_list(_entry()).alias("same"))
+    both = entries_of.join(rare.toDF(*(f"_{k}" for k in keys), "_segment", "gram"), _same(keys) & (F.col("segment") == F.col("_segment")))
+    return both.groupBy(*keys, "gram").agg(F.flatten(F.collect_list("same")).alias("entries"))
+
+
+def _same(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+
+
 def _rewrite_wide(
     texts: DataFrame, keys: list[str], wide: DataFrame, broadcast_limit: int
 ) -> DataFrame:
@@ -165,61 +197,30 @@ def _rewrite_wide(
     entry of their key's large dictionary.
 
     A line finds its entries by equality, so the cost does not grow with lines
-    times entries.  The shapes of a dictionary, that is the distinct pairs of
-    first two characters and length, are few however many entries there are;
-    each place of a line where a shape fits yields one candidate substring,
-    and candidates are joined to entries on the whole text.
+    times entries: an entry is looked up under its rarest gram, and a line by
+    all of its own.  Long lines are cut into windows that overlap by the longest
+    entry, so that each occurrence lies in one, and windows are dealt out.
+    What a gram suggests counts only if the window contains it.
     """
-    shapes = (
-        wide.select(*keys, F.substring("segment", 1, 2).alias("head"), (-F.col("neg_length")).alias("n"))
-        .distinct()
-        .groupBy(*keys, "head")
-        .agg(F.collect_list("n").alias("lengths"))
-        .groupBy(*keys)
-        .agg(F.collect_list(F.struct("head", "lengths")).alias("_shapes"))
-    )
-    lines = written(
-        attach(texts.distinct(), written(shapes, "shapes"), keys, "inner", broadcast_limit=broadcast_limit)
-        .withColumn("_line", F.monotonically_increasing_id()),
-        "lines",
-    )
-
-    def at(chars: Column, position: Column) -> Column:
-        # A head is shorter than two characters only for one-character entries.
-        piece = lambda n: F.array_join(F.slice(chars, position, n), "")
-        fits = F.filter("_fitting", lambda s: piece(F.length(s["head"])) == s["head"])
-        lengths = F.filter(
-            F.flatten(F.transform(fits, lambda s: s["lengths"])), lambda n: position + n - 1 <= F.size(chars)
-        )
-        return F.transform(lengths, piece)
-
-    def substrings(chars: Column) -> Column:
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(chars)), lambda p: at(chars, p)))
-
+    by_gram = written(_by_rarest_gram(wide, keys), "by-gram")
+    sizes = [r[0] for r in by_gram.select(F.length("gram")).distinct().collect()]  # at most _GRAM numbers
+    longest = -(wide.agg(F.min("neg_length")).first()[0] or 0)
+    lines = written(texts.distinct().withColumn("_line", F.monotonically_increasing_id()), "lines")
     text = F.col("_text")
-    # Cut into characters once per line: a place in an array is found at once,
-    # a place in a UTF-8 string only by walking there.
-    chars = F.transform(F.array(F.split(text, "", -1)), substrings)
-    candidates = (
-        lines.withColumn("_fitting", F.filter("_shapes", lambda s: F.contains(text, s["head"])))
-        .where((F.size("_fitting") > 0) & (text != ""))
-        .select(*keys, "_line", F.explode(F.array_distinct(F.element_at(chars, 1))).alias("segment"))
-    )
-    # One substring may be an entry of several kinds; the join side is unique.
-    by_segment = written(
-        wide.groupBy(*keys, "segment").agg(F.collect_list(_entry()).alias("_same")), "by-segment"
-    )
-    found = (
-        attach(candidates, by_segment, [*keys, "segment"], "inner", broadcast_limit=broadcast_limit)
-        .groupBy("_line")
-        .agg(F.array_sort(F.flatten(F.collect_list("_same"))).alias("_contained"))
-    )
-    return written(
-        lines.join(found, "_line").select(
-            *keys, "_text", _fold(F.col("_text"), F.col("_contained")).alias("_rewritten")
-        ),
-        "rewritten",
-    )
+    n_windows = F.greatest(F.ceil(F.length(text) / F.lit(_WINDOW)), F.lit(1))
+    cut = F.transform(F.sequence(F.lit(0).cast("bigint"), n_windows - 1), lambda n: F.substr(text, n * _WINDOW + 1, F.lit(_WINDOW + longest)))
+    windows = lines.select(*keys, "_line", F.posexplode(F.when(n_windows == 1, F.array(text)).otherwise(cut)).alias("_window", "_piece"))
+    if (lines.agg(F.max(F.length(text))).first()[0] or 0) > _WINDOW:
+        windows = written(windows.repartition("_line", "_window"), "windows")
+    of_sizes = F.flatten(F.array(*[_grams(F.col("_piece"), n) for n in sizes])) if sizes else F.array().cast("array<string>")
+    asked = windows.select(*keys, "_line", "_window", F.explode(of_sizes).alias("gram"))
+    hits = attach(asked, by_gram, [*keys, "gram"], "inner", broadcast_limit=broadcast_limit)
+    hits = hits.groupBy("_line", "_window").agg(F.flatten(F.collect_list("entries")).alias("near"))
+    held = F.filter("near", lambda e: F.contains(F.col("_piece"), e["segment"]))
+    held = hits.join(windows.select("_line", "_window", "_piece"), ["_line", "_window"]).select("_line", held.alias("held"))
+    found = held.groupBy("_line").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("held")))).alias("_contained"))
+    rewritten = lines.join(found.where(F.size("_contained") > 0), "_line")
+    return written(rewritten.select(*keys, "_text", _fold(text, F.col("_contained")).alias("_rewritten")), "rewritten")
 
 
 def rewrite_with_dictionary(
