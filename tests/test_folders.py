@@ -16,6 +16,7 @@ from veilframe.operators.rewriting import scrub
 from veilframe.plans.folder import run_folder
 from veilframe.plans.summary import observed, run_summary, timed
 from veilframe.shared import shared_folder
+from veilframe.sources import sinks
 from veilframe.sources.sinks import read_mirrored, replace_in_place, write_mirrored
 from veilframe.sources.text import (
     LINE_ORDER,
@@ -209,7 +210,7 @@ def test_run_summary(spark, corpus):
     lines = scan_text(spark, corpus)
     (row,) = run_summary(lines, "rel_path", "value", LINE_ORDER, Options(ignore_hint=HINT)).collect()
     assert row.asDict() == {
-        "files_seen": 5, "opted_out": 2, "untouched": 2, "rewritten": 1, "quarantined_lines": 0,
+        "files_seen": 5, "opted_out": 2, "not_text": 0, "untouched": 2, "rewritten": 1, "quarantined_lines": 0,
         "n_file_dir": 1, "n_credentials": 2, "n_mac_addr": 0, "n_ipv4": 1, "n_ipv6": 0, "status": "SUCCESS",
     }
     (row,) = run_summary(lines, "rel_path", "value", LINE_ORDER, Options(ignore_hint=".")).collect()
@@ -249,7 +250,7 @@ def test_run_over_a_folder(spark, corpus, folder):
 
 def test_run_in_place_keeps_opted_out_files(spark, corpus):
     run = run_folder(spark, corpus, options=Options(strategy="RIPGREP", remove_original=True))
-    got = by_file(read_mirrored(spark, corpus), ("part", "block_start", "line_id"))
+    got = by_file(scan_text(spark, corpus))
     assert got["marked.log"] == as_lines(FILES)["marked.log"]
     assert got["hinted.log"][2:] == ["{{FILE-DIR}}", "{{CREDENTIALS}}, {{CREDENTIALS}} q7"]
     assert run.kept_original is None and run.summary.first()["opted_out"] == 1
@@ -277,18 +278,82 @@ def tree(folder):
     return found
 
 
-def test_run_in_place_keeps_files_that_are_not_read(spark, folder):
-    binary = {"image.bin": b"\x00\x01 /srv/x\n10.0.0.1\n"}
-    path = write_files(os.path.join(folder, "in"), HIDDEN | binary | {"x.log": b"/srv/x\n"})
-    for _ in range(2):
-        run = run_folder(spark, path, options=Options(strategy="IN_PLACE", remove_original=True))
-        assert run.unread == sorted(HIDDEN)
-        assert {n: c for n, c in tree(path).items() if n in HIDDEN} == HIDDEN
-        assert sorted(os.listdir(path)) == sorted([".env", ".x", "_SUCCESS", "_conf.log", "empty.log", "rel_path=image.bin", "rel_path=x.log", "sub"] + [n for n in os.listdir(path) if n.endswith(".crc")])
+SENSITIVE = b"/srv/x\r\n10.0.0.1 \xc3\xa9\nno end /srv/y"
+LEFT = HIDDEN | {
+    "image.bin": b"\x00\x01\r\x02\r\n\x03 /srv/x\n10.0.0.1\n",
+    "returns.log": b"one\r\ntwo\r\n\r\nthree",
+    "old mac.log": b"one\rtwo\rthree\r",
+    "marked.log": b"-DONT-OBFUSCATE-ME-\r\n/srv/x\r\n10.0.0.1",
+    "sub/y.log._COPYING_": b"/srv/x\n",
+    "bom.log": b"\xef\xbb\xbfplain\n",
+}
+
+
+@pytest.mark.parametrize("strategy", ["IN_PLACE", "LOW_LEVEL", "HYBRID", "HYBRID_SPLIT"])
+def test_run_in_place_touches_only_what_it_masks(spark, folder, strategy):
+    """Every file is masked, or as it was, and none is both."""
+    path = write_files(os.path.join(folder, "in"), LEFT | {"x.log": SENSITIVE, "_x=1.log": b"/srv/x\n", "deep/er/z": b"10.0.0.1"})
+    for n in range(2):
+        run = run_folder(spark, path, options=Options(strategy=strategy, remove_original=True))
+        assert run.unread == sorted([*HIDDEN, "sub/y.log._COPYING_"])
+        got = tree(path)
+        assert {name: c for name, c in got.items() if "rel_path=" not in name} == LEFT
         files = by_file(scan_text(spark, path))
-        assert files["image.bin"] == ["\x00\x01 /srv/x", "10.0.0.1"]
-        assert files["x.log"][0].startswith("{{FILE-DIR-")
-    assert sorted(os.listdir(folder)) == ["in"]
+        assert {"x.log", "_x=1.log", "deep/er/z"} <= files.keys() and not any("/srv" in v for v in files["x.log"] + files["_x=1.log"])
+        parts = {name: c for name, c in got.items() if "rel_path=x.log" in name}
+        masked = b"".join(parts[name] for name in sorted(parts))
+        if not n:
+            assert masked.count(b"\r\n") == 1 and masked.count(b"\n") == 3 and b" \xc3\xa9\n" in masked
+            row = run.summary.first()
+            assert (row["opted_out"], row["not_text"], row["rewritten"]) == (1, 1, 3)
+    assert os.listdir(folder) == ["in"]
+
+
+def test_run_in_place_on_one_file(spark, folder):
+    write_files(folder, {"x.log": b"/srv/x\n", "y.log": b"/srv/y\n"})
+    path = os.path.join(folder, "x.log")
+    run = run_folder(spark, path, options=Options(strategy="IN_PLACE"))
+    assert by_file(scan_text(spark, path))["x.log"][0].startswith("{{FILE-DIR-")
+    assert tree(run.kept_original) == {"x.log": b"/srv/x\n"}
+    assert tree(folder)["y.log"] == b"/srv/y\n"
+
+
+class Broken(Exception):
+    pass
+
+
+@pytest.mark.parametrize("remove", [False, True])
+def test_a_broken_run_in_place_is_finished_or_undone(spark, folder, monkeypatch, remove):
+    """The run is stopped before each of its renames; the next call mends it."""
+    files = LEFT | {"x.log": b"/srv/x\n", "deep/z.log": b"10.0.0.1\n", "u.log": b"/srv/u\n"}
+    rename = sinks._rename
+    for stop in range(9):
+        path = write_files(os.path.join(folder, f"in{stop}"), files)
+        done = []
+
+        def breaking(spark, source, target, stop=stop, done=done):
+            if len(done) >= stop:
+                raise Broken
+            done.append(target)
+            rename(spark, source, target)
+
+        monkeypatch.setattr(sinks, "_rename", breaking)
+        broken = False
+        try:
+            run_folder(spark, path, options=Options(strategy="IN_PLACE", remove_original=remove))
+        except Broken:
+            broken = True
+        monkeypatch.setattr(sinks, "_rename", rename)
+        sinks.recover_in_place(spark, path)
+        got = tree(path)
+        assert {n: c for n, c in got.items() if n in LEFT} == LEFT
+        masked = {n for n in by_file(scan_text(spark, path)) if f"{n}" not in got}
+        assert masked == (set() if stop == 0 else {"x.log", "deep/z.log", "u.log"}), stop
+        if stop == 0:
+            assert got == files
+        left = [n for n in os.listdir(folder) if n.startswith(f"in{stop}.")]
+        assert len(left) == (0 if remove or stop == 0 else 1), left
+        assert broken == (stop < 7)
 
 
 def test_unread_files_are_not_copied_to_a_new_folder(spark, folder):
@@ -314,7 +379,8 @@ def test_layout_survives_reading_again(spark, folder):
     # Opted out by its first line, although later parts do not hold it.
     assert got["off.log"] == ["-DONT-OBFUSCATE-ME-", "/srv/x"] * 900
     assert got.keys() == {"d 1/x+y%20.log", "off.log"}
-    assert len([n for n in os.listdir(path) if n.startswith("rel_path=")]) == 2
+    assert len([n for n in os.listdir(path) if n.startswith("rel_path=")]) == 1
+    assert tree(path)["off.log"] == b"-DONT-OBFUSCATE-ME-\n/srv/x\n" * 900
 
 
 def test_unreadable_lines_are_listed(spark, folder):

@@ -14,7 +14,7 @@ from veilframe.options import HYBRID, HYBRID_SPLIT, LOW_LEVEL, Options
 from veilframe.plans.strategies import hybrid_with_route, pseudonymize, route_segments
 from veilframe.plans.summary import Timing, observed, segment_counts, summary_of, timed, without
 from veilframe.shared import spread_out, temporary_tables, written
-from veilframe.sources.sinks import PATH_COLUMN, SINK_COLUMN, placed, replace_in_place, write_mirrored
+from veilframe.sources.sinks import PATH_COLUMN, SINK_COLUMN, placed, recover_in_place, replace_in_place, write_mirrored
 from veilframe.sources.text import LINE_ORDER, file_heads, opts_out, quarantine, scan_text, unread_files
 
 
@@ -50,8 +50,9 @@ def run_folder(
     Unreadable lines of other files are listed in ``quarantine_path`` (default:
     next to the output); lines read, written and listed are compared.
 
-    Without ``output_path`` the folder is rewritten in place.  All those files
-    then stay as they are, and unreadable lines stop the run, so that nothing gets lost.
+    Without ``output_path`` the folder is rewritten in place.  All those files,
+    and those in which nothing is found, then are not touched, and unreadable
+    lines stop the run, so that nothing gets lost.
 
     HYBRID_SPLIT writes below ``sink=…``, chosen by the coin of each file.
     Tables written on the way hold plain lines and segments; they are deleted
@@ -63,21 +64,22 @@ def run_folder(
 
 
 def _run(spark, input_path, output_path, options, fmt, quarantine_path) -> FolderRun:
-    key, limit = [PATH_COLUMN], options.broadcast_limit_bytes
+    key = [PATH_COLUMN]
+    if output_path is None:
+        recover_in_place(spark, input_path)
     lines = spread_out(scan_text(spark, input_path))
-    aside = opts_out(F.col("first_line"), options.ignore_hint) | F.col("is_binary")
-    heads = file_heads(lines, key, "value", LINE_ORDER).withColumn("aside", F.coalesce(aside, F.lit(False)))
+    opted_out = F.coalesce(opts_out(F.col("first_line"), options.ignore_hint), F.lit(False))
+    heads = file_heads(lines, key, "value", LINE_ORDER, F.collect_set("source").alias("sources"))
+    heads = heads.withColumn("not_text", F.col("is_binary") & ~opted_out).withColumn("aside", opted_out | F.col("is_binary"))
     heads = written(heads, "heads")
-    totals = heads.agg(
-        *[F.coalesce(F.sum(F.when(c, F.col(n))), F.lit(0)) for c, n in ((~F.col("aside"), "n_lines"), (~F.col("aside"), "n_unreadable"), (F.col("aside"), "n_lines"))]
-    )
-    n_kept, n_bad, n_aside = totals.first()
+    totals = heads.where("not aside").agg(*[F.coalesce(F.sum(n), F.lit(0)) for n in ("n_lines", "n_unreadable")])
+    n_kept, n_bad = totals.first()
     if n_bad and output_path is None:
         raise RuntimeError(f"{n_bad} lines of {input_path} cannot be read, nothing was changed")
     kept = without(lines, heads, key, options)
     readable, bad = quarantine(kept)
     segments = route_segments(readable, key, "value", options) if options.strategy == HYBRID else None
-    counts = segment_counts(readable, key, "value", options, segments)
+    counts = written(segment_counts(readable, key, "value", options, segments), "counts")
     schema = ", ".join(_SUMMARY + [f"{count_column(d.kind)} bigint" for d in options.loose] + ["status string"])
     summary = spark.createDataFrame(summary_of(heads, counts, options).collect(), schema)  # one row
     unread = unread_files(spark, input_path)
@@ -111,35 +113,26 @@ def _run(spark, input_path, output_path, options, fmt, quarantine_path) -> Folde
             raise RuntimeError(f"{n_kept} lines read but {timing.rows} written and {n_bad} unreadable")
         return FolderRun(summary, spark.read.schema(places.schema).parquet(quarantine_path), timing, unread=unread)
 
+    # Only files in which something was found are replaced.
+    found = counts.where(F.col("total_segments") > 0).select(*key)
+    touched = {r[PATH_COLUMN]: (r["n_lines"], r["sources"]) for r in heads.join(found, key).toLocalIterator()}
+    readable = attach(readable, found, key, "left_semi", broadcast_limit=options.broadcast_limit_bytes)
     original = None
 
     def swap(seen: Observation) -> None:
         nonlocal original
-
-        def masked_and_left_alone(_: DataFrame) -> DataFrame:
-            masked = masked_rows(readable)
-            if not n_aside:
-                return masked
-            rest = attach(lines, heads.where("aside").select(*key), key, "left_semi", broadcast_limit=limit)
-            rest = placed(rest) if is_placed else rest
-            columns = [*key, *LINE_ORDER, "value"]
-            if SINK_COLUMN in masked.columns:
-                columns.append(SINK_COLUMN)
-                rest = rest.withColumn(SINK_COLUMN, coin_route(PATH_COLUMN, options.salt))
-            return masked.select(*columns).unionByName(rest.select(*columns))
-
         original = replace_in_place(
             spark,
             input_path,
-            masked_and_left_alone,
+            lambda _: masked_rows(readable),
             remove_original=options.remove_original,
             at_write=lambda rows: observed(rows, "value", seen),
             is_placed=is_placed,
-            n_lines=n_kept + n_aside,
+            files=touched,
         )
 
-    timing = timed(swap)
+    timing = timed(swap) if touched else Timing(0.0, 0, 0)
     return FolderRun(summary, places, timing, original, unread)
 
 
-_SUMMARY = [f"{n} bigint" for n in ("files_seen", "opted_out", "untouched", "rewritten", "quarantined_lines")]
+_SUMMARY = [f"{n} bigint" for n in ("files_seen", "opted_out", "not_text", "untouched", "rewritten", "quarantined_lines")]

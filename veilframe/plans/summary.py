@@ -23,7 +23,7 @@ SUCCESS, NOTHING_TO_DO = "SUCCESS", "IGNORED"
 def run_summary(
     df: DataFrame, key: str | Sequence[str], col: str, order: Sequence[str], options: Options
 ) -> DataFrame:
-    """One row: files seen, opted out, untouched and rewritten, lines in
+    """One row: files seen, opted out, not text, untouched and rewritten, lines in
     quarantine, distinct segments per kind (summed over files), status.
 
     Segments are those of the profile that the strategy rewrites a file by.  A
@@ -48,7 +48,8 @@ def summary_of(heads: DataFrame, found: DataFrame, options: Options) -> DataFram
     counts = [count_column(d.kind) for d in options.loose]
     zero = F.lit(0).cast("bigint")
     aside = F.coalesce("aside", F.lit(False))
-    measures = ["files_seen", "opted_out", "untouched", "rewritten", "quarantined_lines", *counts]
+    not_text = F.col("not_text") if "not_text" in heads.columns else F.lit(False)
+    measures = ["files_seen", "opted_out", "not_text", "untouched", "rewritten", "quarantined_lines", *counts]
 
     def stacked(rows: DataFrame, **given) -> DataFrame:
         return rows.select(*[given.get(m, zero).cast("bigint").alias(m) for m in measures])
@@ -57,13 +58,14 @@ def summary_of(heads: DataFrame, found: DataFrame, options: Options) -> DataFram
     files = stacked(
         heads,
         files_seen=F.lit(1),
-        opted_out=aside,
+        opted_out=aside & ~not_text,
+        not_text=not_text,
         untouched=~aside,
         quarantined_lines=F.when(~aside, F.col("n_unreadable")).otherwise(0),
     )
     segments = stacked(found, untouched=-touched, rewritten=touched, **{c: F.col(c) for c in counts})
     totals = files.unionByName(segments).agg(*[F.coalesce(F.sum(m), zero).alias(m) for m in measures])
-    status = F.when(F.col("files_seen") > F.col("opted_out"), SUCCESS).otherwise(NOTHING_TO_DO)
+    status = F.when(F.col("files_seen") > F.col("opted_out") + F.col("not_text"), SUCCESS).otherwise(NOTHING_TO_DO)
     return totals.withColumn("status", status)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,26 +17,35 @@ OPT_OUT_MARKER = "-DONT-OBFUSCATE-ME-"
 LINE_ORDER = ("part", "block_start", "line_id")
 
 # A file as written by write_mirrored: its escaped name, then a part of it.
-_MIRRORED = r"^(?:sink=[^/]*/)?rel_path=([^/]*)/([^/]+)$"
+_MIRRORED = r"^((?:sink=[^/]*/)?rel_path=([^/]*))/([^/]+)$"
 
 
 def scan_text(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """A file, or all files below a folder, line by line: ``(rel_path, part,
-    block_start, line_id, value)``, and ``file_size`` in bytes.
+    source, block_start, line_id, value, line_end)``, and ``file_size`` in bytes.
+
+    Lines end at a newline; a carriage return before it is no part of the value
+    but stands in ``line_end``, so that ``value``, ``line_end`` and a newline
+    are the bytes of the line.
 
     Spark splits large files over tasks.  ``line_id`` grows within a task but
     one task may read several blocks of a file, so the order of a file's lines
     is ``LINE_ORDER``.  Folders written by ``write_mirrored`` give the files
     they mirror, however many parts those came in; ``part`` is empty for other
-    files.  As with every Spark source, names starting with ``_`` or ``.`` are
-    not read (``unread_files`` lists them), and compressed files are unpacked
-    by their extension.
+    files.  ``source`` is what holds the file's lines below ``path``: the file,
+    or the folder of its parts.  As with every Spark source, names starting with
+    ``_`` or ``.`` are mostly not read (``unread_files`` lists them), and
+    compressed files are unpacked by their extension.
     """
-    reader = spark.read.option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     below = F.col("_below")
     mirrored = below.rlike(_MIRRORED)
+    part = lambda n: F.regexp_extract(below, _MIRRORED, n)
+    with_return = F.endswith("value", F.lit("\r"))
+    # Cut as bytes, as the line may be no UTF-8.
+    without_return = F.substring(F.col("value").cast("binary"), F.lit(1), F.octet_length("value") - 1).cast("string")
     return (
         reader.text(path)
         .select(
@@ -46,12 +56,14 @@ def scan_text(spark: SparkSession, path: str, glob: str | None = None) -> DataFr
             "value",
         )
         .select(
-            F.when(mirrored, _decoded(F.regexp_extract(below, _MIRRORED, 1))).otherwise(below).alias("rel_path"),
-            F.when(mirrored, F.regexp_extract(below, _MIRRORED, 2)).otherwise("").alias("part"),
+            F.when(mirrored, _decoded(part(2))).otherwise(below).alias("rel_path"),
+            F.when(mirrored, part(3)).otherwise("").alias("part"),
+            F.when(mirrored, part(1)).otherwise(below).alias("source"),
             "block_start",
             "line_id",
             "file_size",
-            "value",
+            F.when(with_return, without_return).otherwise(F.col("value")).alias("value"),
+            F.when(with_return, "\r").otherwise("").alias("line_end"),
         )
     )
 
@@ -74,20 +86,22 @@ def _decoded(name: Column) -> Column:
 
 def unread_files(spark: SparkSession, path: str) -> list[str]:
     """Files below a folder that ``scan_text`` gives no line of, relative to
-    it: hidden ones, those starting with an underscore (or in such a folder),
-    and empty ones.  Markers and checksums that file systems make are left out.
+    it: those that Spark's own listing leaves out, and empty ones.  Markers and
+    checksums that file systems make are left out.
     """
     fs, root = file_system(spark, path)
-    base = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
+    if fs.getFileStatus(root).isFile():
+        return []
+    base = fs.makeQualified(root).toUri().getPath().rstrip("/")
+    read = {unquote(urlsplit(f).path) for f in spark.read.option("recursiveFileLookup", True).text(path).inputFiles()}
     found, files = [], fs.listFiles(root, True)
     while files.hasNext():
         status = files.next()
-        below = status.getPath().toUri().getPath()[len(base) + 1 :]
-        *_, name = below.split("/")
+        whole = status.getPath().toUri().getPath()
+        name = whole.rpartition("/")[2]
         made = name == "_SUCCESS" or (name.startswith(".") and name.endswith(".crc"))
-        hidden = any(part[0] in "._" for part in below.split("/") if part)
-        if not made and (hidden or status.getLen() == 0):
-            found.append(below)
+        if not made and (whole not in read or status.getLen() == 0):
+            found.append(whole[len(base) + 1 :])
     return sorted(found)
 
 
@@ -101,20 +115,22 @@ def profile_files(lines: DataFrame) -> DataFrame:
 
 
 def file_heads(
-    df: DataFrame, key: str | Sequence[str], col: str, order: Sequence[str]
+    df: DataFrame, key: str | Sequence[str], col: str, order: Sequence[str], *more: Column
 ) -> DataFrame:
-    """``(key…, first_line, n_lines, n_unreadable, is_binary)``; each task
-    keeps one candidate per key.  A file with a NUL character is no text."""
+    """``(key…, first_line, n_lines, n_unreadable, is_binary)`` and ``more``;
+    each task keeps one candidate per key.  A file with a NUL character is no text."""
     return df.groupBy(*names(key)).agg(
         F.min_by(col, F.struct(*order)).alias("first_line"),
         F.count(F.lit(1)).alias("n_lines"),
         F.count(F.when(~F.is_valid_utf8(F.col(col)), 1)).alias("n_unreadable"),
         F.coalesce(F.max(F.contains(F.col(col), F.lit("\x00"))), F.lit(False)).alias("is_binary"),
+        *more,
     )
 
 
 def opts_out(first_line: Column, hint: str | None) -> Column:
-    """Does a file with this first line stay out of the run?"""
+    """Does a file with this first line, up to a carriage return, stay out of the run?"""
+    first_line = F.substring_index(first_line, "\r", 1)
     marked = F.contains(first_line, F.lit(OPT_OUT_MARKER))
     return marked if hint is None else marked | first_line.rlike(hint)
 
