@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import bpe, decontaminate, jaccard, langid, quality
+from veilframe.llm import bpe, decontaminate, langid, quality, simhash
 from veilframe.llm.queries import table, tokenizer
 from veilframe.shared import written
 
@@ -28,9 +28,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group linked by five-word similarity of 0.8
-    or more: all such pairs, of which SimHash finds but a part."""
-    return jaccard.one_of_each(docs)
+    """One document stays of each group whose fingerprints are linked."""
+    return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
