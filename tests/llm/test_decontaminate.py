@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 
 from veilframe.llm import decontaminate
@@ -38,7 +41,7 @@ def test_leaks(make_docs, benchmark):
         ]
     )
     got = found(docs, benchmark)
-    assert set(got) == {(1, 10), (2, 10), (5, 11), (7, 10), (None, 10), (8, None)}
+    assert set(got) == {(1, 10), (2, 10), (5, 11), (6, 10), (7, 10), (None, 10), (8, None)}
     assert got[1, 10].share == got[7, 10].share == 1.0
     assert (got[1, 10].reparameterised, got[2, 10].reparameterised) == (False, True)
 
@@ -62,9 +65,11 @@ def test_awkward_rows(awkward, no_docs, benchmark):
 
 def test_without_benchmark(make_docs, benchmark, no_docs):
     docs = make_docs([(1, ITEM), (1, "clean but of the same id"), (2, FILLER), (2, FILLER), (None, FILLER), (3, None)])
+    docs = docs.union(make_docs([(None, ITEM), (None, ITEM.lower())])).withColumnRenamed("hash", "_copy")
     kept = decontaminate.without_benchmark(docs, benchmark)
     assert kept.columns == docs.columns
-    assert sorted(repr(r.doc_id) for r in kept.collect()) == sorted(map(repr, [2, 2, None, 3]))
+    left = sorted(repr((r.doc_id, r.text)) for r in kept.collect())
+    assert left == sorted(map(repr, [(1, "clean but of the same id"), (2, FILLER), (2, FILLER), (None, FILLER), (3, None)]))
     assert decontaminate.without_benchmark(no_docs, benchmark).collect() == []
 
 
@@ -108,3 +113,69 @@ def test_one_clash_costs_its_windows_only(spark, make_docs):
     assert got[1, 20].share == got[3, 21].share == got[4, 21].share == 1.0
     assert 0.5 < got[2, 21].share < 1.0
     assert [got[k].reparameterised for k in sorted(got)] == [True, False, False, True]
+
+
+def test_trivial_disguises(spark, make_docs, benchmark):
+    """Case, line breaks and blanks change neither words nor the verdict."""
+    copies = [ITEM, ITEM.upper(), ITEM.lower(), ITEM.title(), ITEM.replace(" ", "  "), ITEM.replace(" ", "\n"), ITEM.replace(" to ", "\r\n\tto ")]
+    docs = make_docs([(n, f"{FILLER}. {copy} {FILLER}") for n, copy in enumerate(copies)])
+    got = found(docs, benchmark)
+    assert set(got) == {(n, 10) for n in range(len(copies))}
+    assert not any(r.reparameterised for r in got.values())
+
+
+WORDS = "which of these seven rivers flows through more than one country before it finally reaches the cold sea in autumn or winter storms each year without ever freezing over"
+
+
+@pytest.mark.parametrize("size", [15, 20, 25, 30])
+def test_short_items_with_edits(spark, make_docs, size):
+    """One or two changed words hide no item; recall over all places of them."""
+    words = (WORDS.split() + ["again", "and", "again"])[:size]
+    edits = [(i,) for i in range(size)] + [(i, j) for i in range(0, size, 3) for j in range(i + 6, size, 4)]
+    text = lambda places: " ".join("otherword" if n in places else w for n, w in enumerate(words))
+    docs = make_docs([(n, f"{FILLER} {text(places)} {FILLER}") for n, places in enumerate(edits)] + [(-1, FILLER), (-2, " ".join(words[:7]))])
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")
+    got = {k[0] for k in found(docs, items)}
+    assert got <= set(range(len(edits)))
+    assert len(got) >= 0.9 * len(edits)
+
+
+def brute(docs, items, width=6):
+    """Share of the words of each item that windows of plain words cover."""
+    split = lambda text: [w for w in (re.sub(r"[^\w\s]|_", "", x) for x in text.lower().split()) if w]
+    found = {}
+    for doc, text in docs:
+        words = split(text)
+        held = {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
+        for item, asked in items:
+            want = split(asked)
+            inside = {p for q in range(len(want) - width + 1) if tuple(want[q : q + width]) in held for p in range(q, q + width)}
+            if len(inside) >= 0.5 * len(want):
+                found[doc, item] = len(inside) / len(want)
+    return found
+
+
+def test_windows_and_shares_by_brute_force(spark, make_docs):
+    rng = random.Random(6)
+    vocabulary = [f"{a}{b}" for a in "bdfgk" for b in "aeiou"]
+    items = [(n, " ".join(rng.choices(vocabulary, k=rng.randint(6, 30)))) for n in range(20)]
+
+    def edited(text):
+        words = text.split()
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        return " ".join(words[rng.randint(0, 3) :])
+
+    docs = [(n, " ".join([edited(rng.choice(items)[1]), *rng.choices(vocabulary, k=5), edited(rng.choice(items)[1])])) for n in range(60)]
+    got = found(make_docs(docs), spark.createDataFrame(items, "item_id bigint, text string"))
+    want = brute(docs, items)
+    assert len(want) > 30
+    assert {k: round(r.share, 9) for k, r in got.items()} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_tables_of_numbers_meet_as_they_are(spark, make_docs):
+    """20,000 numbers against an item of 50: no window of placeholders alone."""
+    numbers = lambda n, step: " ".join(str(step * i + 7) for i in range(n))
+    items = spark.createDataFrame([(1, numbers(50, 3)), (2, numbers(50, 1000))], "item_id bigint, text string")
+    docs = make_docs([(1, numbers(20_000, 2)), (2, f"{FILLER} {numbers(60, 3)}"), (3, numbers(20_000, 1000))])
+    assert set(found(docs, items)) == {(2, 1), (3, 2)}

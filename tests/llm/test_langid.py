@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import unicodedata
 import zlib
 
@@ -11,6 +12,7 @@ import pyarrow as pa
 
 from veilframe.llm import langid
 from veilframe.llm.queries import op9_langid, table
+from veilframe.llm.text import raw
 
 
 def test_best_path_equals_trying_all_paths():
@@ -94,3 +96,30 @@ def test_held_out_rows_are_told_apart(spark):
     truth = {r.doc_id: r.lang for r in table(spark, path, "documents").collect()}
     rows = [r for r in op9_langid(spark, path).collect() if r.held_out and truth[r.doc_id]]
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in rows]) > 0.98
+
+
+def test_the_trigram_table_by_brute_force(spark, make_docs):
+    """Shares of hashed byte trigrams, counted word by word."""
+    texts = ["Der Hund, der bellt", "the dog that barks", "le chien aboie là-bas", "das HAUS", "12 the 34"]
+    langs = ["de", "en", "fr", "de", "en"]
+    rows = [(None, t) for t in texts]
+    model = langid.train(make_docs(rows, lang=langs), "doc_id", "text", "lang")
+    assert model.languages == ["de", "en", "fr"]
+    for n, lang in enumerate(model.languages):
+        counts = np.full(langid.BUCKETS, 0.1)
+        for text, of in zip(texts, langs, strict=True):
+            for word in re.findall(r"[^\W_]+", text) if of == lang else ():
+                if not any(c.isalpha() for c in word):
+                    continue
+                data, offsets = raw(pa.array([word]))
+                low = [0, *langid.folded(data).tolist(), 0]
+                for a, b, c in zip(low, low[1:], low[2:]):
+                    counts[((a | b << 8 | c << 16) * 2654435769 % 2**32) >> 16] += 1
+        assert np.allclose(model.score[:, n], np.log(counts / counts.sum()), atol=1e-5)
+
+
+def test_stray_languages_are_not_learned(spark, make_docs):
+    rows = [(None, f"word{n} and more of it") for n in range(40)]
+    langs = ["en"] * 12 + ["de"] * 8 + [f"tag{n}" for n in range(20)]
+    model = langid.train(make_docs(rows, lang=langs), "doc_id", "text", "lang", languages=2)
+    assert model.languages == ["de", "en"]

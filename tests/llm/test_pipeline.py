@@ -69,5 +69,5 @@ def test_queries_are_registered():
     spec.loader.exec_module(entry)
     names = entry.queries().keys()
     assert "pipeline" in names
-    assert sorted(n.split("_")[0] for n in names if n.startswith("op")) == sorted(f"op{n}" for n in range(1, 11))
+    assert sorted(n.split("_")[0] for n in names if n.startswith("op")) == sorted(f"op{n}" for n in range(1, 14))
     assert entry.oracle_sql().keys() <= names

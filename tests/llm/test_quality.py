@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -76,3 +79,61 @@ def test_labelled_rows_are_parted(spark):
     share = lambda q: np.mean([r.doc_id in kept for r in rows if r.quality == q])
     assert share(1) > 0.95
     assert share(0) < 0.05
+
+
+def grams(text):
+    """Tokens and pairs of a text, a repeated token as a mark."""
+    words = re.findall(r"[A-Za-z0-9_\u0080-\U0010ffff]+|[^\sA-Za-z0-9_\u0080-\U0010ffff]+", text or "")
+    words = [w.translate({c: c + 32 for c in range(65, 91)}) for w in words]
+    marked = [None if n and w == words[n - 1] else w for n, w in enumerate(words)]
+    return marked, list(zip(marked, marked[1:]))
+
+
+def test_counts_and_weights_by_brute_force(spark, make_docs, monkeypatch):
+    """Every n-gram has a bucket of its own here; counts, ratios and sums of
+    both models are made again, text by text."""
+    draw = random.Random(2)
+    vocabulary = ["The", "the", "cat", "42", "!!", "é", "a_b", "-"]
+    texts = [" ".join(draw.choices(vocabulary, k=draw.randint(0, 25))) for _ in range(40)] + ["", None]
+    docs = make_docs(list(enumerate(texts)))
+    good = {n for n in range(40) if n % 3 == 0}
+    labels = spark.createDataFrame([(n, int(n in good), 0) for n in range(40)], "doc_id bigint, quality int, toxic int")
+    s = quality.Settings(buckets=1 << 20, prior=2.0)
+    table, *halves = quality.train(docs, labels, s)
+    weights = {r.row.doc_id: r.log_weight for r in quality.with_weight(docs, table, ["doc_id"]).collect()}
+    everything, target = [Counter(), Counter()], [Counter(), Counter()]
+    for n, text in enumerate(texts):
+        for order, found in enumerate(grams(text)):
+            everything[order].update(found)
+            if n in good:
+                target[order].update(found)
+    ratio = []
+    for e, t in zip(everything, target, strict=True):
+        total, wanted = sum(e.values()) + s.buckets, sum(t.values())
+        raw = {g: (n + 1) / total for g, n in e.items()}
+        drawn = {g: (t[g] + s.prior) / (wanted * raw[g] + s.prior) for g in e}
+        unseen = (s.buckets - len(e)) / total * s.prior / (wanted / total + s.prior)
+        norm = sum(raw[g] * drawn[g] for g in e) + unseen
+        ratio.append({g: math.log(drawn[g] / norm) for g in e})
+    for n, text in enumerate(texts):
+        want = sum(ratio[order][g] for order, found in enumerate(grams(text)) for g in found)
+        assert weights[n] == pytest.approx(want, abs=1e-6), text
+    # Each half of the labelled rows is weighed by the other half's model.
+    held = {r.id: r.log_weight for r in quality.held_out_weights(docs, labels, halves, "doc_id", "text", s).collect()}
+    of = {r.id: r.half for r in spark.range(40).select("id", quality.half(F.col("id")).alias("half")).collect()}
+    assert held.keys() == set(range(40)) and {0, 1} == set(of.values())
+    for n in (0, 1):
+        own = {r.row.doc_id: r.log_weight for r in quality.with_weight(docs, halves[1 - n], ["doc_id"]).collect()}
+        assert all(held[i] == pytest.approx(own[i]) for i in held if of[i] == n)
+
+
+def test_held_out_good_rows_stay(spark):
+    """Labels of a third of the rows are not shown; the good ones are kept."""
+    path = "/root/testdata/sf0.1"
+    labels = table(spark, path, "labels").where("quality is not null")
+    hidden = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    kept = {r.doc_id for r in quality.select_ids(table(spark, path, "documents"), labels.where(~hidden)).collect()}
+    rows = labels.where(hidden).collect()
+    share = lambda q: np.mean([r.doc_id in kept for r in rows if r.quality == q])
+    assert share(1) > 0.97
+    assert share(0) < 0.1

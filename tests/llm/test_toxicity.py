@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import zlib
 
 import numpy as np
@@ -74,3 +75,29 @@ def test_held_out_rows_are_told_apart(spark):
     assert caught >= 0.7 * sum(t for _, t in rows)
     assert caught >= 0.95 * sum(p for p, _ in rows)
     assert pytest.approx(len(rows) / len(truth), abs=0.1) == 1 / 3
+
+
+def test_features_by_brute_force():
+    """Coordinates of words, pairs and skip-pairs, each made on its own."""
+    texts = ["One two-three one two", "x", "", "ab cd ef gh ab cd"]
+    at, places = toxicity.features(pa.array(texts), 18)
+    for n, text in enumerate(texts):
+        words = re.findall("[a-z0-9_]+", text.lower())
+        alone = {w: toxicity.features(pa.array([w]), 18)[1][0] for w in words}
+        near = {p: set(toxicity.features(pa.array([" ".join(p)]), 18)[1]) - {alone[w] for w in p} for p in zip(words, words[1:])}
+        skip = {
+            (a, c): set(toxicity.features(pa.array([f"{a} {b} {c}"]), 18)[1]) - {alone[w] for w in (a, b, c)} - near[a, b] - near[b, c]
+            for a, b, c in zip(words, words[1:], words[2:])
+        }
+        want = set(alone.values()) | set().union(*near.values(), *skip.values())
+        assert set(places[at == n]) == want
+
+
+def test_the_sample_is_bounded_by_its_features(spark, make_docs):
+    docs = make_docs([(n, f"{'bad' if n % 2 else 'good'} word{n} " * 3) for n in range(60)])
+    labels = spark.createDataFrame([(n, 1, n % 2) for n in range(60)], "doc_id bigint, quality int, toxic int")
+    few = toxicity.Settings(sample_features=40, l1=0.1)
+    places, _ = toxicity.train(docs, labels, few, "doc_id", "text")
+    assert 0 < len(places) <= 41
+    all_places, _ = toxicity.train(docs, labels, toxicity.Settings(l1=0.1), "doc_id", "text")
+    assert len(all_places) > 2 * len(places)

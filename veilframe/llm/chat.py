@@ -19,12 +19,17 @@ SYSTEM = "system"
 NOBODY = "unknown"
 
 
+def _in_mark(role: Column) -> Column:
+    """A role as it may stand in a mark: it neither ends it nor starts another."""
+    return F.replace(F.regexp_replace(role, r"[\r\n]", " "), F.lit("|"), F.lit("¦"))
+
+
 def _segment(turn: Column, speaker: Column) -> Column:
     who = turn["role"]
     head = (
         F.when(who == SYSTEM, F.lit("<|system|>"))
         .when(who == speaker, F.lit("<|assistant|>"))
-        .otherwise(F.concat(F.lit("<|user:"), who, F.lit("|>")))
+        .otherwise(F.concat(F.lit("<|user:"), _in_mark(who), F.lit("|>")))
     )
     return F.concat(head, F.lit("\n"), turn["text"], F.lit("<|end|>\n"))
 
@@ -39,7 +44,8 @@ def rotate(
     the speaker said, end marks included.  Turns are ordered by number, role and text,
     nulls first; equal rows are turns of their own.  A null or empty role
     speaks as ``unknown``, a null text is empty, turns of a null id are one
-    dialogue.  ``<|`` inside a text is written ``< |``.  A dialogue without
+    dialogue.  ``<|`` inside a text is written ``< |``; inside the mark of a
+    turn, ``|`` in a role is written ``¦`` and a line end as a blank.  A dialogue without
     participants (system turns only) has no row; an empty table gives none.
     """
     said = turns.select(

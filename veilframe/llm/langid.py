@@ -23,6 +23,8 @@ from veilframe.llm.text import AS_IS, CHUNK_BYTES, LETTERS, in_small_batches, ma
 
 BUCKETS = 1 << 16
 SWITCH = 8.0
+# A language takes 256 KB of every task's model.
+LANGUAGES = 200
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
 
@@ -135,10 +137,17 @@ def counted(texts: pa.Array, codes: np.ndarray, n_codes: int) -> np.ndarray:
     return found.reshape(n_codes, width)
 
 
-def train(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model:
+def train(df: DataFrame, id_col: str, text_col: str, lang_col: str, languages: int = LANGUAGES) -> Model:
     """Counts over all rows that may be learned from, summed per task, then
-    over tasks: one row per language and bucket at most."""
+    over tasks: one row per language and bucket at most.
+
+    The language column is data and may hold any number of stray values, so
+    only the ``languages`` values with the most rows are learned.
+    """
     known = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col), 3, 1))
+    common = known.groupBy(F.col(lang_col).alias("_lang")).count().orderBy(F.desc("count"), "_lang").limit(languages)
+    common = [r["_lang"] for r in common.collect()]
+    known = known.where(F.col(lang_col).isin(common))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -156,11 +165,11 @@ def train(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model:
             )
 
     partial = in_small_batches(known.select(text_col, lang_col)).mapInArrow(count, "lang string, bucket long, n long")
-    # Languages times buckets: a bound that does not grow with the corpus.
+    # At most LANGUAGES times buckets, however large the corpus.
     found = partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    languages = sorted(set(found["lang"].to_pylist()))
-    table = np.zeros((len(languages), BUCKETS + len(SCRIPTS)))
-    place = pc.index_in(found["lang"].combine_chunks(), pa.array(languages, pa.string())).to_numpy()
+    names = sorted(set(found["lang"].to_pylist()))
+    table = np.zeros((len(names), BUCKETS + len(SCRIPTS)))
+    place = pc.index_in(found["lang"].combine_chunks(), pa.array(names, pa.string())).to_numpy()
     table[place, found["bucket"].to_numpy()] = found["n"].to_numpy()
     grams, kinds = table[:, :BUCKETS] + 0.1, table[:, BUCKETS:]
     score = np.log(grams / grams.sum(axis=1, keepdims=True)).T.astype(np.float32)
@@ -168,7 +177,7 @@ def train(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model:
     allowed = share.T >= SCRIPT_SHARE
     # A script that no language uses says nothing about candidates.
     allowed[~allowed.any(axis=1)] = True
-    return Model(languages, np.ascontiguousarray(score), allowed)
+    return Model(names, np.ascontiguousarray(score), allowed)
 
 
 def best_path(score: np.ndarray, counts: np.ndarray, switch: float) -> np.ndarray:
@@ -276,7 +285,7 @@ def label(df: DataFrame, model: Model, rows: list[str], text_col: str = "text",
 
 def predict(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)`` for every row, learned from the
-    rows that are not held out and have a language.
+    rows that are not held out and have one of the 200 most frequent languages.
 
     Rows with equal ids or texts are labelled one by one; a null id is not
     held out; see :func:`label` for texts without a language.

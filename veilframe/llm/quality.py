@@ -2,8 +2,9 @@
 
 Two generative models over hashed n-grams, one of target texts (labelled good)
 and one of all raw texts, give each document the log ratio of its likelihoods
-as weight.  Gumbel noise on the weights and the k largest sums are a sample of
-k documents without replacement in proportion to their weights.
+as weight.  Gumbel noise, scaled by a temperature, on the weights and the k
+largest sums are a sample of k documents without replacement, in proportion to
+the ratio of likelihoods to the power of one over the temperature.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ class Settings:
     """``sample_rows`` bounds the labelled target texts learned from; the raw
     model is learned from all documents.  ``k`` is the number of documents to
     sample; by default as many as lie above the weight that best parts the
-    good from the bad rows of the labelled sample.  ``temperature`` scales the noise against the weights."""
+    good from the bad rows of the labelled sample, each weighed by a model of
+    the other half of it.  ``temperature`` scales the noise against the weights."""
 
     sample_rows: int = 20_000
     buckets: int = 1 << 16
@@ -103,12 +105,19 @@ def cut(weights: np.ndarray, good: np.ndarray) -> float:
     return float((edges[widest] + edges[widest + 1]) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """The table of log ratios."""
+def half(id_col: Column) -> Column:
+    """0 or 1 by a hash of the id."""
+    return F.pmod(F.xxhash64(id_col, F.lit("half")), F.lit(2))
+
+
+def train(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str = "doc_id", text_col: str = "text") -> list[np.ndarray]:
+    """The table of log ratios, and those learned from either half of the
+    target texts alone."""
     good = labelled_sample(labels.where("quality = 1"), "quality", s.sample_rows, F.lit(True), id_col)
-    target = count(sampled_texts(docs, good, id_col, text_col).select("text"), s.buckets)
+    texts = sampled_texts(docs, good, id_col, text_col)
+    halves = [count(texts.where(half(F.col("id")) == n).select("text"), s.buckets) for n in (0, 1)]
     everything = count(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), s.buckets)
-    return log_ratio(target, everything, s.prior)
+    return [log_ratio(target, everything, s.prior) for target in (halves[0] + halves[1], *halves)]
 
 
 def with_weight(docs: DataFrame, table: np.ndarray, rows: list[str], text_col: str = "text") -> DataFrame:
@@ -160,28 +169,36 @@ def kth_largest(values: DataFrame, k: int, bins: int = 1024) -> float | None:
     return sorted((r[0] for r in inside.collect()), reverse=True)[k - 1]
 
 
-def threshold(weights: DataFrame, labels: DataFrame, s: Settings, id_col: str) -> float | None:
+def threshold(weights: DataFrame, held_out: DataFrame | None, s: Settings) -> float | None:
     """From which perturbed weight on documents are sampled; ``weights`` is
-    written and has ``id``, ``log_weight`` and ``perturbed``."""
+    written and has ``log_weight`` and ``perturbed``, ``held_out`` the weight
+    and label of labelled rows by models that did not see them."""
     k = s.k
     if k is None:
-        sample = labelled_sample(labels, "quality", s.sample_rows, F.lit(True), id_col)
-        seen = weights.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("log_weight").alias("w"), F.max("label").alias("label"))
-        seen = seen.toArrow()
-        least = cut(seen["w"].to_numpy(), seen["label"].to_numpy() == 1)
+        seen = held_out.toArrow()
+        least = cut(seen["log_weight"].to_numpy(), seen["label"].to_numpy() == 1)
         k = weights.where(F.col("log_weight") >= least).count()
     return kth_largest(weights.select("perturbed"), k) if k else None
 
 
+def held_out_weights(docs: DataFrame, labels: DataFrame, halves: list[np.ndarray], id_col: str, text_col: str, s: Settings) -> DataFrame:
+    """``(id, label, log_weight)`` of the labelled sample, each half weighed by
+    the table learned from the other."""
+    sample = labelled_sample(labels, "quality", s.sample_rows, F.lit(True), id_col)
+    texts = sampled_texts(docs, sample, id_col, text_col)
+    one, two = (with_weight(texts.where(half(F.col("id")) == 1 - n), halves[n], ["id", "label"]) for n in (0, 1))
+    return one.union(two).select("row.id", "row.label", "log_weight")
+
+
 def _sampled(docs: DataFrame, labels: DataFrame, rows: list[str], id_col: str, text_col: str, s: Settings) -> DataFrame:
-    table = train(docs, labels, s, id_col, text_col)
+    table, *halves = train(docs, labels, s, id_col, text_col)
     noise = gumbel(F.col(f"row.`{id_col}`"), s.seed) * s.temperature
 
     def weighted(columns: list[str]) -> DataFrame:
         return with_weight(docs, table, columns, text_col).withColumn("perturbed", F.col("log_weight") + noise)
 
     narrow = written(weighted([id_col]).select(F.col(f"row.`{id_col}`").alias("id"), "log_weight", "perturbed"), "weights")
-    least = threshold(narrow, labels, s, id_col)
+    least = threshold(narrow, held_out_weights(docs, labels, halves, id_col, text_col, s) if s.k is None else None, s)
     if rows == [id_col]:
         whole = narrow.select(F.struct(F.col("id").alias(id_col)).alias("row"), "log_weight", "perturbed")
     else:

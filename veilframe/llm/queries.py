@@ -113,7 +113,7 @@ who AS (SELECT DISTINCT conv_id, role AS speaker FROM said WHERE role <> 'system
 seen AS (
   SELECT r.conv_id, w.speaker, CAST((r.place - 1) // 256 AS INTEGER) AS part, r.place, r.role = w.speaker AS own,
     CASE WHEN r.role = 'system' THEN '<|system|>' WHEN r.role = w.speaker THEN '<|assistant|>'
-      ELSE '<|user:' || r.role || '|>' END || chr(10) || r.text || '<|end|>' || chr(10) AS segment
+      ELSE '<|user:' || replace(regexp_replace(r.role, '[\\r\\n]', ' ', 'g'), '|', '¦') || '|>' END || chr(10) || r.text || '<|end|>' || chr(10) AS segment
   FROM ranked r JOIN who w ON r.conv_id IS NOT DISTINCT FROM w.conv_id),
 walked AS (
   SELECT *, sum(length(segment)) OVER (PARTITION BY conv_id, speaker, part ORDER BY place) AS upto FROM seen)

@@ -150,14 +150,13 @@ _ROW = ["bucket", "whole", "number", "at", "low", "high", "done"]
 
 def _decided(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of rows in buckets: the windows found to repeat, and the undecided rows."""
-    total = rows.count()
     one = F.min(F.struct(*_ROW[2:])).alias("one")
     alike = written(_several(rows, ["bucket", "whole"], {"one": one}), "alike")
-    repeated = _among(rows.where("not done"), alike.where("n > 1"), ["bucket", "whole"], total)
-    open_buckets = alike.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where("kinds > 1")
+    repeated = _among(rows.where("not done"), alike.where("n > 1"), ["bucket", "whole"], rows.count())
+    open_buckets = _several(alike, ["bucket"]).where("n > 1")
     going = alike.select("bucket", "one.number", "one.at", "one.low", "one.high", (F.col("one.done") | (F.col("n") > 1)).alias("done"))
     runs = written(repeated.select("number", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low")).alias("last")), "runs")
-    return runs, written(_among(going, open_buckets, ["bucket"], total), "open")
+    return runs, written(_among(going, open_buckets, ["bucket"], alike.count()), "open")
 
 
 def _contexts(going: DataFrame, marked: DataFrame, length: int) -> DataFrame:

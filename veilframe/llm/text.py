@@ -7,6 +7,8 @@ with a chance of about V*V / 2**65 for V distinct tokens.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
@@ -139,6 +141,14 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Return memory that a finished task has freed to the system: workers are
+    kept for later tasks, whose slices differ in size."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_texts(
     df: DataFrame,
     text: Column,
@@ -165,7 +175,7 @@ def map_texts(
             for lo, hi in slices(texts, limit):
                 found = work(texts.slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays([kept.slice(lo, hi - lo), *found], names=names)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return in_small_batches(narrow).mapInArrow(run, schema)
 

@@ -24,10 +24,13 @@ from veilframe.llm.text import LETTERS, LOWER, map_texts, mix, pairs, raw, token
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_rows`` bounds the labelled rows learned from; a row of label 1,
-    the rarer one, counts ``positive_weight`` times."""
+    """``sample_rows`` bounds the labelled rows learned from, and
+    ``sample_features`` what they hold together (four bytes each, in one task):
+    rows are taken whole, in order of their hash, while they fit.  A row of
+    label 1, the rarer one, counts ``positive_weight`` times."""
 
     sample_rows: int = 20_000
+    sample_features: int = 1 << 25
     bits: int = 20
     alpha: float = 2.0
     beta: float = 1.0
@@ -97,12 +100,15 @@ def train(df: DataFrame, labels: DataFrame, settings: Settings, id_col: str, tex
     ordered = ordered.repartition(1).sortWithinPartitions("h", "id")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, marks = [], []
+        rows, marks, held = [], [], 0
         for batch in batches:
             lists = batch.column(3)
             values, ends = lists.flatten().to_numpy(), np.cumsum([0, *lists.value_lengths().to_pylist()])
-            rows += [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-            marks += batch.column(2).to_pylist()
+            for a, b, mark in zip(ends, ends[1:], batch.column(2).to_pylist(), strict=False):
+                if held + b - a <= settings.sample_features:
+                    held += b - a
+                    rows.append(values[a:b])
+                    marks.append(mark)
         found = ftrl(rows, np.array(marks, float), settings)
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["place", "weight"])
@@ -129,16 +135,19 @@ def score(
     """
     settings = settings or Settings()
     places, weights = train(df, labels, settings, id_col, text_col)
-    dense = np.zeros((1 << settings.bits) + 1)
-    dense[places] = weights
-    shared = df.sparkSession.sparkContext.broadcast(dense)
-    scored = map_texts(
-        df,
-        F.col(text_col),
-        [F.col(id_col).alias("id")],
-        [T.StructField("score", T.DoubleType())],
-        lambda texts: [pa.array(scores_of(texts, shared.value, settings.bits))],
-    )
+    # Sent as they are, few; spread out where they are used, once in a task.
+    shared = df.sparkSession.sparkContext.broadcast((places.astype(np.int32), weights))
+    spread: list[np.ndarray] = []
+
+    def work(texts: pa.Array) -> list:
+        if not spread:
+            at, weight = shared.value
+            spread.append(np.zeros((1 << settings.bits) + 1))
+            spread[0][at] = weight
+        return [pa.array(scores_of(texts, spread[0], settings.bits))]
+
+    fields = [T.StructField("score", T.DoubleType())]
+    scored = map_texts(df, F.col(text_col), [F.col(id_col).alias("id")], fields, work)
     return scored.select(
         F.col("row.id").alias(id_col),
         held_out(F.col("row.id"), 3, 1).alias("held_out"),
