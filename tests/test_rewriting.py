@@ -18,6 +18,7 @@ from veilframe.detectors import (
     loose_profile,
     paths_first,
     pick,
+    spares_tokens,
     strict_profile,
     with_detector,
     without_private,
@@ -26,6 +27,7 @@ from veilframe.functions.matching import has_match
 from veilframe.functions.sql import register_functions
 from veilframe.functions.tokens import TokenRule
 from veilframe.operators import dictionary
+from veilframe.operators import parts as parts_module
 from veilframe.operators.dictionary import rewrite_with_dictionary
 from veilframe.operators.rewriting import mask_kinds, scrub
 
@@ -121,6 +123,14 @@ def test_texts_with_private_characters_are_rewritten_alike(spark):
     assert got == [brute.token("CREDENTIALS", "password=\ue120\ue141x")]
 
 
+def test_kinds_that_spare_tokens():
+    for profile in (strict_profile(), loose_profile()):
+        assert all(spares_tokens(d, [d.kind for d in profile]) for d in profile)
+    assert not any(spares_tokens(d, ["IPV4"]) for d in (*WIDE, NUMBERS, LETTERS))
+    for keywords, kinds, spared in ((["user"], ["IPV4"], True), (["dir"], ["FILE-DIR"], False), (["dead"], ["IPV4"], False), (["user"], ["USER-ID"], False)):
+        assert spares_tokens(pick(strict_profile(keywords), "CREDENTIALS")[0], kinds) == spared
+
+
 def test_patterns_are_kept_from_private_characters():
     for plain in (r"\b(?:IPV4|seq)\b", r"[\w.\-]+/[a-z]{2}", r"(?i)\bx\d+\s*[:=]", r"a\.b\[c\]"):
         assert without_private(plain) == plain
@@ -186,6 +196,20 @@ def test_scrub_equals_plain_python(spark, profile):
     assert got == expected
 
 
+@pytest.mark.parametrize("out", [None, "masked"])
+def test_large_cells_are_scrubbed_by_part(spark, out, rows_of, monkeypatch):
+    """Parts travel as rows; what is beside the text, clashing names too, stays with it."""
+    monkeypatch.setattr(parts_module, "DEALT_BYTES", 1)
+    cells = ["\n".join(f"{i} 10.0.{i % 7}.{n} /srv/{i}" for i in range(n * 20)) for n in range(6)] + [None, "", "10.0.0.1", "\n" * 80]
+    rows = [(t, n, f"r{n}", {"a": n}, n % 2, None) for n, t in enumerate([*cells, cells[3]])]
+    df = spark.createDataFrame(rows, "value string, row int, rest string, part map<string,int>, `a.b` int, key string").repartition(3)
+    o = lambda strategy: Options(strategy, num_parts=4, min_split_bytes=100)
+    whole, parts = (pseudonymize(df, "key", "value", o(s), out) for s in ("IN_PLACE", "SAM"))
+    assert parts.columns == whole.columns
+    drop = lambda found: found.withColumn("part", F.to_json("part")).withColumnRenamed("a.b", "ab")
+    assert rows_of(drop(parts)) == rows_of(drop(whole))
+
+
 def test_sql_function_equals_scrub(spark):
     register_functions(spark, strict_profile(), TOKENS, prefix="tricky")
     df = corpus(spark, TRICKY)

@@ -152,7 +152,7 @@ class Detector:
     change a result.  A pattern that may match a newline is refused: texts are
     cut into lines; so is one that names private-use characters, which no kind
     matches.  ``takes_tokens`` lets matches take in finished tokens of kinds
-    that come before.
+    that come before.  ``no_braces`` says that no match holds a brace.
     """
 
     kind: str
@@ -164,6 +164,7 @@ class Detector:
     precheck: str | None = None
     any_of: tuple[str, ...] = ()
     takes_tokens: bool = False
+    no_braces: bool = False
 
     def __post_init__(self) -> None:
         if not re.fullmatch(r"[A-Z0-9][A-Z0-9-]*", self.kind):
@@ -214,11 +215,11 @@ def strict_profile(keywords: Sequence[str] = CREDENTIAL_KEYWORDS) -> list[Detect
     then, becomes a path token, as seen in already masked ``ip addr`` logs.
     """
     return [
-        Detector(IPV4, STRICT_IPV4, 1, 0, needs=".", precheck=_V4_PRECHECK),
-        Detector(IPV6, STRICT_IPV6, 1, 1, needs=":", sign="::", precheck=_V6_PRECHECK),
-        Detector(FILE_DIR, ABSOLUTE_PATH, 2, 0, needs="/"),
+        Detector(IPV4, STRICT_IPV4, 1, 0, needs=".", precheck=_V4_PRECHECK, no_braces=True),
+        Detector(IPV6, STRICT_IPV6, 1, 1, needs=":", sign="::", precheck=_V6_PRECHECK, no_braces=True),
+        Detector(FILE_DIR, ABSOLUTE_PATH, 2, 0, needs="/", no_braces=True),
         Detector(CREDENTIALS, credentials_pattern(keywords), 2, 1, any_of=keyword_stems(keywords), takes_tokens=True),
-        Detector(MAC_ADDR, STRICT_MAC, 2, 2, needs=":"),
+        Detector(MAC_ADDR, STRICT_MAC, 2, 2, needs=":", no_braces=True),
     ]
 
 
@@ -226,11 +227,11 @@ def loose_profile(keywords: Sequence[str] = CREDENTIAL_KEYWORDS) -> list[Detecto
     """Case-insensitive patterns without word bounds on addresses, used for
     the dictionary rewrite and the constant mask, paths before addresses."""
     return [
-        Detector(FILE_DIR, ABSOLUTE_PATH, 1, 0, needs="/"),
+        Detector(FILE_DIR, ABSOLUTE_PATH, 1, 0, needs="/", no_braces=True),
         Detector(CREDENTIALS, credentials_pattern(keywords), 1, 1, any_of=keyword_stems(keywords), takes_tokens=True),
-        Detector(MAC_ADDR, "(?i)" + LOOSE_MAC, 1, 2, needs=":"),
-        Detector(IPV4, "(?i)" + LOOSE_IPV4, 2, 0, needs=".", precheck=_V4_PRECHECK),
-        Detector(IPV6, "(?i)" + LOOSE_IPV6, 2, 1, needs=":", sign="::", precheck=_V6_PRECHECK),
+        Detector(MAC_ADDR, "(?i)" + LOOSE_MAC, 1, 2, needs=":", no_braces=True),
+        Detector(IPV4, "(?i)" + LOOSE_IPV4, 2, 0, needs=".", precheck=_V4_PRECHECK, no_braces=True),
+        Detector(IPV6, "(?i)" + LOOSE_IPV6, 2, 1, needs=":", sign="::", precheck=_V6_PRECHECK, no_braces=True),
     ]
 
 
@@ -257,6 +258,19 @@ def with_detector(detectors: Sequence[Detector], extra: Detector) -> list[Detect
     return [*detectors, extra]
 
 
+def spares_tokens(detector: Detector, kinds: Sequence[str]) -> bool:
+    """Is nothing found inside a readable token of one of the kinds?
+
+    A token is letters, digits and dashes between braces.  A match without
+    braces lies wholly inside or outside, and inside there is no ``needs``; a
+    credential's keyword is none of its letters.
+    """
+    if detector.takes_tokens:
+        inside = [k.lower() for k in kinds]
+        return bool(detector.any_of) and all(re.search("[^0-9a-f-]", w) and not any(w in k for k in inside) for w in detector.any_of)
+    return detector.no_braces and detector.needs is not None and detector.needs in "/.:"
+
+
 def in_order(detectors: Sequence[Detector]) -> list[Detector]:
     """Detectors in rewriting order."""
     return sorted(detectors, key=lambda d: (d.priority, d.kind))

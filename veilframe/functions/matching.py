@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilframe.detectors import Detector, in_order
-from veilframe.functions.tokens import TokenRule, alphabet, seal, unseal
+from veilframe.detectors import Detector, in_order, spares_tokens
+from veilframe.functions.tokens import TokenRule, alphabet, holds_usual, seal, unseal, usual
 
 
 def may_match(text: Column, detector: Detector) -> Column | None:
@@ -67,7 +67,7 @@ def with_alphabet(text: Column, body: Callable[[Column, Column], Column]) -> Col
     return _let(alphabet(text), lambda chosen: body(text, chosen))
 
 
-def _tokenised(text: Column, detector: Detector, token: Callable[[Column], Column], chosen: Column) -> Column:
+def _tokenised(text: Column, detector: Detector, regex: str, token: Callable[[Column], Column], chosen: Column) -> Column:
     """Matches are marked in one pass, the text is cut at the marks, and the
     marked head of each piece becomes a token."""
     head, tail = chosen["head"], chosen["tail"]
@@ -81,7 +81,7 @@ def _tokenised(text: Column, detector: Detector, token: Callable[[Column], Colum
         return F.when(F.contains(marked, head), F.array_join(pieces, "")).otherwise(marked)
 
     marks = F.concat(head, F.lit("$0"), tail)
-    rewritten = _let(F.regexp_replace(text, F.lit(detector.sealed_regex), marks), unmarked)
+    rewritten = _let(F.regexp_replace(text, F.lit(regex), marks), unmarked)
     gate = may_match(text, detector)
     return rewritten if gate is None else F.when(gate, rewritten).otherwise(text)
 
@@ -91,21 +91,33 @@ def _chained(text: Column, detectors: list[Detector], step: Callable[..., Column
     before, with finished replacements sealed against the later kinds.
 
     Only a kind that says so, CREDENTIALS with a value of anything up to a
-    blank, takes in the token of an address or path.
+    blank, takes in the token of an address or path.  If no kind finds
+    anything inside a token, which holds for those built in, tokens need no
+    sealing; only texts that hold the usual marks themselves are sealed then.
     """
+    ordered = in_order(detectors)
 
-    def run(now: Column, chosen: Column) -> Column:
-        for d in in_order(detectors):
-            now = _let(now, _bound(step, d, chosen, *args))
+    def sealed(now: Column, chosen: Column) -> Column:
+        for d in ordered:
+            now = _let(now, _bound(step, d, chosen, True, *args))
         return unseal(now, chosen)
 
-    return with_alphabet(text, run)
+    whole = with_alphabet(text, sealed)
+    if not all(spares_tokens(d, [d.kind for d in ordered]) for d in ordered):
+        return whole
+    plain = text
+    for d in ordered:
+        plain = _let(plain, _bound(step, d, usual(), False, *args))
+    return F.when(holds_usual(text), whole).otherwise(plain)
 
 
-def _token_step(text: Column, detector: Detector, chosen: Column, tokens: TokenRule) -> Column:
+def _token_step(text: Column, detector: Detector, chosen: dict[str, Column] | Column, sealed: bool, tokens: TokenRule) -> Column:
+    if not sealed:
+        return _tokenised(text, detector, detector.regex, lambda match: tokens.token(detector.kind, match), chosen)
     # A replaced token inside the match is hashed as a reader would see it.
     plain = (lambda match: unseal(match, chosen)) if detector.takes_tokens else (lambda match: match)
-    return _tokenised(text, detector, lambda match: seal(tokens.token(detector.kind, plain(match)), chosen), chosen)
+    sealed_token = lambda match: seal(tokens.token(detector.kind, plain(match)), chosen)
+    return _tokenised(text, detector, detector.sealed_regex, sealed_token, chosen)
 
 
 def tokenised(text: Column, detectors: list[Detector], tokens: TokenRule) -> Column:
@@ -113,9 +125,12 @@ def tokenised(text: Column, detectors: list[Detector], tokens: TokenRule) -> Col
     return _chained(text, detectors, _token_step, tokens)
 
 
-def _mask_step(text: Column, detector: Detector, chosen: Column) -> Column:
-    label = seal(F.lit("{{" + detector.kind + "}}"), chosen)
-    masked = F.regexp_replace(text, F.lit(detector.sealed_regex), label)
+def _mask_step(text: Column, detector: Detector, chosen: dict[str, Column] | Column, sealed: bool) -> Column:
+    label = F.lit("{{" + detector.kind + "}}")
+    if sealed:
+        masked = F.regexp_replace(text, F.lit(detector.sealed_regex), seal(label, chosen))
+    else:
+        masked = F.regexp_replace(text, F.lit(detector.regex), label)
     gate = may_match(text, detector)
     return masked if gate is None else F.when(gate, masked).otherwise(text)
 

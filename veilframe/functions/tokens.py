@@ -43,10 +43,20 @@ def _named(block: tuple[str, str, str]) -> Column:
     return F.struct(*(F.lit(text).alias(name) for text, name in zip(block, ("letters", "head", "tail"), strict=True)))
 
 
+def usual() -> dict[str, Column]:
+    """The usual block, for texts that do not hold its characters."""
+    return {name: F.lit(text) for text, name in zip(_block(_USUAL), ("letters", "head", "tail"), strict=True)}
+
+
+def holds_usual(text: Column) -> Column:
+    """Does the text hold a character of the usual block?"""
+    return reduce(lambda a, b: a | b, [F.contains(text.cast("binary"), F.lit(sign)) for sign in _SIGNS])
+
+
 def alphabet(text: Column) -> Column:
     """``(letters, head, tail)`` of a block whose characters the text does not
     hold.  For a text with characters of all blocks tokens stay readable."""
-    held = reduce(lambda a, b: a | b, [F.contains(text.cast("binary"), F.lit(sign)) for sign in _SIGNS])
+    held = holds_usual(text)
     own = F.regexp_extract_all(text, F.lit(f"[{PRIVATE}]"), F.lit(0))
     taken = F.transform(own, lambda c: F.floor((F.ascii(c) - _FIRST) / _BLOCK).cast("int"))
     free = F.get(F.array_except(F.sequence(F.lit(0), F.lit(_BLOCKS - 1)), taken), F.lit(0))

@@ -16,6 +16,8 @@ from veilframe.functions.tokens import TokenRule
 from veilframe.shared import names
 
 ROW_ID = "row_id"
+# Below this size one task scrubs a cell in seconds, so it stays in its row.
+DEALT_BYTES = 32 << 20
 
 
 def is_large(text: Column, min_split_bytes: int) -> Column:
@@ -98,11 +100,29 @@ def scrub_in_parts(
     num_parts: int,
     min_split_bytes: int,
 ) -> DataFrame:
-    """Split, scrub each part, merge: all within the row, without a shuffle.
+    """Scrub cells where they are, and very large ones part by part.
 
-    A cell is at most 2 GB, which one task scrubs in reasonable time; moving
-    its parts to other tasks would mean shuffling every cell.
+    The parts of cells beyond ``min_split_bytes``, 32 MB at least, become rows
+    that are dealt out over all tasks, scrubbed there, and merged by row, so
+    that one huge cell keeps more than one task busy; only they are shuffled.
+    The table is read once for either kind.  On a stream, which cannot be
+    regrouped, every cell is scrubbed in its row.
     """
-    parts = parts_of(F.col(col), num_parts, min_split_bytes)
-    scrubbed = F.transform(parts, lambda part: tokenised(part, detectors, tokens))
-    return df.withColumn("_parts", scrubbed).withColumn(out, joined_parts(F.col("_parts"))).drop("_parts")
+    text, min_split_bytes = F.col(col), max(min_split_bytes, DEALT_BYTES)
+    small = df if df.isStreaming else df.where(~F.coalesce(is_large(text, min_split_bytes), F.lit(False)))
+    small = small.withColumn(out, tokenised(text, detectors, tokens))
+    if df.isStreaming:
+        return small
+    others = [F.col(f"`{c}`") for c in df.columns if c != out]
+    # Numbered before exploding; what is beside the text travels with part 0.
+    cells = df.where(is_large(text, min_split_bytes)).select(
+        F.monotonically_increasing_id().alias("row"), F.struct(F.lit(0), *others).alias("rest"), parts_of(text, num_parts, min_split_bytes).alias("parts")
+    )
+    pieces = cells.select("row", "rest", F.posexplode("parts").alias("part", "value"))
+    pieces = pieces.select("row", "part", "value", F.when(F.col("part") == 0, F.col("rest")).alias("rest")).repartition("row", "part")
+    scrubbed = pieces.withColumn("value", tokenised(F.col("value"), detectors, tokens))
+    merged = scrubbed.groupBy("row").agg(
+        F.array_sort(F.collect_list(F.struct("part", "value"))).alias("parts"), F.first("rest", ignorenulls=True).alias("rest")
+    )
+    whole = [joined_parts(F.col("parts.value")).alias(c) if c == out else F.col("rest")[c].alias(c) for c in small.columns]
+    return small.unionByName(merged.select(*whole))

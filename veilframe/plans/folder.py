@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilframe.operators.joins import attach
 from veilframe.operators.routing import coin_route
 from veilframe.operators.segments import count_column
-from veilframe.options import HYBRID, HYBRID_SPLIT, LOW_LEVEL, Options
+from veilframe.options import HYBRID, HYBRID_SPLIT, IN_PLACE, LOW_LEVEL, SAM, SIP, Options
 from veilframe.plans.strategies import hybrid_with_route, pseudonymize, route_segments
 from veilframe.plans.summary import Timing, observed, segment_counts, summary_of, timed, without
 from veilframe.shared import spread_out, temporary_tables, written
@@ -93,7 +93,9 @@ def _run(spark, input_path, output_path, options, fmt, quarantine_path) -> Folde
         # row-wise masking, and for the others on their written result.
         rows = placed(rows) if is_placed else rows
         if segments is None:
-            masked = pseudonymize(rows, PATH_COLUMN, "value", options)
+            # Spark has split the files already; a line is no large cell.
+            by_row = options.strategy in (SAM, SIP, HYBRID_SPLIT)
+            masked = pseudonymize(rows, PATH_COLUMN, "value", replace(options, strategy=IN_PLACE) if by_row else options)
         else:
             masked = hybrid_with_route(rows, key, "value", "value", options, segments).drop("_route")
         if options.strategy == HYBRID_SPLIT:

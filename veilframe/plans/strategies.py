@@ -37,8 +37,9 @@ def pseudonymize(
     """``df`` with ``col`` masked (into ``out`` when given).
 
     ``key`` names the file of a row: dictionaries and routes are per key.
-    IN_PLACE, SAM, SIP and HYBRID_SPLIT give equal tables and are map-only, as
-    is RIPGREP; LOW_LEVEL and HYBRID first collect the segments per key.
+    IN_PLACE, SAM, SIP and HYBRID_SPLIT give equal tables.  IN_PLACE and
+    RIPGREP are map-only; the split ones deal the parts of large cells out over
+    all tasks; LOW_LEVEL and HYBRID first collect the segments per key.
     """
     options = options or Options()
     target = out or col
