@@ -63,43 +63,37 @@ def _words(text: Column) -> Column:
 
 def _placed(df: DataFrame, text: Column, keep: list[Column], lengths: list[int], plain: int) -> DataFrame:
     """``keep``, and for every window of one of the ``lengths``: ``at`` (its
-    place), ``length``, ``n`` (words of the text) and ``slots``: values that the
-    placeholders hide, null if none does; once for the ``hash`` of its template
-    and once for that of its ``verbatim`` words."""
+    place), ``length``, ``n`` (words of the text) and the ``hash`` of its
+    ``verbatim`` words; and once more, if placeholders hide some of them, the
+    hash of its template, with the values in its ``slots``."""
     texts = df.select(*keep, F.regexp_replace(F.coalesce(text, F.lit("")), _BLANKS, " ").alias("_text"))
     texts = texts.withColumn("_digits", F.col("_text").rlike("[0-9]"))
     names = [c for c in texts.columns if c[0] != "_"]
     cut = texts.select(*names, _words(template(F.col("_text"))).alias("_t"), _words(_stripped(F.col("_text"))).alias("_w"))
     hides = F.array_join("_t", " ").contains("⟨")
     hashes = lambda words: F.transform(words, lambda w: F.xxhash64(w))
-    cut = cut.withColumn("_g", hashes("_w")).withColumn("_h", F.when(hides, hashes("_t")).otherwise(F.col("_g")))
+    cut = cut.withColumn("_g", hashes("_w")).withColumn("_h", F.when(hides, hashes("_t")))
     values = F.zip_with("_t", "_w", lambda t, w: F.when(t.contains("⟨"), w).otherwise(""))
     cut = cut.withColumn("_values", F.when(hides, values))
 
-    def window(i: Column, length: int) -> Column:
+    def window(i: Column, length: int, hashed: str, slots: Column) -> Column:
+        whole = F.xxhash64(F.lit(length), F.slice(hashed, i, length))
+        return F.struct((i - 1).alias("at"), F.lit(length).alias("length"), whole.alias("hash"), slots.isNull().alias("verbatim"), slots.alias("slots"))
+
+    def templates(i: Column, length: int) -> Column:
         inside = F.slice("_values", i, length)
-        found = F.when(F.array_join(inside, "") != "", inside)
-        whole = lambda hashed: F.xxhash64(F.lit(length), F.slice(hashed, i, length))
-        says = F.size(F.filter(inside, lambda v: v == "")) >= plain
-        return F.struct(
-            (i - 1).alias("at"),
-            F.lit(length).alias("length"),
-            F.when(found.isNotNull() & says, whole("_h")).alias("template"),
-            whole("_g").alias("words"),
-            found.alias("slots"),
-        )
+        hidden = F.size(F.filter(inside, lambda v: v != ""))
+        return F.when(hidden.between(1, length - plain), window(i, length, "_h", inside))
 
     def windows(length: int) -> Column:
-        last = F.size("_h") - length + 1
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: window(i, length)))
-
-    whole = F.flatten(F.filter(F.array(*[windows(x) for x in lengths]), lambda x: x.isNotNull()))
-    each = cut.select(*names, F.size("_h").alias("n"), F.explode(whole).alias("_w")).select(*names, "n", "_w.*")
-    forms = F.array(
-        F.struct(F.col("words").alias("hash"), F.lit(True).alias("verbatim")),
-        F.when(F.col("template").isNotNull(), F.struct(F.col("template").alias("hash"), F.lit(False).alias("verbatim"))),
-    )
-    return each.select(*names, "n", "at", "length", "slots", F.inline(F.array_compact(forms)))
+        last = F.size("_g") - length + 1
+        places = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        words = F.transform(places, lambda i: window(i, length, "_g", F.lit(None).cast("array<string>")))
+        others = F.array_compact(F.transform(places, lambda i: templates(i, length)))
+        return F.when(hides, F.concat(words, others)).otherwise(words)
+
+    whole = F.flatten(F.array(*[windows(x) for x in lengths]))
+    return cut.select(*names, F.size("_g").alias("n"), F.explode(whole).alias("_w")).select(*names, "n", "_w.*")
 
 
 def _held(docs: DataFrame, benchmark: DataFrame, id_col: str, item_col: str, text_col: str, s: Settings) -> DataFrame:
