@@ -28,12 +28,17 @@ def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _token(kind: str, segment: str, salt: str = "1234", width: int = 5, h: str = "md5") -> str:
+def _token(kind: str, segment: str) -> str:
     """Token of a segment; ``kind`` and ``segment`` are SQL expressions."""
-    inner = f"{h}(lower({kind}) || {_q(salt)})"
-    if (h, width) == ("md5", 5):
-        inner = f"left({inner}, 5)"
-    return f"('{{{{' || {kind} || '-' || left({h}({inner} || {segment}), {width}) || '}}}}')"
+    inner = f"left(md5(lower({kind}) || '1234'), 5)"
+    return f"('{{{{' || {kind} || '-' || left(md5({inner} || {segment}), 5) || '}}}}')"
+
+
+def _mac_token(kind: str, segment: str, salt: str, width: int) -> str:
+    """The same by HMAC-SHA-256, for a salt of 64 bytes at most."""
+    pad = lambda byte: "unhex('" + bytes(b ^ byte for b in salt.encode().ljust(64, b"\0")).hex() + "')"
+    inner = f"sha256({pad(0x36)} || encode(lower({kind}) || ':' || {segment}))"
+    return f"('{{{{' || {kind} || '-' || left(sha256({pad(0x5C)} || unhex({inner})), {width}) || '}}}}')"
 
 
 def _priority(detectors: list[Detector], kind: str = "kind") -> str:
@@ -346,7 +351,7 @@ def _build() -> dict[str, str]:
         ),
         "d1_tokens": f"SELECT *, {_token('kind', 'segment')} AS token FROM ({_docs(STRICT)})",
         "d1_tokens_wide": (
-            f"SELECT *, {_token('kind', 'segment', 'pepper', 16, 'sha256')} AS token "
+            f"SELECT *, {_mac_token('kind', 'segment', 'pepper', 16)} AS token "
             f"FROM ({_lines(IPV4, STRICT)})"
         ),
         "d2_scrub_documents": scrub_docs,

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hmac
+
 import pytest
 from pyspark.sql import functions as F
 
 from brute import token
 from veilframe.detectors import strict_profile
 from veilframe.functions.sql import register_functions
-from veilframe.functions.tokens import TokenRule
+from veilframe.functions.tokens import TokenRule, hmac_hex
 
 # Tokens known for salt 1234.
 VECTORS = [
@@ -66,6 +68,36 @@ def test_width_and_digest(spark, vectors, digest, width):
     assert len(set(tails)) == len(VECTORS)
 
 
+# Test cases 1 to 4, 6 and 7 of RFC 4231.
+RFC = [
+    (b"\x0b" * 20, b"Hi There", "b0344c61d8db38535ca8afceaf0bf12b881dc200c9833da726e9376c2e32cff7"),
+    (b"Jefe", b"what do ya want for nothing?", "5bdcc146bf60754e6a042426089575c75a003f089d2739839dec58b964ec3843"),
+    (b"\xaa" * 20, b"\xdd" * 50, "773ea91e36800e46854db8ebd09181a72959098b3ef8c122d9635514ced565fe"),
+    (bytes(range(1, 26)), b"\xcd" * 50, "82558a389a443c0ea4cc819899f2083a85f0faa3e578f8077a2e3ff46729665b"),
+    (b"\xaa" * 131, b"Test Using Larger Than Block-Size Key - Hash Key First", "60e431591ee0b67f0d8a26aacbf5b77f8e0bc6213728c5140546040f0ee37f54"),
+    (
+        b"\xaa" * 131,
+        b"This is a test using a larger than block-size key and a larger than block-size data. "
+        b"The key needs to be hashed before being used by the HMAC algorithm.",
+        "9b09ffa71b942fcb27635fbcd5b0e944bfdc63644f0713938a7f51535c3a35e2",
+    ),
+]
+
+
+@pytest.mark.parametrize("key, message, expected", RFC)
+def test_hmac_vectors(spark, key, message, expected):
+    df = spark.createDataFrame([(bytearray(message),)], "m binary")
+    assert df.select(hmac_hex(key, F.col("m"))).first()[0] == expected
+
+
+@pytest.mark.parametrize("digest, width", [("md5", 32), ("md5", 6), ("sha256", 5), ("sha256", 64)])
+def test_wide_tokens_are_macs(vectors, digest, width):
+    rule = TokenRule(salt="é pepper" * 20, width=width, digest=digest)
+    for r in vectors.select("kind", "segment", rule.token_by(F.col("kind"), F.col("segment")).alias("got")).collect():
+        mac = hmac.new(rule.salt.encode(), f"{r.kind.lower()}:{r.segment}".encode(), digest).hexdigest()
+        assert r.got == "{{" + r.kind + "-" + mac[:width] + "}}"
+
+
 def test_salt_changes_tokens(vectors):
     other = TokenRule(salt="5678").token_by(F.col("kind"), F.col("segment"))
     assert vectors.where(other == F.col("token")).collect() == []

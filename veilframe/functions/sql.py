@@ -17,10 +17,6 @@ def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _hash(expr: str, tokens: TokenRule) -> str:
-    return f"md5({expr})" if tokens.digest == "md5" else f"sha2({expr}, 256)"
-
-
 def register_functions(
     spark: SparkSession, detectors: list[Detector], tokens: TokenRule, prefix: str = "veil"
 ) -> list[str]:
@@ -28,10 +24,8 @@ def register_functions(
     ``<prefix>_scrub_<kind>(text)`` per detector; returns their names."""
     if not re.fullmatch(r"[A-Za-z][A-Za-z0-9_]*", prefix):
         raise ValueError(f"prefix must be a plain name: {prefix!r}")
-    inner = f"left({_hash(f'concat(lower(kind), {_literal(tokens.salt)})', tokens)}, {tokens.inner_width})"
-    tail = f"left({_hash(f'concat({inner}, segment)', tokens)}, {tokens.width})"
     token = f"{prefix}_token"
-    body = "concat('{{', kind, '-', " + tail + ", '}}')"
+    body = "concat('{{', kind, '-', " + tokens.body_sql("lower(kind)", "segment") + ", '}}')"
     _create(spark, token, "kind STRING, segment STRING", body)
     created = [token]
     for d in in_order(detectors):
@@ -72,8 +66,8 @@ def _found(text: str, d: Detector) -> str:
 def _glued(text: str, d: Detector, tokens: TokenRule) -> str:
     """The text between matches, joined by the tokens of the matches."""
     pattern = _literal(d.sealed_regex)
-    salted = f"concat({_literal(tokens.inner(d.kind))}, {unseal_sql('hit', 'abc') if d.takes_tokens else 'hit'})"
-    token = f"concat({_literal('{{' + d.kind + '-')}, left({_hash(salted, tokens)}, {tokens.width}), '}}}}')"
+    body = tokens.body_sql(_literal(d.kind.lower()), unseal_sql("hit", "abc") if d.takes_tokens else "hit")
+    token = f"concat({_literal('{{' + d.kind + '-')}, {body}, '}}}}')"
     return (
         f"array_join(zip_with(split({text}, {pattern}, -1), regexp_extract_all({text}, {pattern}, 0), "
         f"(gap, hit) -> concat(gap, coalesce({seal_sql(token, 'abc')}, ''))), '')"

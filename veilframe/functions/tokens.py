@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from veilframe.detectors import PRIVATE
 
 _HEX_DIGITS = {"md5": 32, "sha256": 64}
-# Fixed value: hex digits kept of the inner (kind + salt) hash by the
-# compatible rule; any other rule keeps all, so that the key stays wide.
+# Fixed value: the compatible rule, which keeps as many digits of the inner
+# (kind + salt) hash as of the token.
 _COMPATIBLE = ("md5", 5)
+_MAC_BLOCK = 64
 
 # Finished tokens are written in private characters while other kinds are
 # still sought, so that no pattern finds anything inside them.  There are 50
@@ -92,10 +93,27 @@ def unseal_sql(text: str, chosen: str) -> str:
     return f"translate({text}, {chosen}.letters, '{_PLAIN}')"
 
 
+def pads(key: bytes, digest: str) -> tuple[bytes, bytes]:
+    """The two blocks that begin the inner and the outer hash of an HMAC."""
+    key = (hashlib.new(digest, key).digest() if len(key) > _MAC_BLOCK else key).ljust(_MAC_BLOCK, b"\0")
+    return bytes(b ^ 0x36 for b in key), bytes(b ^ 0x5C for b in key)
+
+
+def _hex(data: Column, digest: str) -> Column:
+    return F.md5(data) if digest == "md5" else F.sha2(data, 256)
+
+
+def hmac_hex(key: bytes, message: Column, digest: str = "sha256") -> Column:
+    """HMAC of a binary column, as hex digits; the pads are constants."""
+    inner, outer = pads(key, digest)
+    return _hex(F.concat(F.lit(outer), F.unhex(_hex(F.concat(F.lit(inner), message), digest))), digest)
+
+
 @dataclass(frozen=True)
 class TokenRule:
     """How segments become tokens.  Five MD5 digits are the compatible
-    default; a wider SHA-256 token is there for large corpora."""
+    default, a hash of the salted kind and the segment; every other rule is an
+    HMAC of both with the salt as key, so that wide tokens are as strong as it."""
 
     salt: str = "1234"
     width: int = 5
@@ -108,25 +126,40 @@ class TokenRule:
             raise ValueError(f"width must be between 1 and {_HEX_DIGITS[self.digest]}")
 
     @property
-    def inner_width(self) -> int:
-        """Hex digits of the salted prefix that go into a token."""
-        return self.width if (self.digest, self.width) == _COMPATIBLE else _HEX_DIGITS[self.digest]
-
-    def _hash(self, text: Column) -> Column:
-        return F.md5(text.cast("binary")) if self.digest == "md5" else F.sha2(text.cast("binary"), 256)
+    def is_compatible(self) -> bool:
+        return (self.digest, self.width) == _COMPATIBLE
 
     def inner(self, kind: str) -> str:
-        """The salted prefix of a kind; constant, so hashed once on the driver."""
-        raw = (kind.lower() + self.salt).encode()
-        return hashlib.new(self.digest, raw).hexdigest()[: self.inner_width]
+        """The salted prefix of a kind by the compatible rule; constant, so
+        hashed once on the driver."""
+        return hashlib.md5((kind.lower() + self.salt).encode()).hexdigest()[: self.width]
+
+    def _mac(self, message: Column) -> Column:
+        return hmac_hex(self.salt.encode(), message.cast("binary"), self.digest)
 
     def token(self, kind: str, segment: Column) -> Column:
         """Token of ``segment`` for a fixed kind."""
-        body = F.substring(self._hash(F.concat(F.lit(self.inner(kind)), segment)), 1, self.width)
-        return F.concat(F.lit("{{" + kind + "-"), body, F.lit("}}"))
+        if self.is_compatible:
+            body = F.md5(F.concat(F.lit(self.inner(kind)), segment).cast("binary"))
+        else:
+            body = self._mac(F.concat(F.lit(f"{kind.lower()}:"), segment))
+        return F.concat(F.lit("{{" + kind + "-"), F.substring(body, 1, self.width), F.lit("}}"))
 
     def token_by(self, kind: Column, segment: Column) -> Column:
         """Token where the kind is itself a column."""
-        inner = F.substring(self._hash(F.concat(F.lower(kind), F.lit(self.salt))), 1, self.inner_width)
-        body = F.substring(self._hash(F.concat(inner, segment)), 1, self.width)
-        return F.concat(F.lit("{{"), kind, F.lit("-"), body, F.lit("}}"))
+        if self.is_compatible:
+            inner = F.substring(F.md5(F.concat(F.lower(kind), F.lit(self.salt)).cast("binary")), 1, self.width)
+            body = F.md5(F.concat(inner, segment).cast("binary"))
+        else:
+            body = self._mac(F.concat(F.lower(kind), F.lit(":"), segment))
+        return F.concat(F.lit("{{"), kind, F.lit("-"), F.substring(body, 1, self.width), F.lit("}}"))
+
+    def body_sql(self, kind: str, segment: str) -> str:
+        """SQL for the digits of a token; ``kind`` is in lower case."""
+        if self.is_compatible:
+            salt = self.salt.replace("\\", "\\\\").replace("'", "\\'")
+            return f"left(md5(concat(left(md5(concat({kind}, '{salt}')), {self.width}), {segment})), {self.width})"
+        inner, outer = pads(self.salt.encode(), self.digest)
+        hashed = (lambda x: f"md5({x})") if self.digest == "md5" else (lambda x: f"sha2({x}, 256)")
+        first = hashed(f"concat(X'{inner.hex()}', CAST(concat({kind}, ':', {segment}) AS BINARY))")
+        return f"left({hashed(f'concat(X{chr(39)}{outer.hex()}{chr(39)}, unhex({first}))')}, {self.width})"
