@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veilframe.llm import bpe, decontaminate, langid, quality, simhash
 from veilframe.llm.queries import table, tokenizer
-from veilframe.shared import written
+from veilframe.shared import file_system, fresh_path, temporary_tables
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +56,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage for the table ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage for the table ``documents``.
+
+    What a stage writes on its way is deleted when its result is written, and
+    that when the next one is.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = fresh_path(spark, name)
+        with temporary_tables(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        if before is not None:
+            fs, target = file_system(spark, before)
+            fs.delete(target, True)
+        docs, before = spark.read.schema(out.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
