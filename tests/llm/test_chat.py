@@ -30,10 +30,10 @@ def brute(rows):
     return found
 
 
-def check(spark, rows):
+def check(spark, rows, **options):
     df = spark.createDataFrame([(*r, "p", "s", 1, 2) for r in rows], SCHEMA)
     texts, said = defaultdict(str), defaultdict(list)
-    for r in sorted(chat.rotate(df).collect(), key=lambda r: r.part):
+    for r in sorted(chat.rotate(df, **options).collect(), key=lambda r: r.part):
         assert 0 < r.n_turns <= chat.TURNS
         texts[r.conv_id, r.speaker] += r.text
         said[r.conv_id, r.speaker] += [r.text[m.start : m.end] for m in r.mask]
@@ -63,6 +63,7 @@ def test_dialogues(spark):
 def test_long_dialogues_come_in_parts(spark):
     rows = [(1, n // 2, "ann bob carol".split()[n % 3], f"turn {n}") for n in range(1_000)]
     check(spark, rows + [(2, 0, "ann", "short")])
+    check(spark, rows + [(None, n, "bob", "no id") for n in range(300)], broadcast_limit=-1)
 
 
 def test_empty_table(spark):

@@ -12,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.operators.joins import attach
 from veilframe.operators.ranking import rank_within
+from veilframe.shared import written
 
 TURNS = 256
 SYSTEM = "system"
@@ -35,7 +37,13 @@ def _segment(turn: Column, speaker: Column) -> Column:
 
 
 def rotate(
-    turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
+    turns: DataFrame,
+    conv_col: str = "conv_id",
+    turn_col: str = "turn",
+    role_col: str = "role",
+    text_col: str = "text",
+    *,
+    broadcast_limit: int = 8 << 20,
 ) -> DataFrame:
     """``(conv_id, speaker, part, n_turns, text, mask)``: one row for each
     participant of a dialogue and part of it.
@@ -60,8 +68,9 @@ def rotate(
     parts = ranked.groupBy("conv", part.alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("turns")
     )
-    who = said.where(F.col("role") != SYSTEM).select(F.col("conv").alias("_conv"), F.col("role").alias("speaker")).distinct()
-    seen = parts.join(who, F.col("conv").eqNullSafe(F.col("_conv")))
+    who = said.where(F.col("role") != SYSTEM).select("conv", F.col("role").alias("speaker")).distinct()
+    # A dialogue with many parts is salted, if its speakers are not broadcast.
+    seen = attach(parts, written(who, "speakers"), ["conv"], "inner", broadcast_limit=broadcast_limit)
     segments = F.transform("turns", lambda t: _segment(t, F.col("speaker")))
     own = F.transform("turns", lambda t: t["role"] == F.col("speaker"))
     rendered = seen.withColumn("segments", segments).withColumn("own", own)
