@@ -320,6 +320,7 @@ def without_repeats(
     joined = marked.select("row", "packed", "number").join(runs, F.col("number") == F.col("_number"), "left")
     result = written(_cut(joined, length), "kept")
     dropped(marked, *found)
+    # Shuffle files go when the driver's garbage is collected.
     spark.sparkContext._jvm.System.gc()
     return result
 
