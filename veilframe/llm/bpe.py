@@ -284,13 +284,29 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     return in_small_batches(encoded).mapInArrow(run, schema)
 
 
+def round_trip(df: DataFrame, path: str, text_col: str = "text", rows: list[str] | None = None) -> DataFrame:
+    """``(row, ids, decoded)``: :func:`encode`, and :func:`decode` of its ids
+    while they are at hand, in one pass of one worker."""
+    shared = df.sparkSession.sparkContext.broadcast(load(path))
+    codecs: list[Codec] = []
+
+    def work(texts: pa.Array) -> list:
+        if not codecs:
+            codecs.append(Codec(shared.value))
+        ids = codecs[0].encode_all(texts)
+        return [ids, codecs[0].decode_all(ids)]
+
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    return map_named(df, text_col, df.columns if rows is None else rows, fields, work, 2 << 20)
+
+
 def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ``n_tokens`` and SHA-256 of the ids and of the decoded text.
 
     Null texts count as empty; rows with equal or null ids all stay; other
     columns of the input are not read; an empty table gives an empty result.
     """
-    coded = decode(encode(df, path, text_col, [id_col]), path)
+    coded = round_trip(df, path, text_col, [id_col])
     return coded.select(
         F.col(f"row.`{id_col}`").alias(id_col),
         F.size("ids").cast("bigint").alias("n_tokens"),
