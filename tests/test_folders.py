@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
+from catalog import queries
+from catalog.inputs import LOG_LINES_SQL
 from veilframe import Options
 from veilframe.detectors import strict_profile
 from veilframe.functions.tokens import TokenRule
@@ -187,6 +189,27 @@ def test_mirrored_lines_of_a_large_file_stay_in_order(spark, folder):
     assert got == as_lines({"x.log": content, "y.log": b"y\n"})
 
 
+def test_parts_are_read_in_the_order_they_were_written(spark, folder):
+    names = [f"part-{task:05d}-0c1a-c00000000009.c{n:03d}.txt" for task in (99999, 100000) for n in (0, 999, 1000)]
+    write_files(folder, {f"rel_path=x.log/{name}": f"line {i}\n".encode() for i, name in enumerate(names)})
+    expected = as_lines({"x.log": "".join(f"line {i}\n" for i in range(len(names))).encode()})
+    assert by_file(scan_text(spark, folder)) == expected
+    assert by_file(read_mirrored(spark, folder), ("part", "block_start", "line_id")) == expected
+
+
+def test_rescanned_parts_do_not_grow_in_number(spark, monkeypatch):
+    counts = []
+    for n in (5_000, 20_000):
+        rows = "id AS event_id, 0L AS user_id, 'view' AS event_type"
+        monkeypatch.setattr(queries, "log_lines", lambda s, d, n=n: s.sql(LOG_LINES_SQL, events=s.range(n).selectExpr(*rows.split(", "))))
+        before = set(os.listdir(shared_folder(spark)))
+        result = queries.a1_rescan_mirrored(spark, "")
+        assert [r["nth"] for r in result.where("line LIKE '%seq 4321'").collect()] == [4322]
+        (path,) = [p for p in set(os.listdir(shared_folder(spark))) - before if p.startswith("parts-")]
+        counts.append(sum(f.endswith(".txt") for _, _, fs in os.walk(os.path.join(shared_folder(spark), path)) for f in fs))
+    assert 500 < counts[0] and counts[1] < 2_100
+
+
 @pytest.mark.parametrize("remove", [False, True])
 def test_replace_in_place(spark, corpus, remove):
     kept = replace_in_place(
