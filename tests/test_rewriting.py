@@ -30,6 +30,7 @@ from veilframe.operators import dictionary
 from veilframe.operators import parts as parts_module
 from veilframe.operators.dictionary import rewrite_with_dictionary
 from veilframe.operators.rewriting import mask_kinds, scrub
+from veilframe.shared import written
 
 TOKENS = TokenRule()
 
@@ -167,6 +168,23 @@ def test_wide_dictionaries_cut_long_lines_into_windows(spark, monkeypatch):
     assert texts(wide) == texts(rewrite_with_dictionary(df, "k", "line", loose_profile(), TOKENS, max_inline_entries=100_000))
 
 
+def test_lines_look_up_their_distinct_words(spark, monkeypatch):
+    """What is looked up grows with the words of a file, not with its lines."""
+    lines = [f"host 10.0.{i % 5}.{i % 40} user=x{i % 30} /v/{i % 50}" for i in range(1200)]
+    tables = {}
+
+    def kept(df, name):
+        tables[name] = written(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(dictionary, "written", kept)
+    df = corpus(spark, lines).withColumn("k", F.lit("k"))
+    got = texts(rewrite_with_dictionary(df, "k", "line", loose_profile(), TOKENS))
+    assert got == [e for e in brute.dictionary_rewrite([("k", t) for t in lines], loose_profile())]
+    assert tables["words"].count() == 1 + 40 + 30 + 50
+    assert tables["hits"].count() == 40 + 30 + 50
+
+
 def test_paths_first_leaves_the_prefix_length(spark):
     masked = scrub(corpus(spark, ["inet 127.0.0.1/8"]), "line", paths_first(strict_profile()), TOKENS)
     assert texts(masked) == ["inet {{IPV4-e56ea}}/8"]
