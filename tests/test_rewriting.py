@@ -185,6 +185,46 @@ def test_lines_look_up_their_distinct_words(spark, monkeypatch):
     assert tables["hits"].count() == 40 + 30 + 50
 
 
+def test_words_that_hold_no_entry_by_their_characters_stay_at_home(spark, monkeypatch):
+    """Prose is not looked up, and nothing is lost, be an entry with a digit,
+    with a slash, or of letters only behind a keyword."""
+    letters = "abcdefghij"
+    prose = lambda i: " ".join(letters[i // 100 % 10] + letters[i // 10 % 10] + letters[i % 10] + c + "\u00e9." for c in "uvwxyz")
+    held = [f"\t10.0.{i % 5}.{i % 90}  x" if i % 9 == 0 else f" /v/{prose(i)[:3]}" if i % 9 == 1 else f"  User\t{prose(i)[:3]}\n" if i % 50 == 2 else "" for i in range(1000)]
+    lines = [f"{prose(i)}{held[i]}{prose(i + 500)} {held[i * 7 % 1000].strip()}" for i in range(1000)]
+    tables = {}
+
+    def kept(df, name):
+        tables[name] = written(df, name)
+        return tables[name]
+
+    df = corpus(spark, lines).withColumn("k", F.lit("k"))
+    want = [e for e in brute.dictionary_rewrite([("k", t) for t in lines], loose_profile())]
+    monkeypatch.setattr(dictionary, "written", kept)
+    for limit in (0, 1 << 25):
+        got = texts(rewrite_with_dictionary(df, "k", "line", loose_profile(), TOKENS, broadcast_limit=limit))
+        assert got == want
+        assert tables["words"].count() < 2000
+        assert tables["entries"].count() > 64
+        assert tables["asked"].where(F.col("word").rlike("[0-9]")).count() > 0
+
+
+def test_only_long_lines_are_cut_and_dealt(spark, monkeypatch):
+    lines = [f"host 10.0.{i % 5}.{i} /v/{i}" for i in range(100)] + [" ".join(f"10.0.{i % 5}.{i}" for i in range(100))]
+    tables = {}
+
+    def kept(df, name):
+        tables[name] = written(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(dictionary, "written", kept)
+    monkeypatch.setattr(dictionary, "_WINDOW", 60)
+    df = corpus(spark, lines).withColumn("k", F.lit("k"))
+    got = texts(rewrite_with_dictionary(df, "k", "line", loose_profile(), TOKENS))
+    assert got == [e for e in brute.dictionary_rewrite([("k", t) for t in lines], loose_profile())]
+    assert tables["windows"].select("_line").distinct().count() == 1
+
+
 def test_paths_first_leaves_the_prefix_length(spark):
     masked = scrub(corpus(spark, ["inet 127.0.0.1/8"]), "line", paths_first(strict_profile()), TOKENS)
     assert texts(masked) == ["inet {{IPV4-e56ea}}/8"]
