@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 import brute
 from veilframe import STRATEGIES, Options, pseudonymize
 from veilframe.detectors import (
+    CREDENTIALS,
     IPV4,
+    IPV6,
     MAC_ADDR,
     Detector,
     addresses_first,
+    keyword_ahead,
     loose_profile,
     paths_first,
     pick,
@@ -23,6 +26,7 @@ from veilframe.detectors import (
     with_detector,
     without_private,
 )
+from veilframe.functions import matching
 from veilframe.functions.matching import has_match
 from veilframe.functions.sql import register_functions
 from veilframe.functions.tokens import TokenRule
@@ -455,3 +459,47 @@ def test_default_options():
     o = Options()
     assert (o.strategy, o.salt, o.threshold, o.min_split_bytes) == ("HYBRID", "1234", 200, 5 * 1024 * 1024)
     assert (o.ignore_hint, o.remove_original) == (None, False)
+
+
+LETTERS_FIVE_SIX = [LETTERS, Detector("FIVE", r"\b[0-9]{5}\b", phase=3), Detector("SIX", r"[^ \n]{6}", phase=3, rank=1)]
+
+
+def _random_lines(n):
+    pieces = ["10.0.0.1", "/etc/x", "/24", " ", " ", "inet", "IPV4", "FILE", "e56ea", "12345", "user=", "password: ", "fe80::1", "fe80:%e",
+              "02:00:00:00:00:0A", "1:2:3:4:5:6:7:8", "{", "}", "{{", "}}", "{{IPV4-e56ea}}", "\x1a", "", "é", ",", "$0", "\\"]
+    rnd = random.Random(11)
+    return ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 14))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("extra", LETTERS_FIVE_SIX, ids=lambda d: d.kind)
+def test_lines_are_sealed_only_for_braces_or_marks(spark, monkeypatch, extra):
+    profile = with_detector(strict_profile(), extra)
+    lines = ["10.0.0.1/8 at /etc/x user=bob ab1 12345", "{ab1} } {10.0.0.1}", "nothing", "", "é 10.0.0.1"]
+    expected = texts(scrub(corpus(spark, lines), "line", profile, TOKENS))
+    monkeypatch.setattr(matching, "seal", lambda text, chosen: F.raise_error(F.lit("sealed")).cast("string"))
+    assert texts(scrub(corpus(spark, lines), "line", profile, TOKENS)) == expected
+    for line in ("{{ 10.0.0.1", "\x1a 10.0.0.1", "\ue17b 10.0.0.1"):
+        with pytest.raises(Exception, match="sealed"):
+            texts(scrub(corpus(spark, [line]), "line", profile, TOKENS))
+
+
+@pytest.mark.parametrize("rewrite", [lambda df, p: scrub(df, "line", p, TOKENS), lambda df, p: mask_kinds(df, "line", p)], ids=["token", "mask"])
+def test_readable_and_sealed_texts_are_rewritten_alike(spark, monkeypatch, rewrite):
+    df = corpus(spark, _random_lines(400))
+    profile = strict_profile()
+    for extra in LETTERS_FIVE_SIX:
+        profile = with_detector(profile, extra)
+        mixed = texts(rewrite(df, profile))
+        with monkeypatch.context() as patch:
+            patch.setattr(matching, "holds_usual", lambda text: F.lit(True))
+            assert texts(rewrite(df, profile)) == mixed
+
+
+def test_looking_ahead_hides_no_match(spark):
+    df = corpus(spark, [*_random_lines(400), "::1", "a::", "fe80:%eth0", "1:2:3:4:5:6:7::", "::ffff:1.2.3.4", "1.1.1.1", "PWD x", "API_KEY=1"])
+    for d in strict_profile() + loose_profile():
+        found = texts(df.select("n", matching.matches(F.col("line"), d).alias("line")))
+        bare = Detector(d.kind, d.regex)
+        assert found == texts(df.select("n", matching.matches(F.col("line"), bare).alias("line")))
+        assert d.kind not in (IPV4, IPV6, CREDENTIALS) or d.sought_regex.startswith("(?=")
+    assert keyword_ahead(["a?pi"]) is None and keyword_ahead(["pwd", "xpwd"]) == "[PXpx]"
