@@ -17,6 +17,7 @@ from veilframe.detectors import (
     MAC_ADDR,
     Detector,
     addresses_first,
+    is_braceless,
     keyword_ahead,
     loose_profile,
     paths_first,
@@ -495,6 +496,13 @@ def test_readable_and_sealed_texts_are_rewritten_alike(spark, monkeypatch, rewri
             assert texts(rewrite(df, profile)) == mixed
 
 
+def test_patterns_that_show_no_brace():
+    for regex in (r"\b(?:IPV4|inet|seq)\b", r"\b[0-9]{5}\b", "a|b", r"[A-Z]+\.x", r"(a|b){2,}"):
+        assert is_braceless(regex), regex
+    for regex in ("[^ ]{6}", "a.", r"a\{", "[a-~]", "a*", "a?", "(?i)a", "(?=a)b", "(?<!a)b", "a|", "(|a)", "(a|)", "|a", r"\S", "a{0,2}", "()", r"\W", "^a", "[ -{]", r"\b", r"(?:a|\b)", r"\b(\B)"):
+        assert not is_braceless(regex), regex
+
+
 def test_looking_ahead_hides_no_match(spark):
     df = corpus(spark, [*_random_lines(400), "::1", "a::", "fe80:%eth0", "1:2:3:4:5:6:7::", "::ffff:1.2.3.4", "1.1.1.1", "PWD x", "API_KEY=1"])
     for d in strict_profile() + loose_profile():
